@@ -45,7 +45,7 @@ SQL: dict[str, str | tuple[str, str]] = {
                CASE WHEN o_orderkey % 10 = 3 THEN 0 ELSE CAST(extract(year FROM o_orderdate) AS int) END AS y,
                CASE WHEN o_orderkey % 10 = 5 THEN 0 ELSE CAST(extract(month FROM o_orderdate) AS int) END AS m,
                CASE WHEN o_orderkey % 10 = 7 THEN 0 ELSE CAST(extract(day FROM o_orderdate) AS int) END AS d,
-               CASE WHEN o_orderkey % 29 = 0 THEN 'n/a' ELSE CAST(CAST(o_totalprice AS bigint) AS string) END AS height_text,
+               CASE WHEN o_orderkey % 29 = 0 THEN 'n/a' ELSE CAST(CAST(floor(o_totalprice) AS bigint) AS string) END AS height_text,
                o_totalprice / 10000 AS height
         FROM {orders}""",
     "flow_daily": """

@@ -25,14 +25,14 @@ frc AS (SELECT *, 1.5e0 / a_ / (-m_) * sqrt(3 / m_) AS farg_ FROM frb),
 frd AS (SELECT *, CASE WHEN f1_ * f20_ <= 0 AND abs(farg_) <= 1
                        THEN sqrt(2 * power(2 * sqrt(m_ / 3) * cos(acos(CASE WHEN abs(farg_) <= 1 THEN farg_ END) / 3), 3)) ELSE 1 END AS fr_1 FROM frc)"""
 FLIP_SQL = """
-fla AS (SELECT *, power(1.5e0 * q / (sqrt(0.4e0) * l * sqrt(2 * 9.81e0)), 2) AS c2_, 1 - 1 / 1.21e0 AS A_, 0.2e0 * p / 1.21e0 AS B_, -0.01e0 * p * p / 1.21e0 AS C_ FROM {src}),
-flb AS (SELECT *, power(c2_ / (1 - 0.48e0 * 0.48e0), 1 / 3e0) AS h1_, (3 * A_ * C_ - B_ * B_) / (3 * A_ * A_) AS pp_,
-               (2 * B_ * B_ * B_ - 9 * A_ * B_ * C_ - 27 * A_ * A_ * c2_) / (27 * A_ * A_ * A_) AS qq_ FROM fla),
+fla AS (SELECT *, power(1.5e0 * q / (sqrt(0.4e0) * l * sqrt(2 * 9.81e0)), 2) AS c2_, 1 - 1 / 1.21e0 AS ga_, 0.2e0 * p / 1.21e0 AS gb_, -0.01e0 * p * p / 1.21e0 AS gc_ FROM {src}),
+flb AS (SELECT *, power(c2_ / (1 - 0.48e0 * 0.48e0), 1 / 3e0) AS h1_, (3 * ga_ * gc_ - gb_ * gb_) / (3 * ga_ * ga_) AS pp_,
+               (2 * gb_ * gb_ * gb_ - 9 * ga_ * gb_ * gc_ - 27 * ga_ * ga_ * c2_) / (27 * ga_ * ga_ * ga_) AS qq_ FROM fla),
 flc AS (SELECT *, CASE WHEN pp_ < 0 THEN 1.5e0 * abs(qq_) / (-pp_) * sqrt(-3 / pp_) END AS w_ FROM flb),
 fld AS (SELECT *, CASE WHEN h1_ <= 0.1e0 * p / 0.472e0 THEN h1_
-                       WHEN w_ IS NULL THEN power(c2_ / A_, 1 / 3e0)
-                       WHEN w_ <= 1 THEN 2 * sqrt(-pp_ / 3) * cos(acos(CASE WHEN w_ <= 1 THEN -sign(qq_) * w_ END) / 3) - B_ / (3 * A_)
-                       ELSE -2 * sign(qq_) * sqrt(-pp_ / 3) * cosh(acosh(CASE WHEN w_ > 1 THEN w_ END) / 3) - B_ / (3 * A_) END AS hf_ FROM flc),
+                       WHEN w_ IS NULL THEN power(c2_ / ga_, 1 / 3e0)
+                       WHEN w_ <= 1 THEN 2 * sqrt(-pp_ / 3) * cos(acos(CASE WHEN w_ <= 1 THEN -sign(qq_) * w_ END) / 3) - gb_ / (3 * ga_)
+                       ELSE -2 * sign(qq_) * sqrt(-pp_ / 3) * cosh(acosh(CASE WHEN w_ > 1 THEN w_ END) / 3) - gb_ / (3 * ga_) END AS hf_ FROM flc),
 fle AS (SELECT *, greatest(0.48e0, (1 - 0.1e0 * p / hf_) / 1.1e0) * hf_ + p AS y_flip FROM fld)"""
 CLASS = """CASE WHEN y_2 IS NULL OR y_flip IS NULL OR y_2 <= 0 THEN 'N/A' WHEN y_t < y_2 THEN 'A' WHEN y_t = y_2 THEN 'B'
             WHEN y_t > y_2 AND y_t < y_flip THEN 'C' WHEN y_t >= y_flip THEN 'D' ELSE 'N/A' END"""

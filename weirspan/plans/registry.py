@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from weirspan.plans import queries_flow, queries_hydraulics  # noqa: F401
+from weirspan.plans import queries_flow, queries_hydraulics, queries_tables  # noqa: F401
 from weirspan.plans.catalog import CHECKS, QUERIES  # noqa: F401
