@@ -83,6 +83,25 @@ SQL: dict[str, str | tuple[str, str]] = {
                list_transform(embedding[33:64], lambda e, i: CASE WHEN (i - 1 + vec_id) % 37 = 11 THEN -1e6 ELSE 100 + abs(CAST(e AS double)) * 10 END) AS xs2
         FROM {embeddings}""",
     ),
+    # Merged simulator output: one row per section of a site, index 0 upstream.
+    "arc": (
+        """
+        SELECT vec_id AS xs_key, vec_id % (SELECT count(*) FROM {supplier}) AS site_id,
+               CAST(floor(vec_id / (SELECT count(*) FROM {supplier})) AS bigint) % 5 AS xs_index,
+               CAST(1 + label % 5 AS double) AS dx, (vec_id % 40) / 1000.0e0 AS slope,
+               112.0e0 - 2.2e0 * (CAST(floor(vec_id / (SELECT count(*) FROM {supplier})) AS bigint) % 5) + (vec_id % 10) / 10.0e0 AS wse,
+               0.2e0 + (vec_id % 50) / 100.0e0 AS depth_a, 0.3e0 + (vec_id % 30) / 100.0e0 AS depth_b,
+               transform(slice(embedding, 1, 32), (e, i) -> CASE WHEN i >= 29 AND vec_id % 3 = 1 THEN -1e6 ELSE 100 + abs(CAST(e AS double)) * 10 + i * 0.2e0 END) AS xs1, transform(slice(embedding, 33, 32), (e, i) -> CASE WHEN i >= 25 AND vec_id % 4 = 1 THEN -1e6 ELSE 100 + abs(CAST(e AS double)) * 10 + i * 0.2e0 END) AS xs2
+        FROM {embeddings}""",
+        """
+        SELECT vec_id AS xs_key, vec_id % (SELECT count(*) FROM {supplier}) AS site_id,
+               CAST(floor(vec_id / (SELECT count(*) FROM {supplier})) AS bigint) % 5 AS xs_index,
+               CAST(1 + label % 5 AS double) AS dx, (vec_id % 40) / 1000.0e0 AS slope,
+               112.0e0 - 2.2e0 * (CAST(floor(vec_id / (SELECT count(*) FROM {supplier})) AS bigint) % 5) + (vec_id % 10) / 10.0e0 AS wse,
+               0.2e0 + (vec_id % 50) / 100.0e0 AS depth_a, 0.3e0 + (vec_id % 30) / 100.0e0 AS depth_b,
+               list_transform(embedding[1:32], lambda e, i: CASE WHEN i - 1 >= 29 AND vec_id % 3 = 1 THEN -1e6 ELSE 100 + abs(CAST(e AS double)) * 10 + (i - 1) * 0.2e0 END) AS xs1, list_transform(embedding[33:64], lambda e, i: CASE WHEN i - 1 >= 25 AND vec_id % 4 = 1 THEN -1e6 ELSE 100 + abs(CAST(e AS double)) * 10 + (i - 1) * 0.2e0 END) AS xs2
+        FROM {embeddings}""",
+    ),
     "profile_text": (
         """
         SELECT vec_id AS xs_key,

@@ -112,9 +112,9 @@ def duration_curve_rows(flow: DataFrame) -> DataFrame:
     )
 
 
-def exceedance_of(lookups: DataFrame, flow: DataFrame, value: str, out: str) -> DataFrame:
-    """Exceedance of the recorded flow closest to ``value``; the smaller exceedance on a tie."""
-    return ranking.nearest_value(lookups, duration_curve(flow), ["reach_id"], value, "exceedance", out)
+def exceedance_of(lookups: DataFrame, flow: DataFrame, outs: dict[str, str]) -> DataFrame:
+    """Exceedance of the recorded flow closest to each value column; the smaller exceedance on a tie."""
+    return ranking.nearest_value(lookups, duration_curve(flow), ["reach_id"], outs, "exceedance")
 
 
 def flow_on(asks: DataFrame, flow: DataFrame, date: str, out: str) -> DataFrame:

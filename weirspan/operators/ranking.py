@@ -110,26 +110,19 @@ def ranked_rows(
     ).select(*keys, "v", (F.col("first") + F.col("i")).alias("rank"), "total")
 
 
-def nearest_value(
-    lookups: DataFrame,
-    curve: DataFrame,
-    keys: Sequence[str],
-    lookup: str,
-    payload: str,
-    out: str,
-    large_key: int = LARGE_KEY,
-    out_value: str | None = None,
+def nearest_answers(
+    asked: DataFrame, curve: DataFrame, keys: Sequence[str], payload: str, large_key: int = LARGE_KEY
 ) -> DataFrame:
-    """For each lookup the ``payload`` of the curve point ``v`` nearest in value; a tie takes the larger value.
+    """``keys, q, value, payload`` for every distinct asked value ``q``: the curve point nearest in value.
 
-    ``curve`` holds distinct ``(keys, v)``. Both sides are merged in value order and each lookup sees the
-    last point below and the first point above, so no lookup is paired with more than two points.
-    ``out_value`` additionally names a column for the value of the point taken.
+    ``asked`` holds ``(keys, q)``, ``curve`` distinct ``(keys, v)`` with ``payload``. Both sides are merged in
+    value order and each question sees the last point below and the first point above, so no question meets
+    more than two points. A tie takes the larger value.
     """
     keys = list(keys)
-    asked = value_counts(lookups, keys, lookup).select(*keys, "v", F.lit(None).cast("double").alias("pay"), F.lit(1).alias("side"))
+    questions = value_counts(asked, keys, "q").select(*keys, "v", F.lit(None).cast("double").alias("pay"), F.lit(1).alias("side"))
     known = curve.select(*keys, "v", F.col(payload).cast("double").alias("pay"), F.lit(0).alias("side"))
-    sliced = with_slice(known.unionByName(asked), keys, large_key)
+    sliced = with_slice(known.unionByName(questions), keys, large_key)
     on_curve = F.col("side") == 0
     point = F.when(on_curve, F.struct("v", "pay"))
     order = W.partitionBy(*keys, "slice").orderBy("v", "side")
@@ -156,10 +149,22 @@ def nearest_value(
     below, above = F.coalesce("below", "carry_below"), F.coalesce("above", "carry_above")
     take_above = below.isNull() | (above["v"] - F.col("v") <= F.col("v") - below["v"])
     best = F.when(take_above & above.isNotNull(), above).otherwise(below)
-    answers = (
+    return (
         merged.where(F.col("side") == 1)
         .join(ends, [*keys, "slice"])
-        .select(*keys, F.col("v").alias("__q"), best.alias("__best"))
-        .select(*keys, "__q", F.col("__best.pay").alias(out), *([F.col("__best.v").alias(out_value)] if out_value else []))
+        .select(*keys, F.col("v").alias("q"), best.alias("best"))
+        .select(*keys, "q", F.col("best.v").alias("value"), F.col("best.pay").alias("payload"))
     )
-    return lookups.withColumn("__q", F.col(lookup).cast("double")).join(answers, [*keys, "__q"], "left").drop("__q")
+
+
+def nearest_value(
+    lookups: DataFrame, curve: DataFrame, keys: Sequence[str], outs: dict[str, str], payload: str, large_key: int = LARGE_KEY
+) -> DataFrame:
+    """Add the payload of the nearest curve point for each value column of ``outs`` (value -> new column)."""
+    keys = list(keys)
+    values = F.explode(F.array(*[F.col(c).cast("double") for c in outs]))
+    answers = nearest_answers(lookups.select(*keys, values.alias("q")), curve, keys, payload, large_key)
+    for c, out in outs.items():
+        one = answers.select(*keys, F.col("q").alias("__q"), F.col("payload").alias(out))
+        lookups = lookups.withColumn("__q", F.col(c).cast("double")).join(one, [*keys, "__q"], "left").drop("__q")
+    return lookups

@@ -161,7 +161,7 @@ def _(t):
 )
 def _(t):
     asked = t.incidents.select("incident_id", "site_id", F.col("site_id").alias("reach_id"), "flow", (F.col("flow") / 10).alias("q"))
-    out = flow.exceedance_of(asked, t.flow_daily, "q", "exceedance")
+    out = flow.exceedance_of(asked, t.flow_daily, {"q": "exceedance"})
     return out.select("incident_id", "site_id", r("flow").alias("flow"), r("exceedance").alias("exceedance"))
 
 

@@ -58,5 +58,5 @@ def update_baseflow(stats: DataFrame, scan_dates: DataFrame, record: DataFrame)
 def exceedance_per_source(incidents: DataFrame, records: dict[str, DataFrame]) -> DataFrame:
     """Exceedance of ``flow_<source>`` in that source's record; NULL for sites without one."""
     return reduce(
-        lambda df, s: flow.exceedance_of(df, records[s], f"flow_{s}", f"exceedance_{s}"), records, incidents
+        lambda df, s: flow.exceedance_of(df, records[s], {f"flow_{s}": f"exceedance_{s}"}), records, incidents
     )
