@@ -96,9 +96,9 @@ def exceedance_flows(flow: DataFrame) -> DataFrame:
     return ranking.quantiles(flow, ["reach_id"], "streamflow", names)
 
 
-def duration_curve(flow: DataFrame) -> DataFrame:
+def duration_curve(flow: DataFrame, limits: DataFrame | None | str = "ask") -> DataFrame:
     """One row per distinct flow: exceedance of its first occurrence in descending order."""
-    cum = ranking.cumulative_counts(flow, ["reach_id"], "streamflow")
+    cum = ranking.cumulative_counts(flow, ["reach_id"], "streamflow", limits=limits)
     first = F.col("total") - F.col("before") - F.col("cnt") + 1
     return cum.select("reach_id", "v", "cnt", (F.lit(100.0) * first / (F.col("total") + 1)).alias("exceedance"))
 
@@ -114,7 +114,8 @@ def duration_curve_rows(flow: DataFrame) -> DataFrame:
 
 def exceedance_of(lookups: DataFrame, flow: DataFrame, outs: dict[str, str]) -> DataFrame:
     """Exceedance of the recorded flow closest to each value column; the smaller exceedance on a tie."""
-    return ranking.nearest_value(lookups, duration_curve(flow), ["reach_id"], outs, "exceedance")
+    limits = ranking.slice_limits(flow, ["reach_id"], "streamflow")
+    return ranking.nearest_value(lookups, duration_curve(flow, limits), ["reach_id"], outs, "exceedance", limits)
 
 
 def flow_on(asks: DataFrame, flow: DataFrame, date: str, out: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Exact ranks, quantiles and nearest-value lookups that survive one key holding most of the rows.
 
-A window over a key puts that key's rows into one task. Here equal values are first counted together
-(a combine before the shuffle), and a key that still has very many distinct values is cut into slices
-of its value range, so no task sorts more than one slice. Ranks come from the running count inside the
-slice plus the counts of the slices before it.
+A window over a key puts that key's rows into one task. Equal values are therefore counted together
+first (a combine before the shuffle), and a key with very many rows is cut into slices of its value
+range, so no task sorts more than one slice. Ranks come from the running count inside the slice plus
+the counts of the slices before it. Whether any key needs slicing is asked beforehand with one
+aggregation over the key column; without such keys the plan stays a single window.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# A key is sliced when it has more distinct values than LARGE_KEY and more than 1/MAX_SLICED of all of
-# them. At most MAX_SLICED keys can meet the second condition, which bounds the broadcast table of
-# slice limits: MAX_SLICED x SLICES doubles, 10 MB.
+# Keys with more than LARGE_KEY rows are sliced, the MAX_SLICED largest of them at most: any other key
+# then holds less than 1/MAX_SLICED of the rows. This bounds the table of slice limits, which is
+# broadcast: MAX_SLICED x SLICES doubles, 10 MB.
 LARGE_KEY = 1_000_000
 MAX_SLICED = 10_000
 SLICES = 128
@@ -24,44 +25,72 @@ SLICES = 128
 EXPAND_BLOCK = 100_000
 
 
+def _known(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    v = F.col(value).cast("double")
+    return df.select(*keys, v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+
+
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per key and distinct value with its multiplicity ``cnt``; NULL and NaN values left out."""
-    v = F.col(value).cast("double")
-    known = df.select(*keys, v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    return known.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("cnt"))
+    return _known(df, keys, value).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def with_slice(values: DataFrame, keys: Sequence[str], large_key: int = LARGE_KEY) -> DataFrame:
-    """Add ``slice``: 0 for ordinary keys, the part of the value range for very large ones."""
-    sizes = values.groupBy(*keys).agg(F.count("v").alias("n"))
-    limit = sizes.agg(F.greatest(F.lit(large_key), F.sum("n") / F.lit(MAX_SLICED)).alias("limit")).scalar()
-    large = sizes.where(F.col("n") > limit).select(*keys)
+def slice_limits(df: DataFrame, keys: Sequence[str], value: str, large_key: int | None = None) -> DataFrame | None:
+    """Ascending value limits of the keys to be sliced, or None when no key is that large.
+
+    The limits are fetched once, so every use of them and every retried task cuts at the same places.
+    """
+    large_key = LARGE_KEY if large_key is None else large_key
+    keys = list(keys)
+    rows = _known(df, keys, value)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large_key)
+    large = sizes.orderBy(F.desc("n")).limit(MAX_SLICED).select(*keys).collect()
+    if not large:
+        return None
+    spark, schema = df.sparkSession, df.select(*keys).schema
+    chosen = rows.join(F.broadcast(spark.createDataFrame(large, schema)), keys, "left_semi")
     shares = [i / SLICES for i in range(1, SLICES)]
-    limits = (
-        values.join(F.broadcast(large), list(keys), "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx("v", shares, 1000).alias("limits"))
-    )
-    return values.join(F.broadcast(limits), list(keys), "left").select(
-        *values.columns,
-        F.when(F.col("limits").isNull(), F.lit(0))
-        .otherwise(F.size(F.filter("limits", lambda b: b < F.col("v"))))
-        .alias("slice"),
-    )
+    limits = chosen.groupBy(*keys).agg(F.percentile_approx("v", shares, 1000).alias("limits"))
+    return spark.createDataFrame(limits.collect(), limits.schema)
+
+
+def merge_limits(a: DataFrame | None, b: DataFrame | None, keys: Sequence[str]) -> DataFrame | None:
+    if a is None or b is None:
+        return b if a is None else a
+    both = a.join(b.withColumnRenamed("limits", "more"), list(keys), "full")
+    none = F.array().cast("array<double>")
+    merged = F.array_sort(F.array_union(F.coalesce("limits", none), F.coalesce("more", none)))
+    return both.select(*keys, merged.alias("limits"))
 
 
-def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str, large_key: int = LARGE_KEY) -> DataFrame:
-    """Distinct values ``v`` with ``cnt``, the number of smaller rows ``before`` and the key's ``total``."""
+def with_slice(values: DataFrame, keys: Sequence[str], limits: DataFrame) -> DataFrame:
+    """Add ``slice``: 0 for ordinary keys, the part of the value range for very large ones."""
+    part = F.size(F.filter("limits", lambda b: b < F.col("v")))
+    joined = values.join(F.broadcast(limits), list(keys), "left")
+    return joined.select(*values.columns, F.when(F.col("limits").isNull(), F.lit(0)).otherwise(part).alias("slice"))
+
+
+def cumulative_counts(
+    df: DataFrame, keys: Sequence[str], value: str, large_key: int | None = None, limits: DataFrame | None | str = "ask"
+) -> DataFrame:
+    """Distinct values ``v`` with ``cnt``, the number of smaller rows ``before`` and the key's ``total``.
+
+    ``limits`` takes the result of ``slice_limits`` where the caller already has it.
+    """
     keys = list(keys)
-    values = with_slice(value_counts(df, keys, value), keys, large_key)
+    values = value_counts(df, keys, value)
+    limits = slice_limits(df, keys, value, large_key) if isinstance(limits, str) else limits
+    if limits is None:
+        upto = F.sum("cnt").over(W.partitionBy(*keys).orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
+        total = F.sum("cnt").over(W.partitionBy(*keys))
+        return values.select(*keys, "v", "cnt", (upto - F.col("cnt")).alias("before"), total.alias("total"))
+    sliced = with_slice(values, keys, limits)
     inside = W.partitionBy(*keys, "slice").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = values.withColumn("upto", F.sum("cnt").over(inside))
-    per_slice = values.groupBy(*keys, "slice").agg(F.sum("cnt").alias("rows"))
+    ranked = sliced.withColumn("upto", F.sum("cnt").over(inside))
+    per_slice = sliced.groupBy(*keys, "slice").agg(F.sum("cnt").alias("rows"))
     across = W.partitionBy(*keys).orderBy("slice").rowsBetween(W.unboundedPreceding, W.currentRow)
     per_slice = per_slice.select(
-        *keys,
-        "slice",
-        (F.sum("rows").over(across) - F.col("rows")).alias("offset"),
+        *keys, "slice", (F.sum("rows").over(across) - F.col("rows")).alias("offset"),
         F.sum("rows").over(W.partitionBy(*keys)).alias("total"),
     )
     return ranked.join(per_slice, [*keys, "slice"]).select(
@@ -70,7 +99,7 @@ def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str, large_key:
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, names: dict[str, float], large_key: int = LARGE_KEY
+    df: DataFrame, keys: Sequence[str], value: str, names: dict[str, float], large_key: int | None = None
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles: one row per key, one column per entry of ``names``."""
     cum = cumulative_counts(df, keys, value, large_key)
@@ -89,12 +118,12 @@ def quantiles(
     return cum.groupBy(*keys).agg(F.first("total").alias("total__"), *picks).select(*keys, *outs)
 
 
-def median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", large_key: int = LARGE_KEY) -> DataFrame:
+def median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", large_key: int | None = None) -> DataFrame:
     return quantiles(df, keys, value, {name: 0.5}, large_key)
 
 
 def ranked_rows(
-    df: DataFrame, keys: Sequence[str], value: str, descending: bool = False, large_key: int = LARGE_KEY
+    df: DataFrame, keys: Sequence[str], value: str, descending: bool = False, large_key: int | None = None
 ) -> DataFrame:
     """One row per input row: ``keys, v, rank, total`` with ranks 1..total, ties in consecutive ranks."""
     cum = cumulative_counts(df, keys, value, large_key)
@@ -110,8 +139,12 @@ def ranked_rows(
     ).select(*keys, "v", (F.col("first") + F.col("i")).alias("rank"), "total")
 
 
+def _point(v: str, pay: str, known: Column) -> Column:
+    return F.when(known, F.struct(F.col(v).alias("v"), F.col(pay).alias("pay")))
+
+
 def nearest_answers(
-    asked: DataFrame, curve: DataFrame, keys: Sequence[str], payload: str, large_key: int = LARGE_KEY
+    asked: DataFrame, curve: DataFrame, keys: Sequence[str], payload: str, limits: DataFrame | None = None
 ) -> DataFrame:
     """``keys, q, value, payload`` for every distinct asked value ``q``: the curve point nearest in value.
 
@@ -122,49 +155,67 @@ def nearest_answers(
     keys = list(keys)
     questions = value_counts(asked, keys, "q").select(*keys, "v", F.lit(None).cast("double").alias("pay"), F.lit(1).alias("side"))
     known = curve.select(*keys, "v", F.col(payload).cast("double").alias("pay"), F.lit(0).alias("side"))
-    sliced = with_slice(known.unionByName(questions), keys, large_key)
+    merged = known.unionByName(questions)
+    group = keys
+    if limits is not None:
+        merged, group = with_slice(merged, keys, limits), [*keys, "slice"]
     on_curve = F.col("side") == 0
-    point = F.when(on_curve, F.struct("v", "pay"))
-    order = W.partitionBy(*keys, "slice").orderBy("v", "side")
-    merged = sliced.select(
-        *keys, "slice", "v", "side",
+    order = W.partitionBy(*group).orderBy("v", "side")
+    point = _point("v", "pay", on_curve)
+    seen = merged.select(
+        *group, "v", "side",
         F.last(point, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("below"),
         F.first(point, ignorenulls=True).over(order.rowsBetween(W.currentRow, W.unboundedFollowing)).alias("above"),
-    )
-    # Points carried in from neighbouring slices; one row per key and slice.
-    ends = sliced.groupBy(*keys, "slice").agg(
-        F.max(F.when(on_curve, F.col("v"))).alias("hi_v"),
-        F.max_by("pay", F.when(on_curve, F.col("v"))).alias("hi_p"),
-        F.min(F.when(on_curve, F.col("v"))).alias("lo_v"),
-        F.min_by("pay", F.when(on_curve, F.col("v"))).alias("lo_p"),
-    )
-    line = W.partitionBy(*keys).orderBy("slice")
-    hi = F.when(F.col("hi_v").isNotNull(), F.struct(F.col("hi_v").alias("v"), F.col("hi_p").alias("pay")))
-    lo = F.when(F.col("lo_v").isNotNull(), F.struct(F.col("lo_v").alias("v"), F.col("lo_p").alias("pay")))
-    ends = ends.select(
-        *keys, "slice",
-        F.last(hi, ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, -1)).alias("carry_below"),
-        F.first(lo, ignorenulls=True).over(line.rowsBetween(1, W.unboundedFollowing)).alias("carry_above"),
-    )
-    below, above = F.coalesce("below", "carry_below"), F.coalesce("above", "carry_above")
+    ).where(F.col("side") == 1)
+    below, above = F.col("below"), F.col("above")
+    if limits is not None:
+        # Points carried in from neighbouring slices; one row per key and slice.
+        at = F.when(on_curve, F.col("v"))
+        ends = merged.groupBy(*group).agg(
+            F.max(at).alias("hi_v"), F.max_by("pay", at).alias("hi_p"), F.min(at).alias("lo_v"), F.min_by("pay", at).alias("lo_p")
+        )
+        line = W.partitionBy(*keys).orderBy("slice")
+        ends = ends.select(
+            *group,
+            F.last(_point("hi_v", "hi_p", F.col("hi_v").isNotNull()), ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, -1)).alias("carry_below"),
+            F.first(_point("lo_v", "lo_p", F.col("lo_v").isNotNull()), ignorenulls=True).over(line.rowsBetween(1, W.unboundedFollowing)).alias("carry_above"),
+        )
+        seen = seen.join(ends, group)
+        below, above = F.coalesce("below", "carry_below"), F.coalesce("above", "carry_above")
     take_above = below.isNull() | (above["v"] - F.col("v") <= F.col("v") - below["v"])
     best = F.when(take_above & above.isNotNull(), above).otherwise(below)
-    return (
-        merged.where(F.col("side") == 1)
-        .join(ends, [*keys, "slice"])
-        .select(*keys, F.col("v").alias("q"), best.alias("best"))
-        .select(*keys, "q", F.col("best.v").alias("value"), F.col("best.pay").alias("payload"))
-    )
+    found = seen.select(*keys, F.col("v").alias("q"), best.alias("best"))
+    return found.select(*keys, "q", F.col("best.v").alias("value"), F.col("best.pay").alias("payload"))
 
 
 def nearest_value(
-    lookups: DataFrame, curve: DataFrame, keys: Sequence[str], outs: dict[str, str], payload: str, large_key: int = LARGE_KEY
+    lookups: DataFrame, curve: DataFrame, keys: Sequence[str], outs: dict[str, str], payload: str,
+    limits: DataFrame | None = None, large_key: int | None = None,
 ) -> DataFrame:
-    """Add the payload of the nearest curve point for each value column of ``outs`` (value -> new column)."""
+    """Add the payload of the nearest curve point for each value column of ``outs`` (value -> new column).
+
+    ``limits`` are the slice limits of the record the curve was made from.
+    """
     keys = list(keys)
-    values = F.explode(F.array(*[F.col(c).cast("double") for c in outs]))
-    answers = nearest_answers(lookups.select(*keys, values.alias("q")), curve, keys, payload, large_key)
+    asked = lookups.select(*keys, F.explode(F.array(*[F.col(c).cast("double") for c in outs])).alias("q"))
+    limits = merge_limits(limits, slice_limits(asked, keys, "q", large_key), keys)
+    answers = nearest_answers(asked, curve, keys, payload, limits)
     for c, out in outs.items():
         one = answers.select(*keys, F.col("q").alias("__q"), F.col("payload").alias(out))
         lookups = lookups.withColumn("__q", F.col(c).cast("double")).join(one, [*keys, "__q"], "left").drop("__q")
     return lookups
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, block: int = LARGE_KEY) -> DataFrame:
+    """Sum of ``value`` up to and including the row, by the whole-number column ``order``.
+
+    The order is cut into blocks, so a key with very many rows is summed by many tasks.
+    """
+    keys = list(keys)
+    cut = df.withColumns({"__b": F.floor(F.col(order) / block), "__x": value})
+    inside = W.partitionBy(*keys, "__b").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    across = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = cut.groupBy(*keys, "__b").agg(F.sum("__x").alias("__s"))
+    sums = sums.select(*keys, "__b", (F.sum("__s").over(across) - F.col("__s")).alias("__before"))
+    own = cut.withColumn("__own", F.sum("__x").over(inside))
+    return own.join(sums, [*keys, "__b"]).select(*df.columns, (F.col("__before") + F.coalesce("__own", F.lit(0.0))).alias(out))

@@ -26,3 +26,10 @@ def day(col: Column | str) -> Column:
 def rd(expr: str, places: int = PLACES) -> str:
     """SQL counterpart of ``r``."""
     return f"round(CAST({expr} AS double), {places}) + 0.0e0"
+
+
+def chain(src: str, steps: list[str]) -> str:
+    """Lay select lists over ``src``, each reading the columns of the one before."""
+    for s in steps:
+        src = f"SELECT *, {s} FROM ({src})"
+    return src

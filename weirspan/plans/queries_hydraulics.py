@@ -11,7 +11,7 @@ from weirspan.functions import sections as sx
 from weirspan.operators import flow, jumps, keyed
 from weirspan.plans import site_analysis
 from weirspan.plans.catalog import query
-from weirspan.plans.common import day, r, rd, rounded
+from weirspan.plans.common import chain, day, r, rd, rounded
 from weirspan.plans.queries_flow import FDC
 
 # The formulas in SQL, as select lists each laid over the one before; they read q, l (length), p (height).
@@ -45,12 +45,6 @@ CLASS = """CASE WHEN y_2 IS NULL OR y_flip IS NULL OR y_2 <= 0 THEN 'N/A' WHEN y
             WHEN y_t > y_2 AND y_t < y_flip THEN 'C' WHEN y_t >= y_flip THEN 'D' ELSE 'N/A' END"""
 
 
-def chain(src: str, steps: list[str]) -> str:
-    for s in steps:
-        src = f"SELECT *, {s} FROM ({src})"
-    return src
-
-
 PAIRS = """SELECT i.incident_id, i.site_id, x.xs_key, x.xs_index, i.date, i.flow AS q, s.weir_length AS l, s.p_known AS p, x.depth_a * power(i.flow, x.depth_b) AS y_t
          FROM {xs_water} x JOIN {sites} s ON x.site_id = s.site_id JOIN {incidents} i ON i.site_id = x.site_id WHERE i.flow > 0"""
 POINTS = """SELECT i.incident_id, i.flow AS q, s.weir_length AS l, s.p_known AS p, 0.4e0 * power(i.flow, 0.45e0) AS y_t
