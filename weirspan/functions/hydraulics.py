@@ -208,7 +208,7 @@ def with_weir_geometry(
     )
 
 
-def root_or_bound(residual, lo: Column, hi: Column, halvings: int = 60) -> Column:
+def root_or_bound(residual, lo: Column, hi: Column, halvings: int = 45) -> Column:
     """Root of ``residual`` on [lo, hi]; without a sign change the lower bound if negative, else the upper."""
     ends = F.struct(residual(lo).alias("lo"), residual(hi).alias("hi"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weirspan.functions import hydraulics as hy
 from weirspan.functions import sections as sx
 from weirspan.operators import keyed
+from weirspan.session import spread
 
 RECTANGULAR, MOMENTUM = "rectangular", "momentum"
 GRID = 100
@@ -37,6 +38,7 @@ def with_danger_range(sections: DataFrame, mode: str) -> DataFrame:
     """``qmin``, ``qmax`` within the search bounds ``q_lo``, ``q_hi``; NULL without a structure height."""
     args = [F.col("weir_length"), F.when(F.col("p_height") != 0, F.col("p_height")), F.col("depth_a"), F.col("depth_b")]
     bounds = [F.col("q_lo"), F.col("q_hi")]
+    sections = spread(sections)
     if mode == MOMENTUM:
         lo, hi = sx.danger_range_momentum(*args, F.col("stage"), *bounds)
     else:
@@ -66,13 +68,12 @@ def with_jump(rows: DataFrame, flow: str, mode: str = RECTANGULAR) -> DataFrame:
 def jumps_at_incidents(sections: DataFrame, incidents: DataFrame, mode: str = RECTANGULAR) -> DataFrame:
     """One row per downstream section and incident with a positive flow at its site."""
     below = sections.where((F.col("xs_index") > 0) & (F.col("p_height") != 0))
-    # The thin side is spread evenly before it fans out over the sections, whatever its files look like.
-    spread = incidents.where(F.col("flow") > 0).repartition("site_id", "flow")
-    return with_jump(spread.join(below, "site_id"), "flow", mode)
+    # Both sides are thin next to their product; dealt out evenly, either may be the streamed side.
+    return with_jump(spread(incidents.where(F.col("flow") > 0)).join(spread(below), "site_id"), "flow", mode)
 
 
 def danger_curves(sections: DataFrame, mode: str = RECTANGULAR) -> DataFrame:
     """Tailwater, conjugate and flip depth on 100 discharges from ``q_lo`` to ``q_hi``."""
     step = (F.col("q_hi") - F.col("q_lo")) / F.lit(GRID - 1)
-    grid = sections.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))))
+    grid = spread(sections).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))))
     return with_jump(grid.withColumn("q", F.col("q_lo") + F.col("i") * step), "q", mode)

@@ -40,3 +40,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in reliable storage so a lost executor does not replay the whole loop."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly over as many tasks as a shuffle has.
+
+    For thin inputs of costly row-wise work: the work then neither follows the layout of the files nor the
+    sizes of the keys. The number is stated, so small inputs are not merged back into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -52,7 +52,7 @@ def read_codes_csv(spark: SparkSession, path: str, schema: T.StructType, encodin
 
 def read_any_encoding(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """UTF-8, or ISO-8859-1 when the bytes are not valid UTF-8."""
-    broken = spark.read.text(path).where(F.col("value").contains("�")).limit(1)
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
     return read_codes_csv(spark, path, schema, "UTF-8" if broken.isEmpty() else "ISO-8859-1")
 
 
@@ -65,7 +65,7 @@ def read_simulator(spark: SparkSession, path: str, sep: str = ",", schema: T.Str
 
 def write_stats_csv(df: DataFrame, columns: Sequence[str], path: str) -> None:
     """CSV with a fixed column order; absent columns and values are 0.0."""
-    cols = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) if c in df.columns else F.lit(0.0).alias(c) for c in columns]
+    cols = [F.coalesce(F.col(c), F.lit(0.0).cast(df.schema[c].dataType)).alias(c) if c in df.columns else F.lit(0.0).alias(c) for c in columns]
     df.select(*cols).write.mode("overwrite").option("header", True).csv(path)
 
 
