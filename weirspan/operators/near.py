@@ -74,8 +74,9 @@ def nearest_point(
     targets = cut_lineage(targets)
     found: list[DataFrame] = []
     while not asked.isEmpty():
-        offered = targets.withColumn("bx", covered(F.col("x2"), F.col("x2"), cell, 1)).withColumn("by", covered(F.col("y2"), F.col("y2"), cell, 1))
-        binned = asked.withColumns({"bx": bin_of(F.col("x"), cell), "by": bin_of(F.col("y"), cell)})
+        # The side that shrinks from round to round is the one copied into the neighbouring bins.
+        binned = asked.withColumn("bx", covered(F.col("x"), F.col("x"), cell, 1)).withColumn("by", covered(F.col("y"), F.col("y"), cell, 1))
+        offered = targets.withColumns({"bx": bin_of(F.col("x2"), cell), "by": bin_of(F.col("y2"), cell)})
         pairs = binned.join(offered, [*on, "bx", "by"]).withColumn("dist", distance)
         best = pairs.groupBy(*on, "x", "y").agg(
             F.min("dist").alias("dist"), F.min_by(F.struct("x2", "y2", "pay"), F.struct("dist", "pay.ord")).alias("hit")
@@ -117,7 +118,7 @@ def line_segments(vertices: DataFrame, line: str = "linkno") -> DataFrame:
     return vertices.select(line, "seq", F.col("x").alias("x1"), F.col("y").alias("y1")).join(after, [line, "seq"])
 
 
-def reaches_in_box(sites: DataFrame, vertices: DataFrame, km: float = SITE_BOX_KM, size: float = 0.05) -> DataFrame:
+def reaches_in_box(sites: DataFrame, vertices: DataFrame, km: float = SITE_BOX_KM, size: float = 0.01) -> DataFrame:
     """``(site_id, linkno)`` of reaches whose extent meets the box around the site."""
     spans = vertices.groupBy("linkno").agg(F.min("x").alias("rx0"), F.min("y").alias("ry0"), F.max("x").alias("rx1"), F.max("y").alias("ry1"))
     offered = spans.withColumn("bx", covered(F.col("rx0"), F.col("rx1"), size)).withColumn("by", covered(F.col("ry0"), F.col("ry1"), size))
@@ -174,8 +175,8 @@ def nearest_lines(left: DataFrame, right: DataFrame, on: Sequence[str], cell: fl
     right = cut_lineage(right)
     found: list[DataFrame] = []
     while True:
-        a = spread(left, 0).withColumnsRenamed({c: f"a_{c}" for c in ("x1", "y1", "x2", "y2")})
-        b = spread(right, 1).withColumnsRenamed({c: f"b_{c}" for c in ("x1", "y1", "x2", "y2")})
+        a = spread(left, 1).withColumnsRenamed({c: f"a_{c}" for c in ("x1", "y1", "x2", "y2")})
+        b = spread(right, 0).withColumnsRenamed({c: f"b_{c}" for c in ("x1", "y1", "x2", "y2")})
         d = geo.segments_distance([F.col(f"a_{c}") for c in ("x1", "y1", "x2", "y2")], [F.col(f"b_{c}") for c in ("x1", "y1", "x2", "y2")])
         d = d if places is None else F.round(d, places)
         lines = a.join(b, [*on, "bx", "by"]).groupBy(*on, "left_id", "right_id").agg(F.min(d).alias("dist"))

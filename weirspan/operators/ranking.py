@@ -16,11 +16,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Keys with more than LARGE_KEY rows are sliced, the MAX_SLICED largest of them at most: any other key
-# then holds less than 1/MAX_SLICED of the rows. This bounds the table of slice limits, which is
-# broadcast: MAX_SLICED x SLICES doubles, 10 MB.
+# then holds less than 1/MAX_SLICED of the rows. Together they get at most LIMITS slice limits, so the
+# broadcast table of limits stays within 10 MB however many rows there are; fewer large keys are cut finer.
 LARGE_KEY = 1_000_000
 MAX_SLICED = 10_000
-SLICES = 128
+LIMITS = 1_280_000
+MOST_SLICES = 4096
 # Rows written per task when a heavily repeated value is expanded again.
 EXPAND_BLOCK = 100_000
 
@@ -49,8 +50,9 @@ def slice_limits(df: DataFrame, keys: Sequence[str], value: str, large_key: int
         return None
     spark, schema = df.sparkSession, df.select(*keys).schema
     chosen = rows.join(F.broadcast(spark.createDataFrame(large, schema)), keys, "left_semi")
-    shares = [i / SLICES for i in range(1, SLICES)]
-    limits = chosen.groupBy(*keys).agg(F.percentile_approx("v", shares, 1000).alias("limits"))
+    slices = min(MOST_SLICES, LIMITS // len(large))
+    shares = [i / slices for i in range(1, slices)]
+    limits = chosen.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("v", shares, 10 * slices)).alias("limits"))
     return spark.createDataFrame(limits.collect(), limits.schema)
 
 
@@ -63,11 +65,27 @@ def merge_limits(a: DataFrame | None, b: DataFrame | None, keys: Sequence[str])
     return both.select(*keys, merged.alias("limits"))
 
 
+def _count_below(limits: Column, v: Column) -> Column:
+    """Number of the ascending ``limits`` below ``v``, by halving."""
+    steps = (2 * MOST_SLICES).bit_length()
+    whole = F.struct(F.lit(0).alias("lo"), F.size(limits).alias("hi"))
+
+    def halve(s: Column, _i: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        below = (s["lo"] < s["hi"]) & (F.get(limits, mid) < v)
+        return F.struct(
+            F.when(below, mid + 1).otherwise(s["lo"]).alias("lo"),
+            F.when((s["lo"] < s["hi"]) & ~below, mid).otherwise(s["hi"]).alias("hi"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), whole, halve, lambda s: s["lo"])
+
+
 def with_slice(values: DataFrame, keys: Sequence[str], limits: DataFrame) -> DataFrame:
     """Add ``slice``: 0 for ordinary keys, the part of the value range for very large ones."""
-    part = F.size(F.filter("limits", lambda b: b < F.col("v")))
     joined = values.join(F.broadcast(limits), list(keys), "left")
-    return joined.select(*values.columns, F.when(F.col("limits").isNull(), F.lit(0)).otherwise(part).alias("slice"))
+    part = F.when(F.col("limits").isNull(), F.lit(0)).otherwise(_count_below(F.col("limits"), F.col("v")))
+    return joined.select(*values.columns, part.alias("slice"))
 
 
 def cumulative_counts(

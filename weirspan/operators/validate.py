@@ -53,7 +53,7 @@ def class_shares(classes: DataFrame, column: str) -> DataFrame:
     """Count and percentage of each class within its combination."""
     counts = classes.groupBy(*COMBO, column).agg(F.count(F.lit(1)).alias("n"))
     total = counts.groupBy(*COMBO).agg(F.sum("n").alias("total"))
-    return counts.join(total, COMBO).withColumn("pct", F.lit(100.0) * F.col("n") / F.col("total"))
+    return counts.join(F.broadcast(total), COMBO).withColumn("pct", F.lit(100.0) * F.col("n") / F.col("total"))
 
 
 def jump_shares(results: DataFrame) -> DataFrame:
@@ -197,7 +197,8 @@ def kernel_density(rows: DataFrame, keys: Sequence[str], value: str) -> DataFram
     """Gaussian density with Scott's bandwidth at 500 points from 0 to the largest value of each key.
 
     Equal values are counted first and every partial sum is combined before the shuffle, so the grid
-    costs 500 rows per key and task whatever the number of values. ``keys`` must have few values.
+    costs 500 rows per key and task whatever the number of values. ``keys`` are those of a combination, so
+    the moments are a handful of rows.
     """
     known = rows.where(F.col(value).isNotNull())
     moments = known.groupBy(*keys).agg(
@@ -206,7 +207,7 @@ def kernel_density(rows: DataFrame, keys: Sequence[str], value: str) -> DataFram
     values = ranking.value_counts(known, keys, value)
     grid = F.explode(F.sequence(F.lit(0), F.lit(GRID_POINTS - 1)))
     z = (F.col("top") * F.col("i") / F.lit(GRID_POINTS - 1) - F.col("v")) / F.col("h")
-    terms = values.join(moments, list(keys)).select("*", grid.alias("i"))
+    terms = values.join(F.broadcast(moments), list(keys)).select("*", grid.alias("i"))
     sums = terms.groupBy(*keys, "i", "n", "h", "top").agg(F.sum(F.col("cnt") * F.exp(F.lit(-0.5) * z * z)).alias("s"))
     root_2pi = 2.5066282746310002
     return sums.select(*keys, "i", (F.col("top") * F.col("i") / F.lit(GRID_POINTS - 1)).alias("x"), (F.col("s") / (F.col("n") * F.col("h") * F.lit(root_2pi))).alias("density"))

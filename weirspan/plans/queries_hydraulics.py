@@ -199,6 +199,18 @@ def _(t):
     return long.select("xs_key", "x.kind", outcome.alias("outcome"))
 
 
+@query(
+    "F21_mode_dispatch",
+    f"""SELECT g.xs_key, m AS mode, CAST(CASE WHEN g.p_height <> 0 THEN 1 ELSE 0 END AS bigint) AS ranges FROM ({chain(GEOM, GEOM_STEPS)}) g
+        JOIN (SELECT DISTINCT reach_id FROM {{flow_daily}}) f ON f.reach_id = g.site_id, (VALUES ('rectangular'), ('momentum')) AS v(m)""",
+)
+def _(t):
+    rows = site_analysis.section_heights(t.arc, site_inputs(t)).join(flow.reach_range(t.flow_daily), "reach_id")
+    found = (F.col("qmin").isNotNull() & F.col("qmax").isNotNull()).cast("bigint").alias("ranges")
+    modes = [jumps.with_danger_range(rows, m).select("xs_key", F.lit(m).alias("mode"), found) for m in (jumps.RECTANGULAR, jumps.MOMENTUM)]
+    return modes[0].unionByName(modes[1])
+
+
 @query("F18_danger_range_momentum")
 def _(t):
     rows = site_analysis.section_heights(t.arc, site_inputs(t)).join(flow.reach_range(t.flow_daily), "reach_id")

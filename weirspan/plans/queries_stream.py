@@ -1,4 +1,4 @@
-"""Source and streaming queries."""
+"""Source, sink and streaming queries. Sinks write to a fresh folder next to the checkpoints and are read back."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from weirspan.plans import reach_stats
 from weirspan.plans.catalog import query
 from weirspan.plans.common import day, r, rd, rounded
 from weirspan.operators import flow
-from weirspan.sources import tables
+from weirspan.sources import schemas, tables
 from weirspan.streaming import flow_stream
 
 
@@ -88,3 +88,85 @@ RP = flow.RETURN_PERIODS
 def _(t):
     out = reach_stats.reach_statistics_from_table(t.flow_daily, t.return_periods, t.scan_dates)
     return rounded(out, *[c for c in out.columns if c != "comid"])
+
+
+RESULT_ROWS = "SELECT site_id, strftime(date, '%Y-%m-%d') AS date, CAST(xs_index AS bigint) AS xs_index, flowline, streamflow, jump_type FROM {results}"
+
+
+def project_back(t, part):
+    root = flow_stream.scratch_table(t.spark, "project")
+    tables.write_project({"results": t.results, "sites": t.sites}, root)
+    return tables.read_project(t.spark, root)[part]
+
+
+@query("S1_project_tables_read", "SELECT site_id, name, weir_length, streamflow_source FROM {sites}")
+def _(t):
+    return project_back(t, "sites").select("site_id", "name", "weir_length", "streamflow_source")
+
+
+@query("S2_project_tables_written", RESULT_ROWS)
+def _(t):
+    out = project_back(t, "results")
+    return out.select("site_id", day("date").alias("date"), F.col("xs_index").cast("bigint").alias("xs_index"), "flowline", "streamflow", "jump_type")
+
+
+@query("S3_codes_from_csv", "SELECT linkno, huc4 FROM {reaches}")
+def _(t):
+    path = flow_stream.scratch_table(t.spark, "codes")
+    t.reaches.select("linkno", "huc4").write.option("header", True).csv(path)
+    return tables.read_codes_csv(t.spark, path, schemas.schema("linkno BIGINT, huc4 STRING"))
+
+
+@query("S4_simulator_text", f"SELECT cell_id AS \"COMID\", row_ AS \"Row\", {rd('elev')} AS \"Elev\" FROM {{cells}}")
+def _(t):
+    path = flow_stream.scratch_table(t.spark, "text")
+    t.cells.select(F.col("cell_id").alias(" COMID "), F.col("row_").alias("Row  "), F.col("elev").alias("  Elev")).write.option("header", True).option("sep", "\t").csv(path)
+    return rounded(tables.read_simulator(t.spark, path, "\t", schemas.schema("COMID BIGINT, Row BIGINT, Elev DOUBLE")), "Elev")
+
+
+@query("S5_statistics_csv", f"SELECT site_id AS comid, 0.0e0 AS known_baseflow, {rd('coalesce(baseflow_geo, 0)')} AS qout_median FROM {{sites}}")
+def _(t):
+    path = flow_stream.scratch_table(t.spark, "stats")
+    stats = t.sites.select(F.col("site_id").alias("comid"), F.col("baseflow_geo").alias("qout_median"))
+    tables.write_stats_csv(stats, ["comid", "known_baseflow", "qout_median"], path)
+    back = tables.read_codes_csv(t.spark, path, schemas.schema("comid BIGINT, known_baseflow DOUBLE, qout_median DOUBLE"))
+    return rounded(back, "qout_median")
+
+
+@query("S9_flow_store", f"SELECT reach_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, {rd('streamflow')} AS streamflow FROM {{flow_obs}}")
+def _(t):
+    path = flow_stream.scratch_table(t.spark, "flow")
+    tables.write_flow_store(t.flow_obs, path)
+    return rounded(t.spark.read.parquet(path), "streamflow").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("S11_tables_per_site", "SELECT cell_id, site_id, comid FROM {cells}")
+def _(t):
+    path = flow_stream.scratch_table(t.spark, "sites")
+    tables.write_per_site(t.cells.select("cell_id", "site_id", "comid"), path)
+    return t.spark.read.parquet(path)
+
+
+@query("S14_files_lacking_a_column", "SELECT 'cells' AS name, CAST(0 AS bigint) AS lacking WHERE EXISTS (SELECT 1 FROM {cells}) UNION ALL SELECT 'stage', 1 WHERE EXISTS (SELECT 1 FROM {stage_cells})")
+def _(t):
+    root = flow_stream.scratch_table(t.spark, "labels")
+    layers = {"cells": t.cells, "stage": t.stage_cells.drop("comid")}
+    tables.write_layers(layers, root)
+    lacking = tables.files_lacking(t.spark, [f"{root}/{n}" for n in layers], "comid")
+    names = t.spark.createDataFrame([(n,) for n in layers], "name string")
+    hits = lacking.select(F.regexp_extract("file", "/([a-z]+)/[^/]*$", 1).alias("name")).distinct().withColumn("lacking", F.lit(1).cast("bigint"))
+    return names.join(hits, "name", "left").withColumn("lacking", F.coalesce("lacking", F.lit(0)))
+
+
+@query("S15_layers", "SELECT 'sites' AS layer, site_id AS id FROM {sites} UNION ALL SELECT 'reaches', linkno FROM {reaches}")
+def _(t):
+    root = flow_stream.scratch_table(t.spark, "layers")
+    tables.write_layers({"sites": t.sites.select(F.col("site_id").alias("id")), "reaches": t.reaches.select(F.col("linkno").alias("id"))}, root)
+    return t.spark.read.parquet(f"{root}/sites").withColumn("layer", F.lit("sites")).unionByName(t.spark.read.parquet(f"{root}/reaches").withColumn("layer", F.lit("reaches"))).select("layer", "id")
+
+
+@query("S17_fallback_encoding", "SELECT page_id, concat('Rivière ', CAST(page_id AS string)) AS name FROM {pages}")
+def _(t):
+    path = flow_stream.scratch_table(t.spark, "latin")
+    t.pages.select("page_id", F.concat(F.lit("Rivière "), "page_id").alias("name")).write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return tables.read_any_encoding(t.spark, path, schemas.schema("page_id BIGINT, name STRING"))

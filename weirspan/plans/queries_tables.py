@@ -435,6 +435,18 @@ def _(t):
     return t.events.select("event_id", day(tx.gps_date(F.col("event_id") * 86399)).alias("date"))
 
 
+@query("F25_date_normalised", "SELECT event_id, strftime(CAST(ts AS date), '%Y-%m-%d') AS date FROM {events}")
+def _(t):
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    return t.events.select("event_id", day(tx.parse_date(stamp)).alias("date"))
+
+
+@query("F36_table_names_of_pairs", "SELECT concat('Results', flowline, streamflow) AS name, count(*) AS n FROM {results} GROUP BY 1")
+def _(t):
+    name = F.concat(F.lit("Results"), tx.source_pair(F.col("flowline"), F.col("streamflow")))
+    return t.results.groupBy(name.alias("name")).agg(F.count("*").alias("n"))
+
+
 @query("F26_scan_date_fallback", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN strftime(make_date(CAST(1990 + p_size AS int), 6, 15), '%Y-%m-%d') WHEN p_partkey % 3 = 1 THEN strftime(make_date(CAST(2010 + p_size % 10 AS int), 6, 15), '%Y-%m-%d') ELSE NULL END AS scan_date FROM {part}")
 def _(t):
     project = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("USGS_"), 1990 + F.col("p_size"), F.lit("_D18"))).when(
