@@ -46,8 +46,9 @@ def date_of_parts(year: Column, month: Column, day: Column) -> Column:
 
 
 def gps_date(seconds: Column) -> Column:
-    """Date of an adjusted GPS time."""
-    return F.to_date(F.timestamp_seconds(seconds + F.lit(GPS_ADJUSTMENT + GPS_EPOCH)))
+    """Date (UTC) of an adjusted GPS time."""
+    days = F.floor((seconds + F.lit(GPS_ADJUSTMENT + GPS_EPOCH)) / 86400)
+    return F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int"))
 
 
 def project_year(project: Column) -> Column:

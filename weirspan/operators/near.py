@@ -15,6 +15,8 @@ CELL_TOLERANCE = 2
 SITE_BOX_KM = 0.5
 GAUGE_BOX_DEGREES = 0.1
 STATION_ID_LENGTH = 8
+# How much wider the bins get for the points a round leaves open.
+WIDEN = 4
 
 
 def bin_of(x: Column, size: float) -> Column:
@@ -58,7 +60,7 @@ def nearest_point(
     """For each left point ``(x, y)`` the nearest right point ``(x2, y2)`` of the same ``on`` key; lowest ``ord`` on a tie.
 
     Round by round: points look into the 3x3 bins around them; a find within one bin width is final, because
-    everything outside those bins is farther. The others go on with bins twice as wide. Equal positions are
+    everything outside those bins is farther. The others go on with wider bins. Equal positions are
     paired once on both sides. ``distance`` must be at least the larger of the two coordinate differences.
     """
     on = list(on)
@@ -84,7 +86,7 @@ def nearest_point(
         best = cut_lineage(best.where(F.col("dist") <= cell))
         found.append(best)
         asked = cut_lineage(asked.join(best, [*on, "x", "y"], "left_anti"))
-        cell *= 2
+        cell *= WIDEN
     if not found:
         found = [asked.select(*on, "x", "y", F.lit(None).cast("double").alias("dist"), F.lit(None).cast(f"struct<x2:double,y2:double,pay:{targets.schema['pay'].dataType.simpleString()}>").alias("hit"))]
     hits = found[0]
@@ -186,7 +188,7 @@ def nearest_lines(left: DataFrame, right: DataFrame, on: Sequence[str], cell: fl
         left = cut_lineage(left.join(best, [*on, "left_id"], "left_anti"))
         if left.isEmpty():
             break
-        cell *= 2
+        cell *= WIDEN
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

@@ -13,9 +13,10 @@ LATENESS = "1 day"
 
 
 def daily_mean_stream(obs: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """One row per reach and day, emitted once the day is over and ``lateness`` has passed."""
+    """One row per reach and UTC day, emitted once the day is over and ``lateness`` has passed."""
     days = obs.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day"), "reach_id").agg(F.avg("streamflow").alias("streamflow"))
-    return days.select("reach_id", F.to_date("window.start").alias("date"), "streamflow")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds("window.start") / 86400).cast("int"))
+    return days.select("reach_id", day.alias("date"), "streamflow")
 
 
 def dangerous_flows(obs: DataFrame, sections: DataFrame) -> DataFrame:
