@@ -36,13 +36,14 @@ def is_removed(comments: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     """Date at the start of the text, a time part cut off; NULL when there is none."""
-    return F.try_to_date(F.substring(F.trim(text), 1, 10), "yyyy-MM-dd")
+    head = F.substring(F.trim(text), 1, 10)
+    return F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), head.try_cast("date"))
 
 
 def date_of_parts(year: Column, month: Column, day: Column) -> Column:
     """Date of three numbers, NULL when any is 0 or the day does not exist."""
     complete = (year != 0) & (month != 0) & (day != 0)
-    return F.when(complete, F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd"))
+    return F.when(complete, F.format_string("%04d-%02d-%02d", year, month, day).try_cast("date"))
 
 
 def gps_date(seconds: Column) -> Column:
