@@ -13,9 +13,14 @@ PREMIUM = 1.5
 EXCEEDANCES = (10, 20, 30, 40, 50, 60, 70, 80, 90, 100)
 
 
+def known_flow() -> Column:
+    """Flow with NaN as NULL: aggregates skip it instead of ranking it above every number."""
+    return F.when(~F.isnan("streamflow"), F.col("streamflow"))
+
+
 def daily_mean(obs: DataFrame) -> DataFrame:
     """Sub-daily observations to one mean per reach and observed day."""
-    return obs.groupBy("reach_id", F.to_date("ts").alias("date")).agg(F.avg("streamflow").alias("streamflow"))
+    return obs.groupBy("reach_id", F.to_date("ts").alias("date")).agg(F.avg(known_flow()).alias("streamflow"))
 
 
 def daily_mean_with_gaps(obs: DataFrame) -> DataFrame:
@@ -28,7 +33,7 @@ def daily_mean_with_gaps(obs: DataFrame) -> DataFrame:
 
 def reach_range(flow: DataFrame) -> DataFrame:
     """Smallest and largest flow on record."""
-    return flow.groupBy("reach_id").agg(F.min("streamflow").alias("q_lo"), F.max("streamflow").alias("q_hi"))
+    return flow.groupBy("reach_id").agg(F.min(known_flow()).alias("q_lo"), F.max(known_flow()).alias("q_hi"))
 
 
 def search_bounds(ids: DataFrame, flow: DataFrame, lo: float = 0.0, hi: float = 100.0) -> DataFrame:
@@ -39,13 +44,12 @@ def search_bounds(ids: DataFrame, flow: DataFrame, lo: float = 0.0, hi: float =
 
 
 def median_and_max(flow: DataFrame) -> DataFrame:
-    mid = ranking.median(flow, ["reach_id"], "streamflow", "qout_median")
-    top = flow.groupBy("reach_id").agg(F.max("streamflow").alias("qout_max"))
-    return mid.join(top, "reach_id").withColumn("qout_max_premium", F.col("qout_max") * PREMIUM)
+    out = ranking.quantiles(flow, ["reach_id"], "streamflow", {"qout_median": 0.5, "qout_max": 1.0})
+    return out.withColumn("qout_max_premium", F.col("qout_max") * PREMIUM)
 
 
 def annual_maxima(flow: DataFrame) -> DataFrame:
-    top = flow.groupBy("reach_id", F.year("date").alias("year")).agg(F.max("streamflow").alias("peak"))
+    top = flow.groupBy("reach_id", F.year("date").alias("year")).agg(F.max(known_flow()).alias("peak"))
     return top.where(F.col("peak").isNotNull())
 
 
@@ -120,7 +124,7 @@ def exceedance_of(lookups: DataFrame, flow: DataFrame, outs: dict[str, str]) ->
 
 def flow_on(asks: DataFrame, flow: DataFrame, date: str, out: str) -> DataFrame:
     """Daily mean on the asked date, NULL when there is none."""
-    daily = flow.groupBy("reach_id", F.col("date").alias(date)).agg(F.avg("streamflow").alias(out))
+    daily = flow.groupBy("reach_id", F.col("date").alias(date)).agg(F.avg(known_flow()).alias(out))
     return asks.join(daily, ["reach_id", date], "left")
 
 
