@@ -84,7 +84,7 @@ SQL: dict[str, str | tuple[str, str]] = {
         FROM {embeddings}""",
     ),
     # Merged simulator output: one row per section of a site, index 0 upstream.
-    "arc": (
+    "surveys": (
         """
         SELECT vec_id AS xs_key, vec_id % (SELECT count(*) FROM {supplier}) AS site_id,
                CAST(floor(vec_id / (SELECT count(*) FROM {supplier})) AS bigint) % 5 AS xs_index,

@@ -14,9 +14,9 @@ RECTANGULAR, MOMENTUM = "rectangular", "momentum"
 GRID = 100
 
 
-def with_profiles(arc: DataFrame) -> DataFrame:
+def with_profiles(surveys: DataFrame) -> DataFrame:
     """Bed elevation, depth profiles and stage table of each section."""
-    out = arc.withColumn("bed", sx.bed_elevation(F.col("xs1"), F.col("xs2")))
+    out = surveys.withColumn("bed", sx.bed_elevation(F.col("xs1"), F.col("xs2")))
     out = out.withColumns({"d1": sx.depth_profile(F.col("xs1"), F.col("bed")), "d2": sx.depth_profile(F.col("xs2"), F.col("bed"))})
     return out.withColumn("stage", sx.stage_table(F.col("d1"), F.col("d2"), F.col("dx")))
 

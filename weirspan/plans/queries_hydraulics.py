@@ -116,9 +116,9 @@ def bisect_sql(lo: str, hi: str, right: str, n: int) -> str:
 
 
 VALID = "list_filter(list_concat(xs1, xs2), lambda z: z > -1e5)"
-UPSTREAM = "(SELECT site_id, arg_min(wse, struct_pack(a := CASE WHEN xs_index = 0 THEN 0 ELSE 1 END, b := xs_index, c := wse)) AS wse_up FROM {arc} GROUP BY site_id)"
+UPSTREAM = "(SELECT site_id, arg_min(wse, struct_pack(a := CASE WHEN xs_index = 0 THEN 0 ELSE 1 END, b := xs_index, c := wse)) AS wse_up FROM {surveys} GROUP BY site_id)"
 GEOM = f"""SELECT x.xs_key, x.site_id, x.xs_index, x.depth_a AS a, x.depth_b AS b, x.slope, s.weir_length AS l, CASE WHEN s.baseflow_nwm = 0 THEN s.weir_length / 4 ELSE s.baseflow_nwm END AS q,
-       x.wse - list_min({VALID}) AS yt, u.wse_up - x.wse AS dw FROM {{arc}} x JOIN {{sites}} s ON x.site_id = s.site_id JOIN {UPSTREAM} u ON u.site_id = x.site_id"""
+       x.wse - list_min({VALID}) AS yt, u.wse_up - x.wse AS dw FROM {{surveys}} x JOIN {{sites}} s ON x.site_id = s.site_id JOIN {UPSTREAM} u ON u.site_id = x.site_id"""
 GEOM_STEPS = [
     "power(1.5e0 * q / l / 0.62e0 / sqrt(2 * 9.81e0), 2 / 3e0) AS h0",
     f"{residual_sql('(0.1e0 * h0)')} AS r_lo, {residual_sql('(10e0 * h0)')} AS r_hi",
@@ -134,12 +134,12 @@ def site_inputs(t):
 
 @query("F4_weir_geometry", f"SELECT xs_key, {rd('head')} AS head, {rd('p_height')} AS p_height FROM ({chain(GEOM, GEOM_STEPS)})")
 def _(t):
-    return rounded(site_analysis.section_heights(t.arc, site_inputs(t)).select("xs_key", "head", "p_height"), "head", "p_height")
+    return rounded(site_analysis.section_heights(t.surveys, site_inputs(t)).select("xs_key", "head", "p_height"), "head", "p_height")
 
 
 @query("F3_weir_head_any_regime", f"SELECT xs_key, {rd('hs')} AS head FROM ({chain(GEOM, GEOM_STEPS)})")
 def _(t):
-    rows = jumps.with_profiles(t.arc).join(site_inputs(t), "site_id")
+    rows = jumps.with_profiles(t.surveys).join(site_inputs(t), "site_id")
     rows = keyed.with_upstream(rows, ["wse"])
     head = hy.weir_head_any_regime(F.col("baseflow"), F.col("weir_length"), F.col("wse") - F.col("bed"), F.col("wse_up") - F.col("wse"))
     return rows.select("xs_key", r(head).alias("head"))
@@ -148,10 +148,10 @@ def _(t):
 @query(
     "F37_depth_crest_and_fall",
     f"""SELECT xs_key, {rd('yt')} AS depth, {rd('dw')} AS fall, {rd('bed + p_height')} AS crest
-        FROM (SELECT g.*, list_min({VALID}) AS bed FROM ({chain(GEOM, GEOM_STEPS)}) g JOIN {{arc}} x ON g.xs_key = x.xs_key)""",
+        FROM (SELECT g.*, list_min({VALID}) AS bed FROM ({chain(GEOM, GEOM_STEPS)}) g JOIN {{surveys}} x ON g.xs_key = x.xs_key)""",
 )
 def _(t):
-    rows = keyed.with_upstream(site_analysis.section_heights(t.arc, site_inputs(t)), ["wse"])
+    rows = keyed.with_upstream(site_analysis.section_heights(t.surveys, site_inputs(t)), ["wse"])
     return rows.select("xs_key", r(F.col("wse") - F.col("bed")).alias("depth"), r(F.col("wse_up") - F.col("wse")).alias("fall"), r(F.col("bed") + F.col("p_height")).alias("crest"))
 
 
@@ -205,7 +205,7 @@ def _(t):
         JOIN (SELECT DISTINCT reach_id FROM {{flow_daily}}) f ON f.reach_id = g.site_id, (VALUES ('rectangular'), ('momentum')) AS v(m)""",
 )
 def _(t):
-    rows = site_analysis.section_heights(t.arc, site_inputs(t)).join(flow.reach_range(t.flow_daily), "reach_id")
+    rows = site_analysis.section_heights(t.surveys, site_inputs(t)).join(flow.reach_range(t.flow_daily), "reach_id")
     found = (F.col("qmin").isNotNull() & F.col("qmax").isNotNull()).cast("bigint").alias("ranges")
     modes = [jumps.with_danger_range(rows, m).select("xs_key", F.lit(m).alias("mode"), found) for m in (jumps.RECTANGULAR, jumps.MOMENTUM)]
     return modes[0].unionByName(modes[1])
@@ -213,7 +213,7 @@ def _(t):
 
 @query("F18_danger_range_momentum")
 def _(t):
-    rows = site_analysis.section_heights(t.arc, site_inputs(t)).join(flow.reach_range(t.flow_daily), "reach_id")
+    rows = site_analysis.section_heights(t.surveys, site_inputs(t)).join(flow.reach_range(t.flow_daily), "reach_id")
     return rounded(jumps.with_danger_range(rows, jumps.MOMENTUM).select("xs_key", "p_height", "qmin", "qmax"), "p_height", "qmin", "qmax")
 
 
@@ -390,7 +390,7 @@ K6_ROWS = f"""SELECT g.xs_key, g.site_id, g.xs_index, g.slope, g.l, g.a, g.b, CA
                {rd('(SELECT arg_min(e, struct_pack(d := abs(v - x.qmax), e := e)) FROM curve c WHERE c.reach_id = x.site_id AND x.qmax IS NOT NULL)')} AS prob_max FROM x""",
 )
 def _(t):
-    out = site_analysis.analyse_sections(t.arc, site_inputs(t), t.flow_daily, jumps.RECTANGULAR)
+    out = site_analysis.analyse_sections(t.surveys, site_inputs(t), t.flow_daily, jumps.RECTANGULAR)
     out = rounded(out.select("xs_key", "site_id", "xs_index", "slope", "p_height", "qmin", "qmax", "prob_min", "prob_max"), "p_height", "qmin", "qmax", "prob_min", "prob_max")
     return out.withColumn("slope", r("slope", 9))
 
@@ -404,20 +404,20 @@ K6_PAIRS = f"""SELECT g.xs_key, g.xs_index, i.incident_id, i.date, i.flow AS q,
     f"SELECT xs_key, incident_id, {rd('y_t')} AS y_t, {rd('y_flip')} AS y_flip, {rd('y_2')} AS y_2, {rd('y_1')} AS y_1, {rd('fr_1')} AS fr_1, {CLASS} AS jump_type FROM ({chain(K6_PAIRS, ALL)})",
 )
 def _(t):
-    out = site_analysis.analyse_incidents(t.arc, site_inputs(t), t.incidents, jumps.RECTANGULAR)
+    out = site_analysis.analyse_incidents(t.surveys, site_inputs(t), t.incidents, jumps.RECTANGULAR)
     out = rounded(out, "y_t", "y_flip", "y_2", "y_1", "fr_1")
     return out.select("xs_key", "incident_id", "y_t", "y_flip", "y_2", "y_1", "fr_1", "jump_type")
 
 
 @query("K6_site_analysis_results_momentum")
 def _(t):
-    out = site_analysis.analyse_incidents(t.arc, site_inputs(t), t.incidents, jumps.MOMENTUM)
+    out = site_analysis.analyse_incidents(t.surveys, site_inputs(t), t.incidents, jumps.MOMENTUM)
     out = rounded(out, "y_t", "y_flip", "y_2", "y_1", "fr_1", "m1", "m2")
     return out.select("xs_key", "incident_id", "y_t", "y_flip", "y_2", "y_1", "fr_1", "m1", "m2", "jump_type")
 
 
 @query("K7_recomputed_heads", f"SELECT xs_key, site_id, xs_index, {rd('head')} AS head_new, {rd('p_height * 1.5e0')} AS p_height FROM ({chain(GEOM, GEOM_STEPS)})")
 def _(t):
-    stored = site_analysis.section_heights(t.arc, site_inputs(t)).withColumn("p_height", F.col("p_height") * 1.5)
-    out = site_analysis.recompute_heads(stored, t.arc, site_inputs(t))
+    stored = site_analysis.section_heights(t.surveys, site_inputs(t)).withColumn("p_height", F.col("p_height") * 1.5)
+    out = site_analysis.recompute_heads(stored, t.surveys, site_inputs(t))
     return rounded(out.select("xs_key", "site_id", "xs_index", "head_new", "p_height"), "head_new", "p_height")

@@ -14,14 +14,14 @@ RESULT_COLUMNS = "site_id date xs_index y_t y_flip y_2 jump_type y_1 fr_1 m1 m2"
 SLOPE_DIGITS = 3
 
 
-def section_heights(arc: DataFrame, sites: DataFrame) -> DataFrame:
+def section_heights(surveys: DataFrame, sites: DataFrame) -> DataFrame:
     """Sections with profiles and structure height; ``sites``: site_id, reach_id, weir_length, baseflow."""
-    return jumps.with_height(jumps.with_profiles(arc).join(sites, "site_id"))
+    return jumps.with_height(jumps.with_profiles(surveys).join(sites, "site_id"))
 
 
-def analyse_sections(arc: DataFrame, sites: DataFrame, record: DataFrame, mode: str) -> DataFrame:
+def analyse_sections(surveys: DataFrame, sites: DataFrame, record: DataFrame, mode: str) -> DataFrame:
     """Structure height, dangerous range and its exceedance probabilities, one row per section."""
-    rows = section_heights(arc, sites).join(flow.reach_range(record), "reach_id", "left")
+    rows = section_heights(surveys, sites).join(flow.reach_range(record), "reach_id", "left")
     rows = rows.withColumns({"q_lo": F.coalesce("q_lo", F.lit(0.0)), "q_hi": F.coalesce("q_hi", F.lit(100.0))})
     rows = jumps.with_danger_range(rows, mode).withColumn("slope", tx.significant(F.col("slope"), SLOPE_DIGITS))
     # The range search is the costly part and is read several times below: materialise it once.
@@ -29,15 +29,15 @@ def analyse_sections(arc: DataFrame, sites: DataFrame, record: DataFrame, mode:
     return flow.exceedance_of(rows, record, {"qmin": "prob_min", "qmax": "prob_max"})
 
 
-def analyse_incidents(arc: DataFrame, sites: DataFrame, incidents: DataFrame, mode: str) -> DataFrame:
+def analyse_incidents(surveys: DataFrame, sites: DataFrame, incidents: DataFrame, mode: str) -> DataFrame:
     """Jump conditions of every downstream section at every incident of its site."""
-    sections = section_heights(arc, sites).drop("xs1", "xs2", "d1", "d2")
+    sections = section_heights(surveys, sites).drop("xs1", "xs2", "d1", "d2")
     return jumps.jumps_at_incidents(sections, incidents, mode)
 
 
-def recompute_heads(stored: DataFrame, arc: DataFrame, sites: DataFrame) -> DataFrame:
+def recompute_heads(stored: DataFrame, surveys: DataFrame, sites: DataFrame) -> DataFrame:
     """Weir head again from stored results: the stored height is kept, the head is solved anew."""
-    fresh = section_heights(arc, sites).select("site_id", "xs_index", "xs_key", F.col("head").alias("head_new"))
+    fresh = section_heights(surveys, sites).select("site_id", "xs_index", "xs_key", F.col("head").alias("head_new"))
     return fresh.join(stored.select("site_id", "xs_index", "xs_key", "p_height"), ["site_id", "xs_index", "xs_key"])
 
 
