@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirspan.llm import decontaminate, line_dedup, packing, simhash
+from weirspan.llm import decontaminate, line_dedup, packing, sharding, simhash
 from weirspan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,15 +48,15 @@ WITH d AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
   FROM benchmark
 ), item_at AS (
-  SELECT item_id, w, least(len(w), 10) AS size, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS at FROM b WHERE len(w) > 0
+  SELECT item_id, w, least(len(w), 10) AS size, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS pos FROM b WHERE len(w) > 0
 ), item_span AS (
-  SELECT DISTINCT item_id, size, array_to_string(w[at:at + size - 1], ' ') AS span FROM item_at
+  SELECT DISTINCT item_id, size, array_to_string(w[pos:pos + size - 1], ' ') AS span FROM item_at
 ), doc_at AS (
-  SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS at FROM d CROSS JOIN (SELECT DISTINCT size FROM item_span) WHERE len(w) >= size
+  SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS pos FROM d CROSS JOIN (SELECT DISTINCT size FROM item_span) WHERE len(w) >= size
 ), hit AS (
-  SELECT DISTINCT rid, at, x.size, item_id FROM (SELECT rid, at, size, array_to_string(w[at:at + size - 1], ' ') AS span FROM doc_at) x JOIN item_span s ON x.size = s.size AND x.span = s.span
+  SELECT DISTINCT rid, pos, x.size, item_id FROM (SELECT rid, pos, size, array_to_string(w[pos:pos + size - 1], ' ') AS span FROM doc_at) x JOIN item_span s ON x.size = s.size AND x.span = s.span
 ), word AS (
-  SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(at, at + size)) AS p FROM hit) GROUP BY rid
+  SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(pos, pos + size)) AS p FROM hit) GROUP BY rid
 ), item AS (
   SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY rid
 )
@@ -69,3 +69,8 @@ FROM d LEFT JOIN word USING (rid) LEFT JOIN item USING (rid)
 @register("op8_winnowing_decontamination", OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op2_balanced_label_propagation")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
