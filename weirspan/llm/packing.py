@@ -8,8 +8,11 @@ following its bin through the rounds.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -26,8 +29,10 @@ GROUP_ITEMS = 4096
 #: A bin with at most this share of its room left is emitted.
 NEARLY_FULL = 1 / 256
 MOST_ROUNDS = 8
-#: Words whose ids a Python worker remembers; the memory is cleared when it is full.
-CACHED_WORDS = 500_000
+#: Chunks whose ids a Python worker remembers, about 200 bytes each; the memory is cleared when it is full.
+CACHED_CHUNKS = 900_000
+#: Characters of text that a worker splits at a time.
+BLOCK_CHARS = 500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -38,34 +43,81 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds:
+class ChunkIds:
     """Token ids of texts, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and never joins across it, so the ids of a text are those of its
-    blank-separated chunks in order; a chunk is encoded once while it is remembered.
+    The tokenizer lower-cases, drops white space and joins neither across it nor between letters and signs. The ids of
+    a text are therefore those of its blank-separated chunks in order, and those of a word with signs behind it are
+    the word's and the signs'. A part is encoded once while it is remembered.
     """
 
-    def __init__(self, path: str, limit: int = CACHED_WORDS):
+    #: Stands between parts that are encoded in one call; its id is a single one. Parts that hold it are encoded alone.
+    MARK = "|"
+    WORD_SIGNS = re.compile(r"([^\W\d_]+)([.,;:!?$%&*#]+)")
+
+    def __init__(self, path: str, limit: int = CACHED_CHUNKS):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        (self.mark,) = self._ids(self.MARK)
         self.limit = limit
         self.known: dict[str, bytes] = {"": b""}
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, parts: list[str]) -> None:
+        together = []
+        for part in parts:
+            if self.MARK in part:
+                self.known[part] = np.asarray(self._ids(part), "<u4").tobytes()
+            else:
+                together.append(part)
+        for at in range(0, len(together), 1000):
+            few = together[at : at + 1000]
+            ids = np.asarray(self._ids(f" {self.MARK} ".join(few)), "<u4")
+            ends = [*(4 * np.flatnonzero(ids == self.mark)).tolist(), 4 * len(ids)]
+            raw, lo = ids.tobytes(), 0
+            for part, hi in zip(few, ends, strict=True):
+                self.known[part] = raw[lo:hi]
+                lo = hi + 4
+
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
+        # Within Latin-1 lower-casing first changes nothing; elsewhere, and near special tokens, it is left to the tokenizer.
+        try:
+            text.encode("latin-1")
+            text = text if "<|" in text else text.lower()
+        except UnicodeEncodeError:
+            pass
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-        new = set().union(*parts) - self.known.keys()
-        if len(self.known) + len(new) > self.limit:
-            self.known = {"": b""}
-            new = set().union(*parts) - self.known.keys()
-        chunks = list(new)
-        for chunk, coded in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False)):
-            self.known[chunk] = np.asarray(coded.ids, "<u4").tobytes()
-        of = self.known.__getitem__
-        return [b"".join(map(of, p)) for p in parts]
+        known = self.known
+        parts = [self._chunks(t) if t else [] for t in texts]
+        new = {c for p in parts for c in filterfalse(known.__contains__, p)}
+        if len(known) + len(new) > self.limit:
+            known.clear()
+            known[""] = b""
+            new = {c for p in parts for c in filterfalse(known.__contains__, p)}
+        split = {c: m.groups() for c in new if (m := self.WORD_SIGNS.fullmatch(c))}
+        bare = (new - split.keys()).union(*split.values())
+        self._learn(list(filterfalse(known.__contains__, bare)))
+        for chunk, (word, signs) in split.items():
+            known[chunk] = known[word] + known[signs]
+        return [b"".join(map(known.__getitem__, p)) for p in parts]
+
+
+_ENCODERS: dict[str, ChunkIds] = {}
 
 
-_ENCODERS: dict[str, WordIds] = {}
+def _cuts(chars: np.ndarray) -> list[tuple[int, int]]:
+    """Start and number of the rows of each block of about ``BLOCK_CHARS``, given the running sum of their characters."""
+    if not len(chars):
+        return []
+    starts = np.flatnonzero(np.diff(np.r_[-1, chars // BLOCK_CHARS])).tolist()
+    return list(zip(starts, np.diff([*starts, len(chars)]).tolist()))
 
 
 def _pieces_of(path: str, capacity: int, end_id: int):
@@ -74,10 +126,11 @@ def _pieces_of(path: str, capacity: int, end_id: int):
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.setdefault(path, WordIds(path))
+        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, ChunkIds(path))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                few = batch.slice(at, 256)
+            chars = np.cumsum([len(t) if t else 0 for t in (x.as_py() for x in batch.column(1))])
+            for at in _cuts(chars):
+                few = batch.slice(*at)
                 rows = []
                 for doc, ids in zip(few.column(0).to_pylist(), encoder.encode(few.column(1).to_pylist())):
                     ids += end
