@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirspan.llm import decontaminate, line_dedup, packing, sharding, simhash
+from weirspan.llm import decontaminate, line_dedup, lm_score, packing, sharding, simhash
 from weirspan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_balanced_label_propagation")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+@register("op3_hidden_markov_scores")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
