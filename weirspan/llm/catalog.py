@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirspan.llm import decontaminate, line_dedup, lm_score, packing, sharding, simhash, toxicity
+from weirspan.llm import decontaminate, line_dedup, lm_score, packing, pii, sharding, simhash, toxicity
 from weirspan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_boosted_tree_toxicity")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op5_disclosing_terms")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
