@@ -92,13 +92,15 @@ def features(text: str | None, weights: _Weights) -> list[float]:
     ]
 
 
-def _feature_batches(lexicon: dict[str, float], text_at: int):
+def _feature_batches(lexicon: dict[str, float], text_at: int, keep_text: bool = False):
+    """Adds the features of the column at ``text_at`` as ``x``; that column goes unless ``keep_text``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = _Weights(lexicon)
         for batch in batches:
             values = pa.array([features(t.as_py(), weights) for t in batch.column(text_at)], pa.list_(pa.float64()))
-            names = [n for i, n in enumerate(batch.schema.names) if i != text_at] + ["x"]
-            yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != text_at] + [values], names=names)
+            kept = [i for i in range(batch.num_columns) if keep_text or i != text_at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), values], names=[*(batch.schema.names[i] for i in kept), "x"])
 
     return run
 
@@ -162,13 +164,16 @@ def score(docs: DataFrame, model: Toxicity, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every row of ``docs`` and ``score``, from 0 to 1, of its whole ``text``."""
     if model.trees is None:
         return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(float(model.share)).alias("score"))
+    # Numbered names cannot clash with those that the model adds.
     kinds = dict(docs.dtypes)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["x array<double>"])
-    rows = rows.mapInArrow(_feature_batches(model.lexicon, len(keep)), schema).withColumn("features", array_to_vector("x"))
-    rows = model.trees.transform(rows).select(*[F.col(f"`{c}`") for c in keep], vector_to_array("probability")[1].alias("features"))
+    sent = keep if "text" in keep else [*keep, "text"]
+    names = [f"__{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(sent)])
+    schema = ", ".join([f"{n} {kinds[c]}" for n, c in zip(names, keep)] + ["x array<double>"])
+    rows = rows.mapInArrow(_feature_batches(model.lexicon, sent.index("text"), "text" in keep), schema).withColumn("features", array_to_vector("x"))
+    rows = model.trees.transform(rows).select(*names, vector_to_array("probability")[1].alias("features"))
     rows = model.calibration.transform(rows)
-    return rows.select(*[F.col(f"`{c}`") for c in keep], F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0)).alias("score"))
+    return rows.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0)).alias("score"))
 
 
 def report(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -179,6 +184,6 @@ def report(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
 
 def keep_clean(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` scored below ``THRESHOLD``; all columns and repeated rows are kept."""
-    rows = docs.withColumn("__doc", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    scored = score(rows.select("__doc", "text"), fit(docs, labels, sample_rows), ["__doc"])
-    return scored.where(F.col("score") < THRESHOLD).select("__doc.*")
+    scored = score(docs, fit(docs, labels, sample_rows), docs.columns)
+    names = [f"__{i}" for i in range(len(docs.columns))] + ["__score"]
+    return scored.toDF(*names).where(F.col("__score") < THRESHOLD).drop("__score").toDF(*docs.columns)
