@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirspan.llm import decontaminate, line_dedup, lm_score, neighbours, packing, pii, sharding, simhash, toxicity
+from weirspan.llm import decontaminate, line_dedup, lm_score, neighbours, packing, pii, quotes, sharding, simhash, toxicity
 from weirspan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_nn_descent")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@register("op1_quotation_linking")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))

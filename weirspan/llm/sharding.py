@@ -30,14 +30,14 @@ def positions(df: DataFrame, group: str, order: list[str | Column]) -> DataFrame
     """Add ``position``, gapless from 0 within each ``group`` in ``order``, without sorting a group in one task.
 
     Rows are sorted by range; a partition's rows are numbered in place, and the counts of earlier partitions of the
-    group are added. That table of counts has a row per partition and group at most.
+    group are added. A group has a row of counts for each partition it lies in.
     """
     rows = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
-    rows = cut_lineage(rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__row", 33)))
+    rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__row", 33)))
     before = W.partitionBy(group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     counts = rows.groupBy(group, "__part").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"))
     counts = counts.select(group, "__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    joined = rows.join(F.broadcast(counts), [group, "__part"])
+    joined = rows.join(counts, [group, "__part"])
     return joined.select(*df.columns, (F.col("__before") + F.col("__row") - F.col("__first")).alias("position"))
 
 
