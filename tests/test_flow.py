@@ -49,31 +49,42 @@ def same(a, b):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
-def test_sliced_ranks_equal_plain_ranks(skewed):
-    args = (skewed, ["reach_id"], "streamflow")
-    cut = ranking.slice_limits(*args, large_key=100)
-    assert cut is not None and ranking.slice_limits(*args) is None
-    same(ranking.cumulative_counts(*args, large_key=100), ranking.cumulative_counts(*args))
-    same(ranking.ranked_rows(*args, descending=True, large_key=100), ranking.ranked_rows(*args, descending=True))
+def test_ranks_over_steps_equal_brute_force(skewed):
+    rows = {}
+    for r in skewed.collect():
+        rows.setdefault(r.reach_id, []).append(r.streamflow)
+    for r in ranking.cumulative_counts(skewed, ["reach_id"], "streamflow").collect():
+        values = rows[r.reach_id]
+        assert (r.cnt, r.before, r.total) == (values.count(r.v), sum(v < r.v for v in values), len(values))
+    got = sorted((r.reach_id, r["rank"], r.v) for r in ranking.ranked_rows(skewed, ["reach_id"], "streamflow", descending=True).collect())
+    assert got == sorted((k, i + 1, v) for k, values in rows.items() for i, v in enumerate(sorted(values, reverse=True)))
+
+
+def test_steps_never_fall(spark):
+    edge = [0.0, 5e-324, 1e-300, 1e-6, 1.0, 1.0 + 2**-52, 1e300, 1.7e308, float("inf")]
+    rng = random.Random(4)
+    values = sorted({s * v for v in edge for s in (1, -1)} | {rng.uniform(-9, 9) * 10 ** rng.randint(-9, 9) for _ in range(2000)})
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    steps = [r.s for r in df.select("i", ranking.step_of(df.v).alias("s")).orderBy("i").collect()]
+    assert steps == sorted(steps) and len(set(steps)) > 100
 
 
 def test_quantiles_of_a_hot_key(skewed):
     values = [r.streamflow for r in skewed.where("reach_id = 1").collect()]
     names = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.93, "e": 1.0}
-    got = ranking.quantiles(skewed, ["reach_id"], "streamflow", names, large_key=100).where("reach_id = 1").first()
+    got = ranking.quantiles(skewed, ["reach_id"], "streamflow", names).where("reach_id = 1").first()
     for n, p in names.items():
         assert got[n] == pytest.approx(np.quantile(values, p))
 
 
-def test_sliced_lookups_equal_brute_force(spark, skewed):
+def test_lookups_over_steps_equal_brute_force(spark, skewed):
     rng = random.Random(5)
     asked = spark.createDataFrame([(rng.choice([1, 1, 1, 2, 9, 50]), rng.uniform(-5, 70)) for _ in range(800)], "reach_id long, q double")
-    limits = ranking.slice_limits(skewed, ["reach_id"], "streamflow", large_key=100)
-    curve = flow.duration_curve(skewed, limits)
+    curve = flow.duration_curve(skewed)
     points = {}
     for r in flow.duration_curve(skewed).collect():
         points.setdefault(r.reach_id, []).append((r.v, r.exceedance))
-    got = ranking.nearest_value(asked, curve, ["reach_id"], {"q": "e"}, "exceedance", limits, large_key=50).collect()
+    got = ranking.nearest_value(asked, curve, ["reach_id"], {"q": "e"}, "exceedance").collect()
     assert len(got) == 800
     for r in got:
         want = min(((abs(v - r.q), e) for v, e in points.get(r.reach_id, [])), default=(None, None))[1]

@@ -69,7 +69,7 @@ def jumps_at_incidents(sections: DataFrame, incidents: DataFrame, mode: str = RE
     """One row per downstream section and incident with a positive flow at its site."""
     below = sections.where((F.col("xs_index") > 0) & (F.col("p_height") != 0))
     # Both sides are thin next to their product; dealt out evenly, either may be the streamed side.
-    return with_jump(spread(incidents.where(F.col("flow") > 0)).join(spread(below), "site_id"), "flow", mode)
+    return with_jump(spread(incidents.where(F.col("flow") > 0).join(below, "site_id")), "flow", mode)
 
 
 def danger_curves(sections: DataFrame, mode: str = RECTANGULAR) -> DataFrame:

@@ -1,10 +1,9 @@
 """Exact ranks, quantiles and nearest-value lookups that survive one key holding most of the rows.
 
-A window over a key puts that key's rows into one task. Equal values are therefore counted together
-first (a combine before the shuffle), and a key with very many rows is cut into slices of its value
-range, so no task sorts more than one slice. Ranks come from the running count inside the slice plus
-the counts of the slices before it. Whether any key needs slicing is asked beforehand with one
-aggregation over the key column; without such keys the plan stays a single window.
+A window over a key would put that key's rows into one task. Equal values are therefore counted together first (a
+combine before the shuffle), and the values of every key are cut into fixed steps of a monotone scale, so no task
+sorts more than one step of one key. Ranks come from the running count inside the step plus the counts of the
+steps before it. One plan serves all sizes: nothing is sampled and nothing visits the driver.
 """
 
 from __future__ import annotations
@@ -15,17 +14,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Keys with more than LARGE_KEY rows are sliced, the MAX_SLICED largest of them at most: any other key
-# then holds less than 1/MAX_SLICED of the rows. Together they get at most LIMITS slice limits, so the
-# broadcast table of limits stays within 10 MB however many rows there are; fewer large keys are cut finer.
-LARGE_KEY = 1_000_000
-MAX_SLICED = 10_000
-LIMITS = 1_280_000
-MOST_SLICES = 4096
+# Steps per e-fold of a value, and the size from which on the scale is logarithmic; a key has under two million steps.
+STEPS_PER_E_FOLD = 1024
+SMALLEST = 1e-6
+# Rows per block of a running sum.
+SUM_BLOCK = 1_000_000
 # Rows written per task when a heavily repeated value is expanded again.
 EXPAND_BLOCK = 100_000
 
 
+def step_of(v: Column) -> Column:
+    """Whole number that never falls when ``v`` rises: sign and logarithm of the value, cut into steps."""
+    size = F.least(F.log1p(F.abs(v) / F.lit(SMALLEST)) * STEPS_PER_E_FOLD, F.lit(2e6))
+    return F.floor(F.when(v < 0, -size).otherwise(size)).cast("int")
+
+
 def _known(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     v = F.col(value).cast("double")
     return df.select(*keys, v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
@@ -36,91 +39,21 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return _known(df, keys, value).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def slice_limits(df: DataFrame, keys: Sequence[str], value: str, large_key: int | None = None) -> DataFrame | None:
-    """Ascending value limits of the keys to be sliced, or None when no key is that large.
-
-    The limits are fetched once, so every use of them and every retried task cuts at the same places.
-    """
-    large_key = LARGE_KEY if large_key is None else large_key
-    keys = list(keys)
-    rows = _known(df, keys, value)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large_key)
-    large = sizes.orderBy(F.desc("n")).limit(MAX_SLICED).select(*keys).collect()
-    if not large:
-        return None
-    spark, schema = df.sparkSession, df.select(*keys).schema
-    chosen = rows.join(F.broadcast(spark.createDataFrame(large, schema)), keys, "left_semi")
-    slices = min(MOST_SLICES, LIMITS // len(large))
-    shares = [i / slices for i in range(1, slices)]
-    limits = chosen.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("v", shares, 10 * slices)).alias("limits"))
-    return spark.createDataFrame(limits.collect(), limits.schema)
-
-
-def merge_limits(a: DataFrame | None, b: DataFrame | None, keys: Sequence[str]) -> DataFrame | None:
-    if a is None or b is None:
-        return b if a is None else a
-    both = a.join(b.withColumnRenamed("limits", "more"), list(keys), "full")
-    none = F.array().cast("array<double>")
-    merged = F.array_sort(F.array_union(F.coalesce("limits", none), F.coalesce("more", none)))
-    return both.select(*keys, merged.alias("limits"))
-
-
-def _count_below(limits: Column, v: Column) -> Column:
-    """Number of the ascending ``limits`` below ``v``, by halving."""
-    steps = (2 * MOST_SLICES).bit_length()
-    whole = F.struct(F.lit(0).alias("lo"), F.size(limits).alias("hi"))
-
-    def halve(s: Column, _i: Column) -> Column:
-        mid = F.shiftright(s["lo"] + s["hi"], 1)
-        below = (s["lo"] < s["hi"]) & (F.get(limits, mid) < v)
-        return F.struct(
-            F.when(below, mid + 1).otherwise(s["lo"]).alias("lo"),
-            F.when((s["lo"] < s["hi"]) & ~below, mid).otherwise(s["hi"]).alias("hi"),
-        )
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), whole, halve, lambda s: s["lo"])
-
-
-def with_slice(values: DataFrame, keys: Sequence[str], limits: DataFrame) -> DataFrame:
-    """Add ``slice``: 0 for ordinary keys, the part of the value range for very large ones."""
-    joined = values.join(F.broadcast(limits), list(keys), "left")
-    part = F.when(F.col("limits").isNull(), F.lit(0)).otherwise(_count_below(F.col("limits"), F.col("v")))
-    return joined.select(*values.columns, part.alias("slice"))
-
-
-def cumulative_counts(
-    df: DataFrame, keys: Sequence[str], value: str, large_key: int | None = None, limits: DataFrame | None | str = "ask"
-) -> DataFrame:
-    """Distinct values ``v`` with ``cnt``, the number of smaller rows ``before`` and the key's ``total``.
-
-    ``limits`` takes the result of ``slice_limits`` where the caller already has it.
-    """
+def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Distinct values ``v`` with ``cnt``, the number of smaller rows ``before`` and the key's ``total``."""
     keys = list(keys)
-    values = value_counts(df, keys, value)
-    limits = slice_limits(df, keys, value, large_key) if isinstance(limits, str) else limits
-    if limits is None:
-        upto = F.sum("cnt").over(W.partitionBy(*keys).orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
-        total = F.sum("cnt").over(W.partitionBy(*keys))
-        return values.select(*keys, "v", "cnt", (upto - F.col("cnt")).alias("before"), total.alias("total"))
-    sliced = with_slice(values, keys, limits)
-    inside = W.partitionBy(*keys, "slice").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = sliced.withColumn("upto", F.sum("cnt").over(inside))
-    per_slice = sliced.groupBy(*keys, "slice").agg(F.sum("cnt").alias("rows"))
-    across = W.partitionBy(*keys).orderBy("slice").rowsBetween(W.unboundedPreceding, W.currentRow)
-    per_slice = per_slice.select(
-        *keys, "slice", (F.sum("rows").over(across) - F.col("rows")).alias("offset"),
-        F.sum("rows").over(W.partitionBy(*keys)).alias("total"),
-    )
-    return ranked.join(per_slice, [*keys, "slice"]).select(
-        *keys, "v", "cnt", (F.col("offset") + F.col("upto") - F.col("cnt")).alias("before"), "total"
-    )
+    values = value_counts(df, keys, value).withColumn("step", step_of(F.col("v")))
+    inside = W.partitionBy(*keys, "step").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    across = W.partitionBy(*keys).orderBy("step").rowsBetween(W.unboundedPreceding, W.currentRow)
+    steps = values.groupBy(*keys, "step").agg(F.sum("cnt").alias("rows"))
+    steps = steps.select(*keys, "step", (F.sum("rows").over(across) - F.col("rows")).alias("offset"), F.sum("rows").over(W.partitionBy(*keys)).alias("total"))
+    ranked = values.withColumn("upto", F.sum("cnt").over(inside)).join(steps, [*keys, "step"])
+    return ranked.select(*keys, "v", "cnt", (F.col("offset") + F.col("upto") - F.col("cnt")).alias("before"), "total")
 
 
-def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, names: dict[str, float], large_key: int | None = None
-) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, names: dict[str, float]) -> DataFrame:
     """Exact, linearly interpolated quantiles: one row per key, one column per entry of ``names``."""
-    cum = cumulative_counts(df, keys, value, large_key)
+    cum = cumulative_counts(df, keys, value)
     last = F.col("total") - 1
 
     def at(index: Column) -> Column:
@@ -136,15 +69,13 @@ def quantiles(
     return cum.groupBy(*keys).agg(F.first("total").alias("total__"), *picks).select(*keys, *outs)
 
 
-def median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", large_key: int | None = None) -> DataFrame:
-    return quantiles(df, keys, value, {name: 0.5}, large_key)
+def median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
+    return quantiles(df, keys, value, {name: 0.5})
 
 
-def ranked_rows(
-    df: DataFrame, keys: Sequence[str], value: str, descending: bool = False, large_key: int | None = None
-) -> DataFrame:
+def ranked_rows(df: DataFrame, keys: Sequence[str], value: str, descending: bool = False) -> DataFrame:
     """One row per input row: ``keys, v, rank, total`` with ranks 1..total, ties in consecutive ranks."""
-    cum = cumulative_counts(df, keys, value, large_key)
+    cum = cumulative_counts(df, keys, value)
     first = (F.col("total") - F.col("before") - F.col("cnt")) if descending else F.col("before")
     blocks = cum.select(
         *keys, "v", "cnt", "total", first.alias("first"),
@@ -161,9 +92,7 @@ def _point(v: str, pay: str, known: Column) -> Column:
     return F.when(known, F.struct(F.col(v).alias("v"), F.col(pay).alias("pay")))
 
 
-def nearest_answers(
-    asked: DataFrame, curve: DataFrame, keys: Sequence[str], payload: str, limits: DataFrame | None = None
-) -> DataFrame:
+def nearest_answers(asked: DataFrame, curve: DataFrame, keys: Sequence[str], payload: str) -> DataFrame:
     """``keys, q, value, payload`` for every distinct asked value ``q``: the curve point nearest in value.
 
     ``asked`` holds ``(keys, q)``, ``curve`` distinct ``(keys, v)`` with ``payload``. Both sides are merged in
@@ -173,10 +102,8 @@ def nearest_answers(
     keys = list(keys)
     questions = value_counts(asked, keys, "q").select(*keys, "v", F.lit(None).cast("double").alias("pay"), F.lit(1).alias("side"))
     known = curve.select(*keys, "v", F.col(payload).cast("double").alias("pay"), F.lit(0).alias("side"))
-    merged = known.unionByName(questions)
-    group = keys
-    if limits is not None:
-        merged, group = with_slice(merged, keys, limits), [*keys, "slice"]
+    merged = known.unionByName(questions).withColumn("step", step_of(F.col("v")))
+    group = [*keys, "step"]
     on_curve = F.col("side") == 0
     order = W.partitionBy(*group).orderBy("v", "side")
     point = _point("v", "pay", on_curve)
@@ -185,46 +112,37 @@ def nearest_answers(
         F.last(point, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("below"),
         F.first(point, ignorenulls=True).over(order.rowsBetween(W.currentRow, W.unboundedFollowing)).alias("above"),
     ).where(F.col("side") == 1)
-    below, above = F.col("below"), F.col("above")
-    if limits is not None:
-        # Points carried in from neighbouring slices; one row per key and slice.
-        at = F.when(on_curve, F.col("v"))
-        ends = merged.groupBy(*group).agg(
-            F.max(at).alias("hi_v"), F.max_by("pay", at).alias("hi_p"), F.min(at).alias("lo_v"), F.min_by("pay", at).alias("lo_p")
-        )
-        line = W.partitionBy(*keys).orderBy("slice")
-        ends = ends.select(
-            *group,
-            F.last(_point("hi_v", "hi_p", F.col("hi_v").isNotNull()), ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, -1)).alias("carry_below"),
-            F.first(_point("lo_v", "lo_p", F.col("lo_v").isNotNull()), ignorenulls=True).over(line.rowsBetween(1, W.unboundedFollowing)).alias("carry_above"),
-        )
-        seen = seen.join(ends, group)
-        below, above = F.coalesce("below", "carry_below"), F.coalesce("above", "carry_above")
+    # Points carried in from neighbouring steps; one row per key and step.
+    at = F.when(on_curve, F.col("v"))
+    ends = merged.groupBy(*group).agg(
+        F.max(at).alias("hi_v"), F.max_by("pay", at).alias("hi_p"), F.min(at).alias("lo_v"), F.min_by("pay", at).alias("lo_p")
+    )
+    line = W.partitionBy(*keys).orderBy("step")
+    ends = ends.select(
+        *group,
+        F.last(_point("hi_v", "hi_p", F.col("hi_v").isNotNull()), ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, -1)).alias("carry_below"),
+        F.first(_point("lo_v", "lo_p", F.col("lo_v").isNotNull()), ignorenulls=True).over(line.rowsBetween(1, W.unboundedFollowing)).alias("carry_above"),
+    )
+    seen = seen.join(ends, group)
+    below, above = F.coalesce("below", "carry_below"), F.coalesce("above", "carry_above")
     take_above = below.isNull() | (above["v"] - F.col("v") <= F.col("v") - below["v"])
     best = F.when(take_above & above.isNotNull(), above).otherwise(below)
     found = seen.select(*keys, F.col("v").alias("q"), best.alias("best"))
     return found.select(*keys, "q", F.col("best.v").alias("value"), F.col("best.pay").alias("payload"))
 
 
-def nearest_value(
-    lookups: DataFrame, curve: DataFrame, keys: Sequence[str], outs: dict[str, str], payload: str,
-    limits: DataFrame | None = None, large_key: int | None = None,
-) -> DataFrame:
-    """Add the payload of the nearest curve point for each value column of ``outs`` (value -> new column).
-
-    ``limits`` are the slice limits of the record the curve was made from.
-    """
+def nearest_value(lookups: DataFrame, curve: DataFrame, keys: Sequence[str], outs: dict[str, str], payload: str) -> DataFrame:
+    """Add the payload of the nearest curve point for each value column of ``outs`` (value -> new column)."""
     keys = list(keys)
     asked = lookups.select(*keys, F.explode(F.array(*[F.col(c).cast("double") for c in outs])).alias("q"))
-    limits = merge_limits(limits, slice_limits(asked, keys, "q", large_key), keys)
-    answers = nearest_answers(asked, curve, keys, payload, limits)
+    answers = nearest_answers(asked, curve, keys, payload)
     for c, out in outs.items():
         one = answers.select(*keys, F.col("q").alias("__q"), F.col("payload").alias(out))
         lookups = lookups.withColumn("__q", F.col(c).cast("double")).join(one, [*keys, "__q"], "left").drop("__q")
     return lookups
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, block: int = LARGE_KEY) -> DataFrame:
+def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, block: int = SUM_BLOCK) -> DataFrame:
     """Sum of ``value`` up to and including the row, by the whole-number column ``order``.
 
     The order is cut into blocks, so a key with very many rows is summed by many tasks.

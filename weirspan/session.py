@@ -18,6 +18,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "wei
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")  # small inputs still use all cores
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
@@ -43,9 +44,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out evenly over as many tasks as a shuffle has.
+    """Rows dealt out evenly, by size: adaptive execution chooses the number of tasks and splits large ones.
 
     For thin inputs of costly row-wise work: the work then neither follows the layout of the files nor the
-    sizes of the keys. The number is stated, so small inputs are not merged back into one task.
+    sizes of the keys.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.hint("rebalance")
