@@ -41,6 +41,9 @@ SQL: dict[str, str | tuple[str, str]] = {
                     WHEN o_orderkey % 17 = 0 THEN 'duplicate' ELSE o_orderpriority END AS comments,
                CASE WHEN o_orderkey % 19 = 0 THEN 'unknown'
                     WHEN o_orderkey % 23 = 0 THEN NULL
+                    WHEN o_orderkey % 5 = 1 THEN concat(CAST(extract(month FROM o_orderdate) AS string), '/', CAST(extract(day FROM o_orderdate) AS string), '/', CAST(extract(year FROM o_orderdate) AS string))
+                    WHEN o_orderkey % 5 = 2 THEN concat(substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(3 * extract(month FROM o_orderdate) - 2 AS int), 3), ' ', CAST(extract(day FROM o_orderdate) AS string), ', ', CAST(extract(year FROM o_orderdate) AS string))
+                    WHEN o_orderkey % 5 = 3 THEN concat(CAST(CAST(o_orderdate AS date) AS string), ' 14:05:00')
                     ELSE CAST(CAST(o_orderdate AS date) AS string) END AS date_text,
                CASE WHEN o_orderkey % 10 = 3 THEN 0 ELSE CAST(extract(year FROM o_orderdate) AS int) END AS y,
                CASE WHEN o_orderkey % 10 = 5 THEN 0 ELSE CAST(extract(month FROM o_orderdate) AS int) END AS m,

@@ -34,10 +34,29 @@ def is_removed(comments: Column) -> Column:
     return F.coalesce(F.lower(F.trim(comments)) == "removed", F.lit(False))
 
 
+#: Date forms by shape: what the text looks like, and how it is then read. Each may be followed by a time.
+DATE_FORMS = (
+    (r"^\d{4}-\d{1,2}-\d{1,2}\b", "y-M-d"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}\b", "y/M/d"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}\b", "M/d/y"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}\b", "M-d-y"),
+    (r"^\d{8}$", "yyyyMMdd"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}\b", "MMM d, y"),
+    (r"^[A-Za-z]{4,} \d{1,2}, \d{4}\b", "MMMM d, y"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}\b", "d MMM y"),
+    (r"^\d{1,2} [A-Za-z]{4,} \d{4}\b", "d MMMM y"),
+)
+TIME_FORM = "['T'][ ][H:mm[:ss[.SSSSSSSSS]]][ a][XXX]"
+
+
 def parse_date(text: Column) -> Column:
-    """Date at the start of the text, a time part cut off; NULL when there is none."""
-    head = F.substring(F.trim(text), 1, 10)
-    return F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), head.try_cast("date"))
+    """Date of a whole text in one of ``DATE_FORMS``, its time part cut; NULL for anything else. Slashes read month first."""
+    whole = F.trim(text)
+    # The shape decides on one form, so a text that is no date costs no failed attempts.
+    out = F.lit(None).cast("date")
+    for shape, form in reversed(DATE_FORMS):
+        out = F.when(whole.rlike(shape), F.try_to_timestamp(whole, F.lit(form + TIME_FORM)).cast("date")).otherwise(out)
+    return out
 
 
 def date_of_parts(year: Column, month: Column, day: Column) -> Column:
@@ -65,8 +84,8 @@ def scan_date(recorded: Column, project: Column) -> Column:
 
 
 def safe_filename(text: Column) -> Column:
-    """Characters that file systems refuse become ``-``."""
-    return F.regexp_replace(text, r'[<>:"/\\|?*\s]+', "-")
+    """Each of the nine characters that file systems refuse becomes ``-``."""
+    return F.translate(text, '/\\:*?"<>|', "-" * 9)
 
 
 def id_in_path(path: Column) -> Column:

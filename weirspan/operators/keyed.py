@@ -69,9 +69,9 @@ def one_per_target(crosswalk: DataFrame, order: str = "hydroseq") -> DataFrame:
     return crosswalk.groupBy("linkno").agg(F.min_by("nhdplusid", F.struct(order, "nhdplusid")).alias("nhdplusid"))
 
 
-def lookup(df: DataFrame, table: DataFrame, key: str, value: str, out: str, default=None) -> DataFrame:
-    """Map ``key`` through a two-column table; of repeated keys the largest value counts."""
-    pairs = table.groupBy(key).agg(F.max(value).alias(out))
+def lookup(df: DataFrame, table: DataFrame, key: str, value: str, out: str, order: str, default=None) -> DataFrame:
+    """Map ``key`` through a table; of repeated keys the last in ``order`` counts, of equal ones there the largest value."""
+    pairs = table.groupBy(key).agg(F.max_by(value, F.struct(order, value)).alias(out))
     joined = df.join(pairs, key, "left")
     return joined if default is None else joined.withColumn(out, F.coalesce(out, F.lit(default)))
 

@@ -28,6 +28,15 @@ def covered(lo: Column, hi: Column, size: float, margin: int = 0) -> Column:
     return F.explode(F.sequence(bin_of(lo, size) - margin, bin_of(hi, size) + margin))
 
 
+def finite(*columns: str) -> Column:
+    """All of the coordinates are numbers: neither NULL nor NaN nor infinite."""
+    ok = F.lit(True)
+    for c in columns:
+        x = F.col(c).cast("double")
+        ok = ok & x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return ok
+
+
 def tolerance_join(left: DataFrame, right: DataFrame, tolerance: int = CELL_TOLERANCE, compat: bool = False) -> DataFrame:
     """Right columns of the nearest cell of the same reach, at most ``tolerance`` rows and columns away.
 
@@ -62,12 +71,14 @@ def nearest_point(
     Round by round: points look into the 3x3 bins around them; a find within one bin width is final, because
     everything outside those bins is farther. The others go on with wider bins. Equal positions are
     paired once on both sides. ``distance`` must be at least the larger of the two coordinate differences.
+    Points without finite coordinates take no part: left ones stay with NULLs, right ones are never found.
     """
     on = list(on)
     distance = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")) if distance is None else distance
     payload = [c for c in right.columns if c not in (*on, "x2", "y2")]
+    right = right.where(finite("x2", "y2"))
     targets = right.groupBy(*on, "x2", "y2").agg(F.min_by(F.struct(*payload), "ord").alias("pay"))
-    asked = left.select(*on, "x", "y").distinct()
+    asked = left.select(*on, "x", "y").where(finite("x", "y")).distinct()
     if on:
         asked = asked.join(right.select(*on).distinct(), on, "left_semi")
     elif right.isEmpty():
@@ -120,29 +131,53 @@ def line_segments(vertices: DataFrame, line: str = "linkno") -> DataFrame:
     return vertices.select(line, "seq", F.col("x").alias("x1"), F.col("y").alias("y1")).join(after, [line, "seq"])
 
 
-def reaches_in_box(sites: DataFrame, vertices: DataFrame, km: float = SITE_BOX_KM, size: float = 0.01) -> DataFrame:
-    """``(site_id, linkno)`` of reaches whose extent meets the box around the site."""
+def _candidates_in_box(sites: DataFrame, vertices: DataFrame, km: float, size: float) -> DataFrame:
+    """Sites and reaches whose extents meet; the box is widened, so it covers the box on the map however that is turned."""
     spans = vertices.groupBy("linkno").agg(F.min("x").alias("rx0"), F.min("y").alias("ry0"), F.max("x").alias("rx1"), F.max("y").alias("ry1"))
     offered = spans.withColumn("bx", covered(F.col("rx0"), F.col("rx1"), size)).withColumn("by", covered(F.col("ry0"), F.col("ry1"), size))
-    asked = sites.select("site_id", "latitude", "longitude").withColumns(geo.box(F.col("latitude"), F.col("longitude"), km))
+    asked = sites.select("site_id", "latitude", "longitude").where(finite("latitude", "longitude")).withColumns(geo.box(F.col("latitude"), F.col("longitude"), 1.5 * km))
     asked = asked.withColumn("bx", covered(F.col("xmin"), F.col("xmax"), size)).withColumn("by", covered(F.col("ymin"), F.col("ymax"), size))
     meet = (F.col("rx1") >= F.col("xmin")) & (F.col("rx0") <= F.col("xmax")) & (F.col("ry1") >= F.col("ymin")) & (F.col("ry0") <= F.col("ymax"))
     return asked.join(offered, ["bx", "by"]).where(meet).select("site_id", "latitude", "longitude", "linkno").distinct()
 
 
-def point_line_distance(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Metres (equal-area projection) between the site and the reach of each ``(site_id, linkno)`` pair."""
+def _on_map(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Each ``(site_id, linkno)`` pair with the reach's segments, all in metres; only the reaches asked for are projected."""
     px, py = geo.albers(F.col("y"), F.col("x"))
-    flat = line_segments(vertices.select("linkno", "seq", px.alias("x"), py.alias("y")))
+    wanted = vertices.join(pairs.select("linkno").distinct(), "linkno", "left_semi")
+    flat = line_segments(wanted.select("linkno", "seq", px.alias("x"), py.alias("y")))
     sx, sy = geo.albers(F.col("latitude"), F.col("longitude"))
-    placed = pairs.withColumns({"px": sx, "py": sy})
-    d = geo.segment_distance(*[F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2")])
-    return placed.join(flat, "linkno").groupBy("site_id", "linkno").agg(F.min(d).alias("dist"))
+    return pairs.withColumns({"px": sx, "py": sy}).join(flat, "linkno")
+
+
+def _meets_box(half: float) -> Column:
+    """The segment meets the square of half width ``half`` metres around the site."""
+    px, py, x1, y1, x2, y2 = (F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2"))
+    extent = (F.least(x1, x2) <= px + half) & (F.greatest(x1, x2) >= px - half) & (F.least(y1, y2) <= py + half) & (F.greatest(y1, y2) >= py - half)
+    sides = [(x2 - x1) * (py + b - y1) - (y2 - y1) * (px + a - x1) for a in (-half, half) for b in (-half, half)]
+    return extent & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+
+
+def _site_distance() -> Column:
+    return geo.segment_distance(*[F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2")])
+
+
+def reaches_in_box(sites: DataFrame, vertices: DataFrame, km: float = SITE_BOX_KM, size: float = 0.01) -> DataFrame:
+    """``(site_id, latitude, longitude, linkno)`` of reaches whose line meets the square box around the site, on the equal-area map."""
+    near = _on_map(_candidates_in_box(sites, vertices, km, size), vertices)
+    return near.where(_meets_box(1000 * km)).select("site_id", "latitude", "longitude", "linkno").distinct()
+
+
+def point_line_distance(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Metres (equal-area projection) between the site and the reach of each ``(site_id, linkno)`` pair."""
+    return _on_map(pairs, vertices).groupBy("site_id", "linkno").agg(F.min(_site_distance()).alias("dist"))
 
 
-def priority_nearest(sites: DataFrame, reaches: DataFrame, vertices: DataFrame) -> DataFrame:
+def priority_nearest(sites: DataFrame, reaches: DataFrame, vertices: DataFrame, km: float = SITE_BOX_KM, size: float = 0.01) -> DataFrame:
     """Reach of each site: the highest stream order in its box, then the nearest; NULL if the box is empty."""
-    pairs = point_line_distance(reaches_in_box(sites, vertices), vertices).join(reaches.select("linkno", "strm_order"), "linkno")
+    near = _on_map(_candidates_in_box(sites, vertices, km, size), vertices)
+    near = near.groupBy("site_id", "linkno").agg(F.min(_site_distance()).alias("dist"), F.bool_or(_meets_box(1000 * km)).alias("inside")).where("inside")
+    pairs = near.join(reaches.select("linkno", "strm_order"), "linkno")
     rank = F.struct((-F.coalesce("strm_order", F.lit(-1))).alias("o"), F.col("dist"), F.col("linkno"))
     best = pairs.groupBy("site_id").agg(F.min_by(F.struct("linkno", "strm_order", "dist"), rank).alias("b"))
     return sites.join(best.select("site_id", "b.*"), "site_id", "left")
@@ -165,7 +200,7 @@ def nearest_lines(left: DataFrame, right: DataFrame, on: Sequence[str], cell: fl
 
     Sides are segments ``on, <id>, x1, y1, x2, y2`` with ids ``left_id`` and ``right_id``. Bins widen as in
     ``nearest_point``; a segment is entered into every bin it touches. With ``places``, distances that agree to
-    so many decimals are ties.
+    so many decimals are ties. Segments without finite coordinates take no part.
     """
     on = list(on)
 
@@ -173,8 +208,10 @@ def nearest_lines(left: DataFrame, right: DataFrame, on: Sequence[str], cell: fl
         x0, x1, y0, y1 = F.least("x1", "x2"), F.greatest("x1", "x2"), F.least("y1", "y2"), F.greatest("y1", "y2")
         return df.withColumn("bx", covered(x0, x1, cell, margin)).withColumn("by", covered(y0, y1, cell, margin))
 
-    left = cut_lineage(left.join(right.select(*on).distinct(), on, "left_semi"))
-    right = cut_lineage(right)
+    ends = ("x1", "y1", "x2", "y2")
+    right = cut_lineage(right.where(finite(*ends)))
+    left = left.where(finite(*ends))
+    left = cut_lineage(left.join(right.select(*on).distinct(), on, "left_semi") if on or not right.isEmpty() else left.limit(0))
     found: list[DataFrame] = []
     while True:
         a = spread(left, 1).withColumnsRenamed({c: f"a_{c}" for c in ("x1", "y1", "x2", "y2")})

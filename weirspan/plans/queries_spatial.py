@@ -39,15 +39,18 @@ def seg_dist(px, py, x1, y1, x2, y2):
 
 
 SEGS = "segs AS (SELECT a.linkno, a.seq, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM {reach_vertices} a JOIN {reach_vertices} b ON a.linkno = b.linkno AND b.seq = a.seq + 1)"
-NEAR_BOX = """boxes AS (SELECT site_id, latitude, longitude, 0.5e0 / 111 AS dy, 0.5e0 / 111 / cos(radians(latitude)) AS dx FROM {sites}),
-  spans AS (SELECT linkno, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM {reach_vertices} GROUP BY 1),
-  prs AS (SELECT b.site_id, b.latitude, b.longitude, s.linkno FROM boxes b JOIN spans s ON s.x1 >= b.longitude - b.dx AND s.x0 <= b.longitude + b.dx AND s.y1 >= b.latitude - b.dy AND s.y0 <= b.latitude + b.dy)"""
 _ax, _ay = albers_sql("y", "x")
 _px, _py = albers_sql("latitude", "longitude")
-PRIORITY = f"""{NEAR_BOX}, flat AS (SELECT linkno, seq, {_ax} AS x, {_ay} AS y FROM {{reach_vertices}}),
+# A segment meets the box of 500 m to each side when their extents meet and not all corners lie on one side of its line.
+_corner = [f"(x2 - x1) * (py {b} - y1) - (y2 - y1) * (px {a} - x1)" for a in ("- 500e0", "+ 500e0") for b in ("- 500e0", "+ 500e0")]
+NEAR_BOX = f"""flat AS (SELECT linkno, seq, {_ax} AS x, {_ay} AS y FROM {{reach_vertices}}),
   fseg AS (SELECT a.linkno, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM flat a JOIN flat b ON a.linkno = b.linkno AND b.seq = a.seq + 1),
-  placed AS (SELECT site_id, linkno, {_px} AS px, {_py} AS py FROM prs),
-  dd AS (SELECT p.site_id, p.linkno, min({seg_dist('px', 'py', 'x1', 'y1', 'x2', 'y2')}) AS dist FROM placed p JOIN fseg f ON p.linkno = f.linkno GROUP BY 1, 2),
+  placed0 AS (SELECT site_id, latitude, longitude, {_px} AS px, {_py} AS py FROM {{sites}}),
+  prs AS (SELECT DISTINCT p.site_id, p.latitude, p.longitude, p.px, p.py, f.linkno FROM placed0 p JOIN fseg f
+     ON least(x1, x2) <= px + 500e0 AND greatest(x1, x2) >= px - 500e0 AND least(y1, y2) <= py + 500e0 AND greatest(y1, y2) >= py - 500e0
+     WHERE least({", ".join(_corner)}) <= 0 AND greatest({", ".join(_corner)}) >= 0)"""
+PRIORITY = f"""{NEAR_BOX},
+  dd AS (SELECT p.site_id, p.linkno, min({seg_dist('px', 'py', 'x1', 'y1', 'x2', 'y2')}) AS dist FROM prs p JOIN fseg f ON p.linkno = f.linkno GROUP BY 1, 2),
   top AS (SELECT d.site_id, arg_min(struct_pack(linkno := d.linkno, strm_order := r.strm_order, dist := d.dist), struct_pack(o := -r.strm_order, d := d.dist, l := d.linkno)) AS b FROM dd d JOIN {{reaches}} r ON r.linkno = d.linkno GROUP BY 1)"""
 GAUGE = f"""gnear AS (SELECT s.site_id, min({hav('s.latitude', 's.longitude', 'g.dec_lat_va', 'g.dec_long_va')}) AS km,
   arg_min(struct_pack(site_no := g.site_no, huc4 := left(g.huc_cd, 4)), struct_pack(d := {hav('s.latitude', 's.longitude', 'g.dec_lat_va', 'g.dec_long_va')}, n := g.site_no)) AS g

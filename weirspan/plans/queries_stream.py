@@ -165,8 +165,25 @@ def _(t):
     return t.spark.read.parquet(f"{root}/sites").withColumn("layer", F.lit("sites")).unionByName(t.spark.read.parquet(f"{root}/reaches").withColumn("layer", F.lit("reaches"))).select("layer", "id")
 
 
-@query("S17_fallback_encoding", "SELECT page_id, concat('Rivière ', CAST(page_id AS string)) AS name FROM {pages}")
+@query("S17_fallback_encoding", "SELECT page_id, concat('Rivière ', url) AS name FROM {pages}")
 def _(t):
+    # Half of the pages in either encoding, in one folder.
     path = flow_stream.scratch_table(t.spark, "latin")
-    t.pages.select("page_id", F.concat(F.lit("Rivière "), "page_id").alias("name")).write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    named = t.pages.select("page_id", F.concat(F.lit("Rivière "), "url").alias("name"))
+    for rest, encoding in enumerate(("ISO-8859-1", "UTF-8")):
+        half = named.where(F.pmod("page_id", F.lit(2)) == rest)
+        half.write.mode("append").option("header", True).option("encoding", encoding).csv(path)
     return tables.read_any_encoding(t.spark, path, schemas.schema("page_id BIGINT, name STRING"))
+
+
+@query("S16_point_read", f"""WITH first AS (SELECT min(reach_id) AS reach_id FROM {{flow_obs}}), day AS (SELECT min(CAST(ts AS date)) AS d FROM {{flow_obs}} WHERE reach_id = (SELECT reach_id FROM first))
+    SELECT reach_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, {rd('streamflow')} AS streamflow FROM {{flow_obs}} WHERE reach_id = (SELECT reach_id FROM first) AND CAST(ts AS date) = (SELECT d FROM day)""")
+def _(t):
+    # The first reach on its first day, read from the flow store.
+    path = flow_stream.scratch_table(t.spark, "store")
+    tables.write_flow_store(t.flow_obs, path)
+    store = t.spark.read.schema(t.flow_obs.schema).parquet(path)
+    reach = store.agg(F.min("reach_id")).first()[0]
+    date = store.where(F.col("reach_id") == reach).agg(F.date_format(F.min("ts"), "yyyy-MM-dd")).first()[0]
+    found = tables.flow_at(store, reach, date)
+    return rounded(found.select("reach_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "streamflow"), "streamflow")

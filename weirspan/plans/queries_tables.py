@@ -49,7 +49,7 @@ def _(t):
     return out.select("incident_id", day("date").alias("date"))
 
 
-@query("P7_parsed_dates", "SELECT incident_id, strftime(TRY_CAST(date_text AS date), '%Y-%m-%d') AS date FROM {incident_text} WHERE TRY_CAST(date_text AS date) IS NOT NULL")
+@query("P7_parsed_dates", "SELECT incident_id, strftime(CAST(coalesce(TRY_CAST(date_text AS timestamp), try_strptime(date_text, ['%m/%d/%Y', '%b %d, %Y'])) AS date), '%Y-%m-%d') AS date FROM {incident_text} WHERE CAST(coalesce(TRY_CAST(date_text AS timestamp), try_strptime(date_text, ['%m/%d/%Y', '%b %d, %Y'])) AS date) IS NOT NULL")
 def _(t):
     out = t.incident_text.withColumn("date", tx.parse_date(F.col("date_text"))).where("date IS NOT NULL")
     return out.select("incident_id", day("date").alias("date"))
@@ -269,9 +269,10 @@ def _(t):
     return rounded(keyed.roughness(ids, t.channel_geometry, "feature", 0.03).select("site_id", "n"), "n")
 
 
-@query("J26_mapped_column", "SELECT i.incident_id, m.name FROM {incidents} i LEFT JOIN (SELECT site_id, max(name) AS name FROM {sites} GROUP BY 1) m ON i.site_id = m.site_id")
+@query("J26_mapped_column", "SELECT i.incident_id, m.name FROM {incidents} i LEFT JOIN (SELECT site_id, arg_max(coalesce(comments, ''), incident_id) AS name FROM {incident_text} GROUP BY 1) m ON i.site_id = m.site_id")
 def _(t):
-    return keyed.lookup(t.incidents, t.sites.select("site_id", F.col("name").alias("n")), "site_id", "n", "name").select("incident_id", "name")
+    last = t.incident_text.select("site_id", F.col("incident_id").alias("nr"), F.coalesce("comments", F.lit("")).alias("n"))
+    return keyed.lookup(t.incidents, last, "site_id", "n", "name", "nr").select("incident_id", "name")
 
 
 @query("J27_with_upstream_section", f"""SELECT x.xs_key, x.site_id, {rd('x.y_t')} AS y_t, {rd('u.y_t')} AS y_t_up FROM (SELECT *, xs_index - 1 AS i0 FROM {{xs_water}}) x
@@ -403,7 +404,7 @@ def _(t):
     return t.incidents.select("incident_id", r("flow").alias("flow")).orderBy(F.desc("flow"), "incident_id").limit(5)
 
 
-CLEAN = """SELECT incident_id, site_id, TRY_CAST(date_text AS date) AS d FROM {incident_text} WHERE (comments IS NULL OR lower(trim(comments)) <> 'removed') AND TRY_CAST(date_text AS date) IS NOT NULL"""
+CLEAN = """SELECT incident_id, site_id, CAST(coalesce(TRY_CAST(date_text AS timestamp), try_strptime(date_text, ['%m/%d/%Y', '%b %d, %Y'])) AS date) AS d FROM {incident_text} WHERE (comments IS NULL OR lower(trim(comments)) <> 'removed') AND CAST(coalesce(TRY_CAST(date_text AS timestamp), try_strptime(date_text, ['%m/%d/%Y', '%b %d, %Y'])) AS date) IS NOT NULL"""
 
 
 @query("K11_cleaned_slices", f"""SELECT 'NWM' AS slice, incident_id, site_id, strftime(d, '%Y-%m-%d') AS date FROM ({CLEAN}) WHERE d BETWEEN DATE '{NWM_FROM}' AND DATE '{NWM_TO}'
@@ -459,7 +460,7 @@ def _(t):
     return t.pages.select("page_id", tx.id_in_path(F.concat(F.lit("/data/vpu_"), F.col("page_id"), F.lit(".gpkg"))).alias("id"))
 
 
-@query("F28_safe_filenames", """SELECT page_id, regexp_replace(url, '[<>:"/\\\\|?*\\s]+', '-', 'g') AS name FROM {pages}""")
+@query("F28_safe_filenames", """SELECT page_id, regexp_replace(url, '[<>:"/\\\\|?*]', '-', 'g') AS name FROM {pages}""")
 def _(t):
     return t.pages.select("page_id", tx.safe_filename(F.col("url")).alias("name"))
 

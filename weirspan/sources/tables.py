@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,9 +51,18 @@ def read_codes_csv(spark: SparkSession, path: str, schema: T.StructType, encodin
 
 
 def read_any_encoding(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """UTF-8, or ISO-8859-1 when the bytes are not valid UTF-8."""
-    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
-    return read_codes_csv(spark, path, schema, "UTF-8" if broken.isEmpty() else "ISO-8859-1")
+    """CSV whose text is UTF-8 or ISO-8859-1, decided value by value, so files of both kinds may lie in one folder.
+
+    Every byte is first read as one character; values whose bytes are valid UTF-8 are then read as that.
+    """
+    raw = read_codes_csv(spark, path, T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]), "ISO-8859-1")
+
+    def value(f: T.StructField) -> Column:
+        data = F.encode(F.col(f.name), "ISO-8859-1")
+        text = F.when(F.is_valid_utf8(data.cast("string")), F.decode(data, "UTF-8")).otherwise(F.col(f.name))
+        return text.try_cast(f.dataType).alias(f.name)
+
+    return raw.select(*[value(f) for f in schema.fields])
 
 
 def read_simulator(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | None = None) -> DataFrame:

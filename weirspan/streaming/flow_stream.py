@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirspan.operators.flow import known_flow
 from weirspan.session import ensure_checkpoint_dir
 
 LATENESS = "1 day"
@@ -14,7 +15,7 @@ LATENESS = "1 day"
 
 def daily_mean_stream(obs: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """One row per reach and UTC day, emitted once the day is over and ``lateness`` has passed."""
-    days = obs.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day"), "reach_id").agg(F.avg("streamflow").alias("streamflow"))
+    days = obs.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day"), "reach_id").agg(F.avg(known_flow()).alias("streamflow"))
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds("window.start") / 86400).cast("int"))
     return days.select("reach_id", day.alias("date"), "streamflow")
 
