@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from tests.compare import compare, duck
+from weirspan.plans import registry
 
 SF = "0.001"
 
@@ -13,7 +14,7 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", list(entry_module.queries()))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query(spark, con, name):
     problem = compare(spark, con, name, SF)
     assert problem in ("", "both sides empty"), problem

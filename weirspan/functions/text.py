@@ -36,15 +36,15 @@ def is_removed(comments: Column) -> Column:
 
 #: Date forms by shape: what the text looks like, and how it is then read. Each may be followed by a time.
 DATE_FORMS = (
-    (r"^\d{4}-\d{1,2}-\d{1,2}\b", "y-M-d"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}\b", "y/M/d"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}\b", "M/d/y"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}\b", "M-d-y"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}(?![0-9])", "y-M-d"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}(?![0-9])", "y/M/d"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}(?![0-9])", "M/d/y"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}(?![0-9])", "M-d-y"),
     (r"^\d{8}$", "yyyyMMdd"),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}\b", "MMM d, y"),
-    (r"^[A-Za-z]{4,} \d{1,2}, \d{4}\b", "MMMM d, y"),
-    (r"^\d{1,2} [A-Za-z]{3} \d{4}\b", "d MMM y"),
-    (r"^\d{1,2} [A-Za-z]{4,} \d{4}\b", "d MMMM y"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}(?![0-9])", "MMM d, y"),
+    (r"^[A-Za-z]{4,} \d{1,2}, \d{4}(?![0-9])", "MMMM d, y"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}(?![0-9])", "d MMM y"),
+    (r"^\d{1,2} [A-Za-z]{4,} \d{4}(?![0-9])", "d MMMM y"),
 )
 TIME_FORM = "['T'][ ][H:mm[:ss[.SSSSSSSSS]]][ a][XXX]"
 
