@@ -76,7 +76,7 @@ def test_terms_that_disclose_an_entity(spark):
         assert not {w for k, w in named if k in pii.TERM_KINDS} & set(prose(1, 500).split())
     assert all(not got[d] for d, _ in disclosing()[4:])
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
-    assert "[EMAIL]" in clean[0] and "Zanzibar" not in clean[0] and " Q. again" in clean[0] and clean[100] == dict(disclosing())[100]
+    assert "[EMAIL]" in clean[0] and "Zanzibar" not in clean[0] and " Q. " in clean[0] and clean[100] == dict(disclosing())[100]
 
 
 def test_sanitise_keeps_rows_and_columns(spark):
