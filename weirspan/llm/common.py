@@ -24,7 +24,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir() or spark.conf.get(CHECKPOINT_KEY)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

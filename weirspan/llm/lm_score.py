@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weirspan.llm.common import stored, words_of
@@ -169,14 +170,16 @@ def score_documents(docs: DataFrame, states: int = STATES, classes: int = CLASSE
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), part.alias("part"), "text")
     coded = stored(rows.mapInArrow(_coded(classes), CODED))
     dictionary = coded.where("word is not null").select("block", "word", "code", "class", "n")
-    counts = stored(dictionary.groupBy("word").agg(F.sum("n").alias("n"), F.first("class").alias("class")))
-    by_class = counts.where("n > 0").groupBy("class").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("words")).collect()  # a row per class
+    # One shuffle brings the entries of a word together; each keeps its place and learns the total.
+    of_word = W.partitionBy("word")
+    counted = dictionary.withColumn("total", F.sum("n").over(of_word)).withColumn("first", F.row_number().over(of_word.orderBy("block", "code")) == 1)
+    counted = stored(counted.select(F.col("block").alias("of"), "code", "class", F.col("total").alias("n"), "first"))
+    by_class = counted.where("first and n > 0").groupBy("class").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("words")).collect()  # a row per class
     class_tokens, class_words = np.zeros(classes), np.zeros(classes)
     for r in by_class:
         class_tokens[r["class"]], class_words[r["class"]] = r["tokens"], r["words"]
     model = train(coded, states, classes, parts)
-    counted = dictionary.select("block", "word", "code", "class").join(counts.select("word", "n"), "word").select(F.col("block").alias("of"), "code", "class", "n")
     texts = coded.where("word is null").select("block", "doc_id", "held_out", "codes")
     score = _score(model, int(class_tokens.sum()), int(class_words.sum()), class_tokens, class_words)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("block").cogroup(counted.groupBy("of")).applyInArrow(score, schema)
+    return texts.groupBy("block").cogroup(counted.select("of", "code", "class", "n").groupBy("of")).applyInArrow(score, schema)
