@@ -39,13 +39,13 @@ def _occurrences(docs: DataFrame, site: str, long_words: int) -> DataFrame:
 def _spread(rows: DataFrame, least: Column) -> DataFrame:
     """Keys of the lines whose sites reach ``least``, with the first place of each."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2", "place"))
-    # One row per line and site leaves the tasks, however often a site repeats the line.
-    per_site = rows.groupBy("h1", "h2", "long", "spot").agg(first.alias("first"))
-    sketches = per_site.groupBy("h1", "h2", "long").agg(F.hll_sketch_agg("spot", F.lit(LG_K)).alias("sketch"), F.min("first").alias("first"))
+    sketches = rows.groupBy("h1", "h2", "long").agg(F.hll_sketch_agg("spot", F.lit(LG_K)).alias("sketch"), first.alias("first"))
     rated = stored(sketches.select("h1", "h2", "long", "first", F.hll_sketch_estimate("sketch").alias("sites"), least.alias("least")).where(F.col("sites") >= F.col("least") * (1 - NEAR)))
     sure = rated.where(F.col("sites") > F.col("least") * (1 + NEAR))
     near = rated.where(F.col("sites") <= F.col("least") * (1 + NEAR))
-    exact = rows.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").select("h1", "h2", "spot").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("exact"))
+    # Dealt by site as well after the join, so the rows of a very common line, which are not near, need not meet in one task.
+    spots = rows.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").select("h1", "h2", "spot").repartition("h1", "h2", "spot").distinct()
+    exact = spots.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("exact"))
     confirmed = near.join(exact, ["h1", "h2"]).where("exact >= least")
     return sure.select("h1", "h2", "sites", "first").unionByName(confirmed.select("h1", "h2", F.col("exact").alias("sites"), "first"))
 
