@@ -219,20 +219,24 @@ def root_or_bound(residual, lo: Column, hi: Column, halvings: int = 45) -> Colum
     return let(ends, search)
 
 
-# Residual that stands for "no target depth at this discharge", and the flow below which none is sought.
-NO_TARGET = 1e6
+# Residual at flows too small to have a target depth, that flow, and the depth that stands for a missing target.
+NO_FLOW = 1e6
 SMALLEST_FLOW = 0.001
+NO_DEPTH = -9999.0
 
 
 def danger_range_rectangular(
     length: Column, p: Column, a: Column, b: Column, q_lo: Column, q_hi: Column
 ) -> tuple[Column, Column]:
-    """Discharges at which the tailwater curve meets the conjugate and the flip depth."""
+    """Discharges at which the tailwater curve meets the conjugate and the flip depth.
+
+    Where no target depth exists it lies below any tailwater, so the search also ends where the depth vanishes.
+    """
 
     def gap(target):
         def residual(q: Column) -> Column:
-            value = F.coalesce(target(q) - tailwater(q, a, b), lit(NO_TARGET))
-            return F.when(q <= lit(SMALLEST_FLOW), lit(NO_TARGET)).otherwise(value)
+            value = F.coalesce(target(q), lit(NO_DEPTH)) - tailwater(q, a, b)
+            return F.when(q <= lit(SMALLEST_FLOW), lit(NO_FLOW)).otherwise(value)
 
         return residual
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from weirspan.functions.hydraulics import (
-    FLIP_STEPS, GRAVITY, NO_TARGET, SMALLEST_FLOW, Y1_STEPS, lit, root_or_bound, tailwater, weir_head,
+    FLIP_STEPS, GRAVITY, NO_FLOW, SMALLEST_FLOW, Y1_STEPS, lit, root_or_bound, tailwater, weir_head,
 )
 from weirspan.functions.steps import bisect, inline, let
 
@@ -235,8 +235,8 @@ def danger_range_momentum(
 
                 return let(inline({"h": h, "p": p}, Y1_STEPS, "y1"), from_y1)
 
-            value = F.coalesce(let(weir_head(q, length), from_head), lit(NO_TARGET))
-            return F.when(q <= lit(SMALLEST_FLOW), lit(NO_TARGET)).otherwise(value)
+            value = F.coalesce(let(weir_head(q, length), from_head), lit(NO_FLOW))
+            return F.when(q <= lit(SMALLEST_FLOW), lit(NO_FLOW)).otherwise(value)
 
         return residual
 

@@ -12,6 +12,8 @@ from weirspan.session import spread
 
 RECTANGULAR, MOMENTUM = "rectangular", "momentum"
 GRID = 100
+# First discharge of a grid whose lower bound is 0: no depth is defined without flow.
+GRID_START = 0.01
 
 
 def with_profiles(surveys: DataFrame) -> DataFrame:
@@ -72,8 +74,14 @@ def jumps_at_incidents(sections: DataFrame, incidents: DataFrame, mode: str = RE
     return with_jump(spread(incidents.where(F.col("flow") > 0).join(below, "site_id")), "flow", mode)
 
 
+def with_grid(sections: DataFrame) -> DataFrame:
+    """Each section on ``GRID`` discharges ``q``, numbered ``i``, from ``q_lo`` to ``q_hi``; 0 is replaced by ``GRID_START``."""
+    start = F.when(F.col("q_lo") == 0, F.lit(GRID_START)).otherwise(F.col("q_lo"))
+    step = (F.col("q_hi") - start) / F.lit(GRID - 1)
+    grid = sections.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))))
+    return grid.withColumn("q", start + F.col("i") * step)
+
+
 def danger_curves(sections: DataFrame, mode: str = RECTANGULAR) -> DataFrame:
-    """Tailwater, conjugate and flip depth on 100 discharges from ``q_lo`` to ``q_hi``."""
-    step = (F.col("q_hi") - F.col("q_lo")) / F.lit(GRID - 1)
-    grid = spread(sections).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))))
-    return with_jump(grid.withColumn("q", F.col("q_lo") + F.col("i") * step), "q", mode)
+    """Tailwater, conjugate and flip depth on the grid of discharges."""
+    return with_jump(with_grid(spread(sections)), "q", mode)

@@ -162,7 +162,7 @@ RANGE = """SELECT x.xs_key, s.weir_length AS l, s.p_known AS p, x.depth_a AS a,
 
 def gaps(src: str) -> str:
     """Rows of ``src`` (with a discharge q) plus ``gap`` of their kind."""
-    return f"""SELECT *, CASE WHEN q <= 0.001e0 THEN 1e6 ELSE coalesce(CASE WHEN kind = 'conjugate' THEN y_2 ELSE y_flip END - a * power(q, b), 1e6) END AS gap FROM ({chain(src, ALL)})"""
+    return f"""SELECT *, CASE WHEN q <= 0.001e0 THEN 1e6 ELSE coalesce(CASE WHEN kind = 'conjugate' THEN y_2 ELSE y_flip END, -9999e0) - a * power(q, b) END AS gap FROM ({chain(src, ALL)})"""
 
 
 def range_sql(rows: str, key: str = "xs_key") -> str:
@@ -359,7 +359,7 @@ def _(t):
     return out.select("xs_key", (F.col("k") + 1).cast("bigint").alias("k"), r("p.q").alias("q"), r("p.depth").alias("depth"))
 
 
-GRID = f"SELECT xs_key, i, l, p, a, b, q_lo + i * (q_hi - q_lo) / 99 AS q FROM ({RANGE}), (SELECT unnest(range(0, 100)) AS i)"
+GRID = f"SELECT xs_key, i, l, p, a, b, q0 + i * (q_hi - q0) / 99 AS q FROM (SELECT *, CASE WHEN q_lo = 0 THEN 0.01e0 ELSE q_lo END AS q0 FROM ({RANGE})), (SELECT unnest(range(0, 100)) AS i)"
 
 
 @query("K9_danger_curves", f"SELECT xs_key, i, {rd('q')} AS q, {rd('a * power(q, b)')} AS y_t, {rd('y_2')} AS y_2, {rd('y_flip')} AS y_flip FROM ({chain(GRID, ALL)})")
@@ -370,8 +370,7 @@ def _(t):
 
 @query("J32_discharge_grid", f"SELECT xs_key, i, {rd('q')} AS q FROM ({GRID})")
 def _(t):
-    grid = range_inputs(t).select("xs_key", "q_lo", "q_hi", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("i"))
-    return grid.select("xs_key", F.col("i").cast("bigint").alias("i"), r(F.col("q_lo") + F.col("i") * (F.col("q_hi") - F.col("q_lo")) / 99).alias("q"))
+    return jumps.with_grid(range_inputs(t)).select("xs_key", F.col("i").cast("bigint").alias("i"), r(F.col("q")).alias("q"))
 
 
 # --- site analysis ---
