@@ -43,8 +43,12 @@ def search_bounds(ids: DataFrame, flow: DataFrame, lo: float = 0.0, hi: float =
     )
 
 
-def median_and_max(flow: DataFrame) -> DataFrame:
-    out = ranking.quantiles(flow, ["reach_id"], "streamflow", {"qout_median": 0.5, "qout_max": 1.0})
+EXCEEDANCE_NAMES = {f"q_ep_{p}": (100 - p) / 100 for p in EXCEEDANCES}
+
+
+def median_and_max(flow: DataFrame, more: dict[str, float] | None = None) -> DataFrame:
+    """Median and largest flow, and the quantiles named in ``more``, from one pass."""
+    out = ranking.quantiles(flow, ["reach_id"], "streamflow", {"qout_median": 0.5, "qout_max": 1.0} | (more or {}))
     return out.withColumn("qout_max_premium", F.col("qout_max") * PREMIUM)
 
 
@@ -96,8 +100,7 @@ def return_periods_from_table(table: DataFrame) -> DataFrame:
 
 def exceedance_flows(flow: DataFrame) -> DataFrame:
     """Flow exceeded 10, 20 .. 100 percent of the time."""
-    names = {f"q_ep_{p}": (100 - p) / 100 for p in EXCEEDANCES}
-    return ranking.quantiles(flow, ["reach_id"], "streamflow", names)
+    return ranking.quantiles(flow, ["reach_id"], "streamflow", EXCEEDANCE_NAMES)
 
 
 def duration_curve(flow: DataFrame) -> DataFrame:

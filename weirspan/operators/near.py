@@ -183,16 +183,32 @@ def priority_nearest(sites: DataFrame, reaches: DataFrame, vertices: DataFrame,
     return sites.join(best.select("site_id", "b.*"), "site_id", "left")
 
 
+def ring_edges(regions: DataFrame) -> DataFrame:
+    """``vpu, x1, y1, x2, y2`` of all rings; ``regions``: vpu, rings (array of rings, each an array of points, closed or open)."""
+    ring = regions.select("vpu", F.explode("rings").alias("ring")).where(F.size("ring") > 0)
+    after = F.concat(F.slice("ring", F.lit(2), F.size("ring")), F.slice("ring", F.lit(1), F.lit(1)))
+    edges = ring.select("vpu", F.explode(F.arrays_zip(F.col("ring").alias("a"), after.alias("b"))).alias("e"))
+    edges = edges.select("vpu", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
+    return edges.where(finite("x1", "y1", "x2", "y2"))
+
+
 def region_of(sites: DataFrame, regions: DataFrame, size: float = 1.0) -> DataFrame:
-    """First region (by name) whose ring contains the site; ``regions``: vpu, ring."""
-    span = {n: f(F.transform("ring", lambda p: p[c])) for n, f, c in (("x0", F.array_min, "x"), ("x1", F.array_max, "x"), ("y0", F.array_min, "y"), ("y1", F.array_max, "y"))}
-    boxed = regions.withColumns(span)
-    offered = boxed.withColumn("bx", covered(F.col("x0"), F.col("x1"), size)).withColumn("by", covered(F.col("y0"), F.col("y1"), size))
-    asked = sites.select("site_id", "latitude", "longitude").withColumns({"bx": bin_of(F.col("longitude"), size), "by": bin_of(F.col("latitude"), size)})
+    """First region (by name) that contains the site, by the even-odd rule over all its rings, so parts and holes count.
+
+    Sites and regions first meet by the bins of the regions' extents; a pair then meets the edges in the site's
+    strip only. A site without finite coordinates lies in no region.
+    """
+    edges = ring_edges(regions)
+    spans = edges.groupBy("vpu").agg(F.min("x1").alias("x0"), F.max("x1").alias("xn"), F.min("y1").alias("y0"), F.max("y1").alias("yn"))
+    offered = spans.withColumn("bx", covered(F.col("x0"), F.col("xn"), size)).withColumn("by", covered(F.col("y0"), F.col("yn"), size))
     x, y = F.col("longitude"), F.col("latitude")
-    boxed_in = x.between(F.col("x0"), F.col("x1")) & y.between(F.col("y0"), F.col("y1"))
-    inside = asked.join(offered, ["bx", "by"]).where(boxed_in & geo.in_ring(x, y, F.col("ring")))
-    return sites.join(inside.groupBy("site_id").agg(F.min("vpu").alias("vpu")), "site_id", "left")
+    asked = sites.select("site_id", "latitude", "longitude").where(finite("latitude", "longitude")).withColumns({"bx": bin_of(x, size), "by": bin_of(y, size)})
+    pairs = asked.join(offered, ["bx", "by"]).where(x.between(F.col("x0"), F.col("xn")) & y.between(F.col("y0"), F.col("yn"))).select("site_id", "latitude", "longitude", "vpu", "by")
+    strips = edges.where("y1 <> y2").withColumn("by", covered(F.least("y1", "y2"), F.greatest("y1", "y2"), size))
+    straddles = (F.col("y1") > y) != (F.col("y2") > y)
+    at = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    crossed = pairs.join(strips, ["vpu", "by"]).where(straddles & (x < at)).groupBy("site_id", "vpu").agg(F.count(F.lit(1)).alias("n"))
+    return sites.join(crossed.where("n % 2 = 1").groupBy("site_id").agg(F.min("vpu").alias("vpu")), "site_id", "left")
 
 
 def nearest_lines(left: DataFrame, right: DataFrame, on: Sequence[str], cell: float, places: int | None = None) -> DataFrame:

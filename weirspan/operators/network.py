@@ -28,7 +28,8 @@ def walk(starts: DataFrame, reaches: DataFrame, up: float = UP_METRES, down: flo
 
     A direction goes on while the walked length stays below its threshold; upstream it follows the main stem.
     Both directions advance together, one join with the network per step; each step is checkpointed, and the
-    network is laid out by reach once, so only the small frontier moves.
+    network is laid out by reach once, so only the small frontier moves. A walk carries the reaches it has met,
+    few within its threshold, and ends where it would meet one again.
     """
     ups = main_upstream(reaches)
     downs = reaches.where(F.col("dslinkno") != NETWORK_END).select("linkno", F.col("dslinkno").alias("next"))
@@ -37,20 +38,18 @@ def walk(starts: DataFrame, reaches: DataFrame, up: float = UP_METRES, down: flo
     links = cut_lineage(links.repartition("linkno"))
     ways = F.explode(F.array(F.struct(F.lit("up").alias("direction"), F.lit(up).alias("limit")), F.struct(F.lit("down").alias("direction"), F.lit(down).alias("limit"))))
     frontier = starts.select(F.col("linkno").alias("start")).distinct().withColumn("w", ways)
-    frontier = frontier.select("start", F.col("start").alias("linkno"), "w.direction", "w.limit", F.lit(0.0).alias("before"))
+    frontier = frontier.select("start", F.col("start").alias("linkno"), "w.direction", "w.limit", F.lit(0.0).alias("before"), F.array().cast("array<bigint>").alias("path"))
     visited: DataFrame | None = None
     while True:
-        here = frontier.join(links, "linkno").withColumn("total", F.col("before") + F.col("length_m"))
-        if visited is not None:
-            here = here.join(visited.select("start", "linkno", "direction"), ["start", "linkno", "direction"], "left_anti")
-        here = cut_lineage(here)
+        here = frontier.where(~F.array_contains("path", F.col("linkno"))).join(links, "linkno")
+        here = cut_lineage(here.withColumn("total", F.col("before") + F.col("length_m")))
         if here.isEmpty():
             break
         step = here.select("start", "linkno", "direction", "total")
         visited = step if visited is None else visited.unionByName(step)
         onward = F.when(F.col("direction") == "up", F.col("up")).otherwise(F.col("down"))
         frontier = here.where(F.col("total") < F.col("limit")).select(
-            "start", onward.alias("linkno"), "direction", "limit", F.col("total").alias("before")
+            "start", onward.alias("linkno"), "direction", "limit", F.col("total").alias("before"), F.array_append("path", F.col("linkno").cast("bigint")).alias("path")
         ).where(F.col("linkno").isNotNull())
     if visited is None:
         empty = frontier.withColumn("total", F.lit(0.0))

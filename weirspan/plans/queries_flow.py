@@ -222,7 +222,7 @@ def _(t):
 
 @query("K2_reach_statistics_with_exceedance", K1_SQL + "".join(f", {rd(f'q_ep_{p}')} AS q_ep_{p}" for p in EP) + K1_FROM)
 def _(t):
-    out = reach_stats.with_exceedance(reach_stats.reach_statistics(t.flow_daily, t.scan_dates), t.flow_daily)
+    out = reach_stats.reach_statistics(t.flow_daily, t.scan_dates, exceedance=True)
     return rounded(out, *[c for c in out.columns if c != "comid"])
 
 

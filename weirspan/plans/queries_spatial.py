@@ -60,7 +60,7 @@ REGION = "reg AS (SELECT s.site_id, min(g.vpu) AS vpu FROM {sites} s JOIN {regio
 
 def regions(t):
     p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    return t.regions.select("vpu", F.array(p("x0", "y0"), p("x1", "y0"), p("x1", "y1"), p("x0", "y1")).alias("ring"))
+    return t.regions.select("vpu", F.array(F.array(p("x0", "y0"), p("x1", "y0"), p("x1", "y1"), p("x0", "y1"))).alias("rings"))
 
 
 @query("F23_great_circle_distance", f"SELECT site_id, {rd(hav('latitude', 'longitude', '40e0', '-100e0'))} AS km FROM {{sites}}")

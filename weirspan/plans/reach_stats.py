@@ -11,19 +11,23 @@ from weirspan.operators import flow
 
 # Fixed column order of the statistics table.
 STAT_COLUMNS = (
-    "comid known_baseflow qout_median qout_max rp2 rp5 rp10 rp25 rp50 rp100 qout_max_premium rp100_premium"
-).split()
+    "comid", "known_baseflow", "qout_median", "qout_max", "rp2", "rp5", "rp10", "rp25", "rp50", "rp100", "qout_max_premium", "rp100_premium",
+)
 
 
-def reach_statistics(record: DataFrame, scan_dates: DataFrame) -> DataFrame:
-    """Statistics of every reach with at least two years; base flow on the scan date, else the median."""
-    stats = flow.median_and_max(record).join(flow.return_period_flows(record), "reach_id")
+def reach_statistics(record: DataFrame, scan_dates: DataFrame, exceedance: bool = False) -> DataFrame:
+    """Statistics of every reach with at least two years; base flow on the scan date, else the median.
+
+    With ``exceedance`` the flows at 10, 20 .. 100 percent follow; they come from the same pass as the median.
+    """
+    more = flow.EXCEEDANCE_NAMES if exceedance else {}
+    stats = flow.median_and_max(record, more).join(flow.return_period_flows(record), "reach_id")
     scans = flow.flow_on(scan_dates, record, "scan_date", "on_scan").select("reach_id", "on_scan")
     out = stats.join(scans, "reach_id", "left")
     return out.withColumns(
         {"known_baseflow": F.coalesce("on_scan", "qout_median"), "rp100_premium": F.col("rp100") * flow.PREMIUM,
          "comid": F.col("reach_id")}
-    ).select(*STAT_COLUMNS)
+    ).select(*STAT_COLUMNS, *more)
 
 
 def reach_statistics_from_table(record: DataFrame, return_periods: DataFrame, scan_dates: DataFrame) -> DataFrame:

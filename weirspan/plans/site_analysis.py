@@ -9,8 +9,6 @@ from weirspan.functions import text as tx
 from weirspan.operators import flow, jumps, keyed
 from weirspan.session import cut_lineage
 
-XSECTION_COLUMNS = "site_id xs_index slope p_height qmin qmax depth_a depth_b prob_min prob_max".split()
-RESULT_COLUMNS = "site_id date xs_index y_t y_flip y_2 jump_type y_1 fr_1 m1 m2".split()
 SLOPE_DIGITS = 3
 
 
