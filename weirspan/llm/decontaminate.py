@@ -90,7 +90,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = M
 
     # Extend: the spans that stand behind a hit, verified by their words.
     hits = met.where("hit").groupBy("k1", "k2").agg(F.collect_set("mark").alias("found"))
-    texts = docs.select(*doc_key(), "text").join(hits, ["k1", "k2"])
+    texts = docs.select(*doc_key(), "text").join(hits.hint("merge"), ["k1", "k2"])
     texts = with_window_hashes(texts.select("k1", "k2", "found", words("text").alias("words")))
     marked_places = F.arrays_zip(F.sequence(F.lit(0), F.size("marks") - 1).alias("at"), F.col("marks").alias("mark"))
     places = texts.select("k1", "k2", "words", F.explode(F.filter(marked_places, lambda x: F.array_contains("found", x["mark"]))).alias("x"))
@@ -100,9 +100,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = M
         some = rows.where(F.size("words") >= size)
         some = some.select("k1", "k2", "words", F.explode(F.sequence(F.lit(0), F.size("words") - size)).alias("at"))
         candidates = candidates.unionByName(some.select("k1", "k2", "at", F.lit(size).alias("size"), _span(F.col("at"), size).alias("span")))
-    lookup = spans.select("size", "span", "group")
-    verified = candidates.distinct().join(F.broadcast(lookup) if spans.count() <= most_broadcast // 10 else lookup, ["size", "span"]).select("k1", "k2", "at", "size", "group")
-    verified = stored(verified)
+    # One number as the key keeps the broadcast table compact; the words themselves decide.
+    code = F.xxhash64("size", "span").alias("code")
+    lookup = spans.select(code, F.col("span").alias("item_span"), "group")
+    met_spans = candidates.distinct().withColumn("code", code).join(F.broadcast(lookup) if spans.count() <= most_broadcast // 10 else lookup, "code")
+    verified = stored(met_spans.where("span = item_span").select("k1", "k2", "at", "size", "group"))
 
     covered = verified.groupBy("k1", "k2", "at").agg(F.max("size").alias("size")).groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("at", "size"))).alias("runs"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
@@ -114,8 +116,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = M
     hit_words = covered.select("k1", "k2", F.aggregate("runs", zero, add, lambda s: s["n"]).alias("n_hit"))
     named = verified.select("k1", "k2", "group").distinct().join(items.select("group", "ids"), "group")
     hit_items = named.groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("items"))
-    found = hit_words.join(hit_items, ["k1", "k2"])
-    return every.join(found, ["k1", "k2"], "left").select(
+    found = hit_words.join(hit_items.hint("merge"), ["k1", "k2"])
+    return every.join(found.hint("merge"), ["k1", "k2"], "left").select(
         "k1", "k2", "doc_id", "copies", F.col("n_words").cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
@@ -135,4 +137,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options: int) -
     """The rows of ``docs`` that share no span with an item; all columns and repeated rows are kept."""
     found = contamination(docs, benchmark, **options).where("n_hit > 0").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
     k1, k2 = doc_key()
-    return docs.withColumns({"__k1": k1, "__k2": k2}).join(found, ["__k1", "__k2"], "left_anti").drop("__k1", "__k2")
+    return docs.withColumns({"__k1": k1, "__k2": k2}).join(found.hint("merge"), ["__k1", "__k2"], "left_anti").drop("__k1", "__k2")

@@ -72,7 +72,7 @@ def remove_repeated_lines(docs: DataFrame, site: str = "source", min_sites: int
     k1, k2 = doc_key()
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(*[F.col(f"`{c}`") for c in columns]).withColumns({"__k1": k1, "__k2": k2})
-    marked = keyed.join(places.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("places").alias("__places")), ["__k1", "__k2"], "left")
+    marked = keyed.join(places.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("places").alias("__places")).hint("merge"), ["__k1", "__k2"], "left")
     lines = _lines(F.col("text"))
     places_left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__places"))
     kept = F.array_join(F.transform(places_left, lambda i: F.get(lines, i)), "\n")

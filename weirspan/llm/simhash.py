@@ -193,4 +193,4 @@ def keep_one(docs: DataFrame, **options: int) -> DataFrame:
     best = best.select(F.col("best.k1").alias("__k1"), F.col("best.k2").alias("__k2"))
     k1, k2 = doc_key()
     keyed = docs.withColumns({"__k1": k1, "__k2": k2})
-    return keyed.join(best, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*[keyed[f"`{c}`"] for c in docs.columns])
+    return keyed.join(best.hint("merge"), ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*[keyed[f"`{c}`"] for c in docs.columns])
