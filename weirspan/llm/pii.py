@@ -77,27 +77,35 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"\p{{L}}{{{LEAST_LETTERS},}}+"), F.lit(0))
 
 
-def disclosing_terms(docs: DataFrame, near: DataFrame, spans: DataFrame) -> DataFrame:
+def _disclosure(with_both: Column, with_term: Column, with_entity: Column, total: Column) -> Column:
+    """PMI of term and entity as a share of the entity's information, from counts of documents."""
+    p_entity = with_entity / total
+    return F.log(F.least(with_both / with_term, F.lit(1.0)) / p_entity) / -F.log(p_entity)
+
+
+def disclosing_terms(docs: DataFrame, words: DataFrame, near: DataFrame, spans: DataFrame) -> DataFrame:
     """``entity, term, action``: the terms whose disclosure of an entity exceeds a threshold.
 
-    ``near`` has (k1, k2, text_hash, term, entity) for words near entities. Counts are of documents, over all of them.
+    ``near`` has (k1, k2, text_hash, term, entity) for words near entities, ``words`` all words of those documents.
+    Counts are of documents, over all of them. Terms too common to qualify by the documents of ``words`` alone are
+    left out before the corpus is counted; more documents could only lower their disclosure.
     """
+    total = F.lit(docs.count())
+    held = spans.groupBy("entity").agg(F.countDistinct("k1", "k2").alias("with_entity"))
+    seen = words.groupBy("term").agg(F.countDistinct("k1", "k2").alias("seen"))
     together = near.groupBy("term", "entity").agg(F.countDistinct("k1", "k2").alias("both"), F.countDistinct("text_hash").alias("texts"))
-    candidates = stored(together.where(F.col("texts") >= LEAST_TEXTS).select("term", "entity", "both"))
+    together = together.where(F.col("texts") >= LEAST_TEXTS).join(held, "entity").where(F.col("with_entity") < total).join(seen, "term")
+    at_most = _disclosure(F.col("both"), F.col("seen"), F.col("with_entity"), total)
+    candidates = stored(together.where(at_most >= GENERALISE).select("term", "entity", "both", "with_entity"))
     wanted = candidates.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(_terms(F.lower(F.coalesce("text", F.lit("")))))).alias("term"))
-    few = wanted.count() <= MOST_BROADCAST
-    if few:
-        counts = words.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    each = docs.select(F.explode(F.array_distinct(_terms(F.lower(F.coalesce("text", F.lit("")))))).alias("term"))
+    if wanted.count() <= MOST_BROADCAST:
+        counts = each.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
     else:
-        counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("with_term")).join(wanted, "term")
-    held = spans.groupBy("entity").agg(F.countDistinct("k1", "k2").alias("with_entity"))
-    rated = candidates.join(counts, "term").join(held, "entity").withColumn("total", F.lit(docs.count()))
-    p_entity = F.col("with_entity") / F.col("total")
-    p_given = F.least(F.col("both") / F.col("with_term"), F.lit(1.0))
-    share = F.log(p_given / p_entity) / -F.log(p_entity)
+        counts = each.groupBy("term").agg(F.count(F.lit(1)).alias("with_term")).join(wanted, "term")
+    share = _disclosure(F.col("both"), F.col("with_term"), F.col("with_entity"), total)
     action = F.when(share >= REMOVE, F.lit(0)).when(share >= GENERALISE, F.lit(1))
-    return rated.where("with_entity < total").select("entity", "term", action.alias("action")).where("action is not null")
+    return candidates.join(counts, "term").select("entity", "term", action.alias("action")).where("action is not null")
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
@@ -123,7 +131,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     window = W.partitionBy("k1", "k2").orderBy("start", "end").rowsBetween(-NEAR_WORDS, NEAR_WORDS)
     near = both.withColumn("entities", F.collect_set("entity").over(window)).where("term is not null")
     near = near.select("k1", "k2", "text_hash", "term", F.explode("entities").alias("entity"))
-    flagged = disclosing_terms(docs, near, spans)
+    flagged = disclosing_terms(docs, words, near, spans)
     inside = words.select("k1", "k2", "term", "start", "end", "value").join(flagged, "term").join(watched.select("k1", "k2", "entity").distinct(), ["k1", "k2", "entity"], "left_semi")
     terms = inside.groupBy("k1", "k2", "start", "end", "value").agg((F.min("action") + len(KINDS)).alias("kind"))
     return base.unionByName(terms)
