@@ -15,7 +15,7 @@ def tokenizer():
     return Tokenizer.from_file(packing.tokenizer_path())
 
 
-ODD = ["a|b | c", "x  y\t\tz\r\nq", "İSTANBUL ΣΑΣ ÅÅ É É", "<|endoftext|> hi <|STARTOFTEXT|>x", "don't we'll I'M", "a_b 12,3. 4", "...%%% foo.%%% Foo,!! Ñandú. ñ", " x y \x1c z\x85\xa0w", "ǅ ﬁ K", "|", "| |", "é.", "é. ́", "", None]
+ODD = ["x. y, z., a_. b  . , c1. d, .. e. ", "a|b | c", "x  y\t\tz\r\nq", "İSTANBUL ΣΑΣ ÅÅ É É", "<|endoftext|> hi <|STARTOFTEXT|>x", "don't we'll I'M", "a_b 12,3. 4", "...%%% foo.%%% Foo,!! Ñandú. ñ", " x y \x1c z\x85\xa0w", "ǅ ﬁ K", "|", "| |", "é.", "é. ́", "", None]
 
 
 def test_chunks_give_the_ids_of_the_whole_text(tokenizer):

@@ -17,6 +17,7 @@ from itertools import filterfalse
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ GROUP_ITEMS = 4096
 NEARLY_FULL = 1 / 256
 MOST_ROUNDS = 8
 #: Chunks whose ids a Python worker remembers, about 200 bytes each; the memory is cleared when it is full.
-CACHED_CHUNKS = 900_000
+CACHED_CHUNKS = 1_500_000
 #: Characters of text that a worker splits at a time.
 BLOCK_CHARS = 500_000
 
@@ -53,6 +54,7 @@ class ChunkIds:
 
     #: Stands between parts that are encoded in one call; its id is a single one. Parts that hold it are encoded alone.
     MARK = "|"
+    SIGN_BEFORE_STOP = re.compile(r"[.,](?<=[^\w\s][.,]|_[.,]) ")
     WORD_SIGNS = re.compile(r"([^\W\d_]+)([.,;:!?$%&*#]+)")
 
     def __init__(self, path: str, limit: int = CACHED_CHUNKS):
@@ -65,7 +67,7 @@ class ChunkIds:
         self.known: dict[str, bytes] = {"": b""}
 
     def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _learn(self, parts: list[str]) -> None:
         together = []
@@ -83,30 +85,37 @@ class ChunkIds:
                 self.known[part] = raw[lo:hi]
                 lo = hi + 4
 
-    @staticmethod
-    def _chunks(text: str) -> list[str]:
+    @classmethod
+    def _chunks(cls, text: str) -> list[str]:
         # Within Latin-1 lower-casing first changes nothing; elsewhere, and near special tokens, it is left to the tokenizer.
         try:
             text.encode("latin-1")
             text = text if "<|" in text else text.lower()
         except UnicodeEncodeError:
             pass
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        # A stop behind a letter or digit and before a blank is a part of its own in any case.
+        if not cls.SIGN_BEFORE_STOP.search(text):
+            text = text.replace(". ", " . ").replace(", ", " , ")
+        return text.split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        known = self.known
         parts = [self._chunks(t) if t else [] for t in texts]
-        new = {c for p in parts for c in filterfalse(known.__contains__, p)}
-        if len(known) + len(new) > self.limit:
-            known.clear()
-            known[""] = b""
-            new = {c for p in parts for c in filterfalse(known.__contains__, p)}
+        if len(self.known) > self.limit:
+            self.known = {"": b""}
+        known = self.known
+        found = [list(map(known.get, p)) for p in parts]
+        holes = [[i for i, v in enumerate(f) if v is None] for f in found]
+        new = {p[i] for p, h in zip(parts, holes) for i in h}
         split = {c: m.groups() for c in new if (m := self.WORD_SIGNS.fullmatch(c))}
         bare = (new - split.keys()).union(*split.values())
         self._learn(list(filterfalse(known.__contains__, bare)))
         for chunk, (word, signs) in split.items():
             known[chunk] = known[word] + known[signs]
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        for p, f, h in zip(parts, found, holes):
+            for i in h:
+                f[i] = known[p[i]]
+        return [b"".join(f) for f in found]
 
 
 _ENCODERS: dict[str, ChunkIds] = {}
@@ -128,7 +137,7 @@ def _pieces_of(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, ChunkIds(path))
         for batch in batches:
-            chars = np.cumsum([len(t) if t else 0 for t in (x.as_py() for x in batch.column(1))])
+            chars = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
             for at in _cuts(chars):
                 few = batch.slice(*at)
                 rows = []
