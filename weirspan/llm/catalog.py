@@ -34,7 +34,31 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
-@register("op10_distinct_site_lines")
+OP10_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, text, source, string_split(text, chr(10)) AS lines FROM documents
+), occ AS (
+  SELECT rid, doc_id, md5(text) AS digest, source, place, trim(lines[place], ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line
+  FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS place FROM d)
+), said AS (
+  SELECT *, len(string_split_regex(line, '[ \\t\\v\\f\\r]+')) >= 50 AS long FROM occ WHERE line <> ''
+), gone AS (
+  SELECT line, min(struct_pack(none := doc_id IS NULL, doc_id := doc_id, digest := digest, place := place)) AS first FROM said GROUP BY line, long
+  HAVING count(DISTINCT CASE WHEN long THEN concat('d', doc_id, ':', digest) WHEN source IS NULL THEN 'n' ELSE concat('s', source) END) >= CASE WHEN long THEN 2 ELSE 3 END
+), dropped AS (
+  SELECT s.rid, s.place FROM said s JOIN gone g USING (line) WHERE struct_pack(none := s.doc_id IS NULL, doc_id := s.doc_id, digest := s.digest, place := s.place) <> g.first
+), counted AS (
+  SELECT rid, count(*) AS n, list(place) AS places FROM dropped GROUP BY rid
+), kept AS (
+  SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(lines) END AS n_lines, coalesce(n, 0) AS n_removed,
+    CASE WHEN n IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda p: NOT list_contains(places, p)), lambda p: lines[p]), chr(10)) END AS text
+  FROM d LEFT JOIN counted USING (rid)
+)
+SELECT doc_id, CAST(n_lines AS INT) AS n_lines, CAST(n_removed AS INT) AS n_removed, CAST(length(text) AS INT) AS kept_chars, sha256(text) AS text_sha256 FROM kept
+"""
+
+
+@register("op10_distinct_site_lines", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.length("text").alias("kept_chars"), F.sha2("text", 256).alias("text_sha256"))
