@@ -220,21 +220,39 @@ def site_banding(rows: DataFrame, key: str = "site_id") -> DataFrame:
     return ranks.select(F.col("v").cast("bigint").alias(key), F.col("before").alias("rank"), (F.col("before") % 2).alias("band"))
 
 
+# The two combinations whose bands are compared.
+AGREEING = (("NHD", "NWM"), ("TDX", "GEO"))
+
+
 def report(results: DataFrame, sections: DataFrame, sites: DataFrame) -> DataFrame:
     """The validation figures of every combination as one long table."""
 
     def long(df: DataFrame, name: str, label: Column, value: str) -> DataFrame:
         return df.select(*COMBO, F.lit(name).alias("statistic"), label.cast("string").alias("label"), F.col(value).cast("double").alias("value"))
 
+    def whole(df: DataFrame) -> DataFrame:
+        """Figures over all combinations."""
+        return df.withColumns({c: F.lit("all") for c in COMBO})
+
     bands = danger_bands(sections)
     heights = error_metrics(predicted_and_known(median_heights(sections), sites), COMBO)
+    pairs = predicted_and_known(plausible(sections), sites)
+    strict = strict_sites(results).groupBy(*COMBO).agg((F.lit(100.0) * F.avg(F.col("success").cast("double"))).alias("pct"))
+    summary = height_summary(sections)
+    overlap = whole(agreement_summary(agreement(paired_bands(bands, *AGREEING))))
+    quartiles = whole(slope_quartiles(pairs))
     parts = [
         long(class_shares(site_classes(results, sites), "class"), "site class %", F.col("class"), "pct"),
+        long(strict, "strict success %", F.lit("all"), "pct"),
         long(jump_shares(results), "jump share %", F.concat_ws(" ", "xs_index", "jump_type"), "pct"),
         long(danger_rate(results), "danger rate %", F.col("xs_index"), "pct"),
         long(band_histogram(bands), "band width %", F.col("bin"), "pct"),
         long(incident_counts(results), "incidents per site", F.lit("all"), "per_site"),
+        long(slope_class_fit(pairs), "height r2 by slope", F.col("slope_class"), "r2"),
         *[long(heights, f"height {m}", F.lit("all"), m) for m in ("rmse", "bias", "mae", "r2")],
+        *[long(summary, f"section height {m}", F.col("xs_index"), m) for m in ("min", "max", "mean", "median", "n")],
+        *[long(overlap, f"agreement {m}", F.lit("all"), m) for m in ("n", "zero", "near_perfect", "mean", "median")],
+        *[long(quartiles, f"slope {q}", F.lit("all"), q) for q in ("q1", "q2", "q3")],
     ]
     out = parts[0]
     for p in parts[1:]:

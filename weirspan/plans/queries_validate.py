@@ -189,12 +189,23 @@ def _(t):
     return out.withColumns(feet).select(*va.COMBO, "site_id", day("date").alias("date"), "xs_index", "jump_type", "band", *feet)
 
 
-@query("K13_validation_report", f"""WITH {CLASSES}, {BANDS}, {MED},
+@query("K13_validation_report", f"""WITH {CLASSES}, {SCORED}, {MED}, {PAIRS_XS},
+       q AS (SELECT quantile_cont(slope, 0.25) AS q1, quantile_cont(slope, 0.5) AS q2, quantile_cont(slope, 0.75) AS q3 FROM prs),
+       sl AS (SELECT prs.*, CASE WHEN slope <= q1 THEN 'Low' WHEN slope <= q2 THEN 'Medium' WHEN slope <= q3 THEN 'High' ELSE 'Very High' END AS slope_class FROM prs, q),
+       strict AS (SELECT {C}, site_id, bool_and(hit) AS ok FROM hits GROUP BY {C}, site_id),
+       su AS (SELECT {C}, xs_index, min(p_height) AS min, max(p_height) AS max, avg(p_height) AS mean, quantile_cont(p_height, 0.5) AS median, CAST(count(*) AS double) AS n
+              FROM {{xsections}} WHERE p_height >= 0 AND p_height <= 65 AND xs_index BETWEEN 1 AND 4 GROUP BY {C}, xs_index),
+       ag AS (SELECT CAST(count(*) AS double) AS n, CAST(count(*) FILTER (jaccard = 0) AS double) AS zero, CAST(count(*) FILTER (jaccard >= 0.99e0) AS double) AS near_perfect, avg(jaccard) AS mean, quantile_cont(jaccard, 0.5) AS median FROM scored),
        cl AS (SELECT {C}, class, 100e0 * count(*) / sum(count(*)) OVER (PARTITION BY {C}) AS pct FROM classes GROUP BY {C}, class),
        js AS (SELECT {C}, xs_index, j, 100e0 * count(*) FILTER (jump_type = j) / count(*) AS pct FROM {{results}}, (VALUES ('A'), ('C'), ('D')) AS v(j) WHERE jump_type IS NOT NULL GROUP BY {C}, xs_index, j),
        tot AS (SELECT {C}, count(*) AS total FROM bands GROUP BY {C}),
        h AS (SELECT {C}, {METRICS} FROM med JOIN {{sites}} s ON med.site_id = s.site_id GROUP BY {C})
        SELECT {C}, 'site class %' AS statistic, class AS label, {rd('pct')} AS value FROM cl
+       UNION ALL SELECT {C}, 'strict success %', 'all', {rd('100e0 * avg(CASE WHEN ok THEN 1e0 ELSE 0e0 END)')} FROM strict GROUP BY {C}
+       UNION ALL SELECT {C}, 'height r2 by slope', slope_class, {rd('power(corr(p_known, p_height), 2)')} FROM sl GROUP BY {C}, slope_class HAVING count(*) > 1
+       UNION ALL SELECT {C}, concat('section height ', k), CAST(xs_index AS string), {rd('v')} FROM (UNPIVOT su ON min, max, mean, median, n INTO NAME k VALUE v)
+       UNION ALL SELECT 'all', 'all', concat('agreement ', k), 'all', {rd('v')} FROM (UNPIVOT ag ON n, zero, near_perfect, mean, median INTO NAME k VALUE v)
+       UNION ALL SELECT 'all', 'all', concat('slope ', k), 'all', {rd('v')} FROM (UNPIVOT q ON q1, q2, q3 INTO NAME k VALUE v)
        UNION ALL SELECT {C}, 'jump share %', concat(CAST(xs_index AS string), ' ', j), {rd('pct')} FROM js
        UNION ALL SELECT {C}, 'danger rate %', CAST(xs_index AS string), {rd('pct')} FROM js WHERE j = 'C'
        UNION ALL SELECT tot.flowline, tot.streamflow, 'band width %', CAST(b AS string), {rd('100e0 * (SELECT count(*) FROM bands w WHERE w.flowline = tot.flowline AND w.streamflow = tot.streamflow AND w.width <= 100 AND least(9, floor(w.width / 10)) = b) / total')} FROM tot, (SELECT unnest(range(0, 10)) AS b)
