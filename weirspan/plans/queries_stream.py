@@ -59,8 +59,10 @@ def _(t):
 
 @query("S6_rows_of_asked_features", f"SELECT feature_id, {rd('owp_roughness_bathy')} AS owp_roughness_bathy FROM {{channel_geometry}} WHERE feature_id IN (SELECT site_id * 2 FROM {{run_log}})")
 def _(t):
-    ids = t.run_log.select((F.col("site_id") * 2).alias("feature_id")).distinct()
-    return rounded(t.channel_geometry.select("feature_id", "owp_roughness_bathy").join(ids, "feature_id", "left_semi"), "owp_roughness_bathy")
+    path = flow_stream.scratch_table(t.spark, "geometry")
+    t.channel_geometry.write.parquet(path)
+    ids = t.run_log.select((F.col("site_id") * 2).alias("feature_id"))
+    return rounded(tables.read_rows_of(t.spark, path, ["feature_id", "owp_roughness_bathy"], ids, "feature_id"), "owp_roughness_bathy")
 
 
 @query("S13_sites_with_output", "SELECT c_custkey AS site_id FROM {customer} WHERE c_custkey IN (SELECT site_id FROM {stage_cells})")
@@ -70,8 +72,11 @@ def _(t):
 
 @query("S12_union_of_sources", "SELECT name, nation, CAST(acct AS double) AS acct FROM (SELECT c_name AS name, c_nationkey AS nation, c_acctbal AS acct FROM {customer} UNION ALL SELECT s_name, s_nationkey, NULL FROM {supplier})")
 def _(t):
-    a = t.customer.select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("acct"))
-    return a.unionByName(t.supplier.select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name")), allowMissingColumns=True)
+    # Two tables as files; the second has no balance.
+    path = flow_stream.scratch_table(t.spark, "sources")
+    t.customer.select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").cast("double").alias("acct")).write.parquet(f"{path}/a")
+    t.supplier.select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")).write.parquet(f"{path}/b")
+    return tables.union_of_files(t.spark, [f"{path}/a", f"{path}/b"]).select("name", "nation", "acct")
 
 
 RP = flow.RETURN_PERIODS
