@@ -10,7 +10,7 @@ def brute(rows, min_sites=3, long_words=50):
     for doc, text, source in rows:
         for place, raw in enumerate((text or "").split("\n")):
             line = raw.strip(" \t\r\x0b\x0c")
-            if line:
+            if len(line.split()) >= 3:
                 long = len(line.split()) >= long_words
                 seen[line, long].add((doc, text) if long else source)
                 at = (doc is None, doc or 0, place)
@@ -48,16 +48,21 @@ def test_awkward_rows_stay(spark):
 
 
 def test_a_short_line_needs_three_sites_and_stays_once(spark):
-    rows = [(i, f"own {i}\nshared line\nnear line", f"s{i % 3}") for i in range(9)] + [(20, "near line\nx", "s0"), (21, "two sites", "s0"), (22, "two sites", "s1")]
+    rows = [(i, f"own {i}\na shared line\nthe near line", f"s{i % 3}") for i in range(9)] + [(20, "the near line\nx", "s0"), (21, "only two sites", "s0"), (22, "only two sites", "s1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r.text for r in line_dedup.remove_repeated_lines(docs).collect()}
-    assert got[0] == "own 0\nshared line\nnear line" and got[1] == "own 1" and got[20] == "x" and got[21] == got[22] == "two sites"
+    assert got[0] == "own 0\na shared line\nthe near line" and got[1] == "own 1" and got[20] == "x" and got[21] == got[22] == "only two sites"
 
 
 def test_many_sites_are_sure_without_an_exact_count(spark):
-    docs = spark.createDataFrame([(i, f"boiler\nown {i}", f"site{i}") for i in range(300)], "doc_id long, text string, source string")
+    docs = spark.createDataFrame([(i, f"boiler plate text\nown {i}", f"site{i}") for i in range(300)], "doc_id long, text string, source string")
     assert line_dedup.remove_repeated_lines(docs).where("text like '%boiler%'").count() == 1
 
 
+def test_lines_of_one_or_two_words_stay(spark):
+    docs = spark.createDataFrame([(i, f"The end.\nOwn {i}", f"s{i}") for i in range(9)], "doc_id long, text string, source string")
+    assert line_dedup.remove_repeated_lines(docs).where("text like 'The end.%'").count() == 9
+
+
 def test_empty_table(spark):
     assert line_dedup.remove_repeated_lines(frame(spark, [])).collect() == []

@@ -41,7 +41,7 @@ WITH d AS (
   SELECT rid, doc_id, md5(text) AS digest, source, place, trim(lines[place], ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line
   FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS place FROM d)
 ), said AS (
-  SELECT *, len(string_split_regex(line, '[ \\t\\v\\f\\r]+')) >= 50 AS long FROM occ WHERE line <> ''
+  SELECT *, words >= 50 AS long FROM (SELECT *, len(string_split_regex(line, '[ \\t\\v\\f\\r]+')) AS words FROM occ WHERE line <> '') WHERE words >= 3
 ), gone AS (
   SELECT line, min(struct_pack(none := doc_id IS NULL, doc_id := doc_id, digest := digest, place := place)) AS first FROM said GROUP BY line, long
   HAVING count(DISTINCT CASE WHEN long THEN concat('d', doc_id, ':', digest) WHEN source IS NULL THEN 'n' ELSE concat('s', source) END) >= CASE WHEN long THEN 2 ELSE 3 END

@@ -9,6 +9,8 @@ the others, and all documents without links, fill the shards that have room left
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,10 +43,10 @@ def positions(df: DataFrame, group: str, order: list[str | Column]) -> DataFrame
     return joined.select(*df.columns, (F.col("__before") + F.col("__row") - F.col("__first")).alias("position"))
 
 
-def propagate(links: DataFrame, sizes: Column, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def propagate(links: DataFrame, quota: Callable[[Column], Column], shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """``node, shard, support`` for every node of ``links`` (src, dst), each link given once.
 
-    ``sizes`` is the quota of a row's ``shard``. ``support`` is the number of neighbours in the same shard.
+    ``quota`` gives the quota of a shard. ``support`` is the number of neighbours in the same shard.
     """
     both = cut_lineage(links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
     labels = both.select(F.col("src").alias("node")).distinct()
@@ -61,7 +63,7 @@ def propagate(links: DataFrame, sizes: Column, shards: int = SHARDS, rounds: int
         here = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count("target").alias("leave"))
         come = rows.where("target is not null").groupBy("target").agg(F.count(F.lit(1)).alias("come"))
         room = come.join(here.withColumnRenamed("shard", "target"), "target", "left")
-        room = room.select("target", ((sizes(F.col("target")) - F.coalesce("n", F.lit(0)) + F.coalesce("leave", F.lit(0))) / F.col("come")).alias("share"))
+        room = room.select("target", ((quota(F.col("target")) - F.coalesce("n", F.lit(0)) + F.coalesce("leave", F.lit(0))) / F.col("come")).alias("share"))
         rows = rows.join(F.broadcast(room), "target", "left")  # a row per shard at most
         moved = F.coalesce(_unit(F.lit(round_), F.col("node")) < F.col("share"), F.lit(False))
         labels = cut_lineage(rows.select(
