@@ -53,7 +53,8 @@ def item_spans(items: DataFrame) -> DataFrame:
     """
     long = F.size("words") >= WINDOW
     rows = with_window_hashes(items)
-    full = rows.where(long).select("group", F.lit(WINDOW).alias("size"), F.posexplode("marks").alias("at", "mark"), "words")
+    # The outer form: for the plain one the optimizer would push a test of the array below all the steps that make it.
+    full = rows.where(long).select("group", F.lit(WINDOW).alias("size"), F.posexplode_outer("marks").alias("at", "mark"), "words").where("mark is not null")
     full = full.select("group", "size", "mark", _span(F.col("at"), WINDOW).alias("span"))
     short = rows.where(~long).select("group", F.size("words").alias("size"), F.lit(None).cast("long").alias("mark"), F.array_join("words", " ").alias("span"))
     return full.unionByName(short).distinct()
