@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+import corpus_pipeline
 from tests.llm.corpus import documents, frame
 from weirspan.llm import line_dedup
 
@@ -66,3 +67,12 @@ def test_lines_of_one_or_two_words_stay(spark):
 
 def test_empty_table(spark):
     assert line_dedup.remove_repeated_lines(frame(spark, [])).collect() == []
+
+
+def test_a_short_line_on_all_sites_goes_in_the_pipeline(spark):
+    """'Read more' stands on all twenty sites, 'The end.' on four of them, too few for a quarter."""
+    rows = [(i, f"Read more\n{'The end.' if i < 4 else f'x {i}'}\nOwn {i}", f"s{i}") for i in range(20)]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.remove_repeated_lines(spark, docs, "").collect()}
+    assert got[0] == rows[0][1] and [got[i] for i in (1, 2, 3)] == [f"The end.\nOwn {i}" for i in (1, 2, 3)]
+    assert got[4] == "x 4\nOwn 4" and got[19] == "x 19\nOwn 19"
