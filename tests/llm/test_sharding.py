@@ -64,3 +64,12 @@ def test_positions_of_a_hot_group(spark):
     for g in {r.g for r in got}:
         own = sorted((r.v, r.position) for r in got if r.g == g)
         assert [p for _, p in own] == list(range(len(own)))
+
+
+def test_pairs_end_together_with_production_parameters(spark):
+    """Two thousand pairs among as many single documents, forty shards with room for all: no pair is cut."""
+    rows = [(i, f"pair {i % 2000}") for i in range(4000)] + [(5000 + i, f"single {i}") for i in range(4000)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check_even(got, sharding.SHARDS, 8000)
+    shard = {r.doc_id: r.shard for r in got}
+    assert sum(shard[i] != shard[i + 2000] for i in range(2000)) == 0

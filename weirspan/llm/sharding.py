@@ -2,8 +2,9 @@
 
 Every linked document starts in a shard of its own hash. In each round the neighbours' shards are counted by a join
 over the links, and a document asks to move to the shard that holds most of its neighbours. A shard admits as large a
-share of those who ask as its quota has room for, counting those who leave. Half of the documents may ask in a round,
-so two neighbours do not swap for ever. At the end each shard keeps its best-supported documents up to its quota;
+share of those who ask as its quota has room for, counting those who leave. A round has a random order of the shards,
+every second round the reverse of the one before, and documents may ask for later shards only: of two neighbours one
+asks, so they never swap. Rounds go on until no request has room in either direction. At the end each shard keeps its best-supported documents up to its quota;
 the others, and all documents without links, fill the shards that have room left. Only DataFrame functions are used.
 """
 
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from weirspan.llm.common import cut_lineage, stored
 
 SHARDS = 40
-ROUNDS = 6
+#: Rounds end as well when the number of links inside shards has not grown for so many of them (requests that take turns).
+STALLED = 12
 #: Bytes that each document counts besides its text.
 OVERHEAD = 16
 
@@ -43,39 +45,48 @@ def positions(df: DataFrame, group: str, order: list[str | Column]) -> DataFrame
     return joined.select(*df.columns, (F.col("__before") + F.col("__row") - F.col("__first")).alias("position"))
 
 
-def propagate(links: DataFrame, quota: Callable[[Column], Column], shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def propagate(links: DataFrame, quota: Callable[[Column], Column], shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """``node, shard, support`` for every node of ``links`` (src, dst), each link given once.
 
-    ``quota`` gives the quota of a shard. ``support`` is the number of neighbours in the same shard.
+    ``quota`` gives the quota of a shard. ``support`` is the number of neighbours in the same shard. ``rounds`` are the
+    most that are made; None goes on until the labels have settled.
     """
     both = cut_lineage(links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
     labels = both.select(F.col("src").alias("node")).distinct()
-    labels = cut_lineage(labels.select("node", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).cast("long").alias("support"), F.lit(False).alias("moved")))
-    for round_ in range(rounds):
+    labels = cut_lineage(labels.select("node", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard")))
+    if labels.isEmpty():
+        return labels.withColumn("support", F.lit(0).cast("long"))
+    best, best_round, quiet, round_ = -1, 0, 0, 0
+    while True:
         near = both.join(labels.select(F.col("node").alias("dst"), "shard"), "dst").groupBy("src", "shard").agg(F.count(F.lit(1)).alias("n"))
-        near = near.groupBy(F.col("src").alias("node")).agg(
-            F.max(F.struct("n", "shard")).alias("best"), F.collect_list(F.struct("shard", "n")).alias("all")  # at most a row per shard
-        )
-        rows = labels.select("node", "shard").join(near, "node")
+        near = near.groupBy(F.col("src").alias("node")).agg(F.collect_list(F.struct("n", "shard")).alias("all"))  # at most a row per shard
         own = F.coalesce(F.get(F.filter("all", lambda x: x["shard"] == F.col("shard")), F.lit(0))["n"], F.lit(0))
-        asks = (F.col("best.n") > own) & (_unit(F.col("node"), F.lit(round_)) < (1.0 if round_ == rounds - 1 else 0.5))
-        rows = cut_lineage(rows.select("node", "shard", own.alias("own"), F.col("best.n").alias("gain"), F.when(asks, F.col("best.shard")).alias("target")))
+        rows = labels.join(near, "node").select("node", "shard", "all", own.alias("own"))
+        place, back = _unit(F.lit(round_ // 2), F.col("shard")), round_ % 2 == 1
+
+        def later(x: Column) -> Column:
+            there = _unit(F.lit(round_ // 2), x["shard"])
+            return (x["n"] > F.col("own")) & (there < place if back else there > place)
+
+        rows = cut_lineage(rows.select("node", "shard", "own", F.array_max(F.filter("all", later))["shard"].alias("target")))
         here = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count("target").alias("leave"))
         come = rows.where("target is not null").groupBy("target").agg(F.count(F.lit(1)).alias("come"))
         room = come.join(here.withColumnRenamed("shard", "target"), "target", "left")
-        room = room.select("target", ((quota(F.col("target")) - F.coalesce("n", F.lit(0)) + F.coalesce("leave", F.lit(0))) / F.col("come")).alias("share"))
-        rows = rows.join(F.broadcast(room), "target", "left")  # a row per shard at most
-        moved = F.coalesce(_unit(F.lit(round_), F.col("node")) < F.col("share"), F.lit(False))
-        labels = cut_lineage(rows.select(
-            "node", F.when(moved, F.col("target")).otherwise(F.col("shard")).alias("shard"),
-            F.when(moved, F.col("gain")).otherwise(F.col("own")).alias("support"), moved.alias("moved"),
-        ))
-        if labels.where("moved").isEmpty():
-            break
-    return labels.drop("moved")
-
-
-def balanced_shards(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+        room = cut_lineage(room.select("target", ((quota(F.col("target")) - F.coalesce("n", F.lit(0)) + F.coalesce("leave", F.lit(0))) / F.col("come")).alias("share")))
+        quiet = quiet + 1 if room.where("share > 0").isEmpty() else 0
+        inside = rows.agg(F.sum("own")).first()[0]
+        if inside > best:
+            best, best_round = inside, round_
+        if quiet == 2 or round_ - best_round >= STALLED or round_ == rounds:
+            return rows.select("node", "shard", F.col("own").alias("support"))
+        if not quiet:
+            rows = rows.join(F.broadcast(room), "target", "left")  # a row per shard at most
+            moved = F.coalesce(_unit(F.lit(round_), F.col("node")) < F.col("share"), F.lit(False))
+            labels = cut_lineage(rows.select("node", F.when(moved, F.col("target")).otherwise(F.col("shard")).alias("shard")))
+        round_ += 1
+
+
+def balanced_shards(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """``node, shard, slot`` for every row of ``nodes`` (node long, unique), given ``links`` (src, dst) between them.
 
     The counts of the shards differ by one at most; slots are gapless from 0 in each shard. Without links the
@@ -102,7 +113,7 @@ def balanced_shards(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, ro
     return stays.select("node", "shard", F.col("position").alias("slot")).unionByName(filled)
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``, by the law ``rows``.
 
     Documents with equal texts are linked, each to the first of them, so a group of any size has one link a document.
