@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirspan.llm import decontaminate, line_dedup, lm_score, neighbours, packing, pii, quotes, sharding, simhash, toxicity
+from weirspan.llm import decontaminate, line_dedup, lm_score, neighbours, packing, pii, quotes, resampling, sharding, simhash, substrings, toxicity, whitening
 from weirspan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,72 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_quotation_linking")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), win AS (
+  SELECT rid, pos, md5(array_to_string(w[pos:pos + 34], ' ')) AS span FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS pos FROM d WHERE len(w) >= 35)
+), again AS (
+  SELECT span FROM win GROUP BY span HAVING count(*) > 1
+), gone AS (
+  SELECT rid, list(DISTINCT p) AS places FROM (SELECT rid, unnest(range(pos, pos + 35)) AS p FROM win JOIN again USING (span)) GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(len(places), 0) AS n_removed,
+  sha256(CASE WHEN places IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(places, p)), lambda p: w[p]), ' ') END) AS kept_sha256
+FROM d LEFT JOIN gone USING (rid)
+"""
+
+
+@register("op11_repeated_passages", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@register("op12_shifted_cholesky_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, CAST(i AS BIGINT))) AS t
+), d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), b AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), texts AS (
+  SELECT rid, w FROM d UNION ALL SELECT NULL, w FROM b
+), run AS (
+  SELECT rid, array_to_string(w[pos:pos + n - 1], ' ') AS feature, count(*) AS c
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS pos FROM texts CROSS JOIN range(1, 4) r(n) WHERE len(w) >= n) GROUP BY ALL
+), named AS (
+  SELECT feature, hex(feature) AS h FROM (SELECT DISTINCT feature FROM run)
+), bucketed AS (
+  SELECT feature, xor(4294967295, list_reduce(list_transform(range(1, len(h) // 2 + 1), lambda i: CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT)),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT))) % 10000 AS bucket
+  FROM named CROSS JOIN crc
+), counted AS (
+  SELECT bucket, coalesce(sum(c) FILTER (WHERE rid IS NOT NULL), 0) AS s, coalesce(sum(c) FILTER (WHERE rid IS NULL), 0) AS t FROM run JOIN bucketed USING (feature) GROUP BY bucket
+), total AS (
+  SELECT CAST(sum(s) AS DOUBLE) AS ss, CAST(sum(t) AS DOUBLE) AS tt FROM counted
+), gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (ss + 10000) / ((CAST(s AS DOUBLE) + 1) * (tt + 10000)))) AS BIGINT) AS g FROM counted CROSS JOIN total
+), weighed AS (
+  SELECT rid, CAST(sum(c) AS BIGINT) AS n, CAST(sum(c * g) AS BIGINT) AS weight FROM run JOIN bucketed USING (feature) JOIN gain USING (bucket) WHERE rid IS NOT NULL GROUP BY rid
+), scored AS (
+  SELECT rid, doc_id, len(w) AS words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN weighed USING (rid)
+), drawn AS (
+  SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS able FROM scored WHERE words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * able // 100 THEN place END AS rank FROM scored LEFT JOIN drawn USING (rid)
+"""
+
+
+@register("op13_importance_resampling", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
