@@ -140,6 +140,19 @@ SQL: dict[str, str | tuple[str, str]] = {
                30 + ((p_partkey % (SELECT count(*) FROM {supplier})) * 37 % 1500) / 100.0e0 + 0.0005e0 * (p_partkey % 11 - 5) + 0.001e0 * (i % 2) AS y
         FROM {part}, (VALUES (0), (1), (2), (3)) AS v(i)""",
     ),
+    # Up to 24 parts a site, named out of order and some drawn backwards; gaps, and for some sites loops and forks.
+    "line_parts": (
+        """
+        SELECT site_id, (j * 11 + site_id) % 24 AS part, i AS seq,
+               -120 + (site_id * 53 % 4500) / 100.0e0 + 0.002e0 * (CASE WHEN i = 1 THEN j + 0.5e0 WHEN (i = 0) = turned THEN CASE WHEN site_id % 5 = 0 AND j = 7 THEN 4 WHEN site_id % 5 = 1 AND j = 23 THEN 20 ELSE j + 1 END ELSE j END) AS x,
+               30 + (site_id * 37 % 1500) / 100.0e0 + 0.0007e0 * (CASE WHEN i = 1 THEN 1 + j % 3 WHEN (i = 0) = turned THEN CASE WHEN site_id % 5 = 0 AND j = 7 THEN 4 WHEN site_id % 5 = 1 AND j = 23 THEN 20 ELSE j + 1 END ELSE j END % 2) AS y
+        FROM (SELECT DISTINCT l_suppkey AS site_id, l_partkey % 24 AS j, (l_partkey % 24 * 3 + l_suppkey) % 4 = 0 AS turned FROM {lineitem} WHERE (l_suppkey * 5 + l_partkey % 24 * 7) % 11 <> 0) p LATERAL VIEW explode(array(0, 1, 2)) v AS i""",
+        """
+        SELECT site_id, (j * 11 + site_id) % 24 AS part, i AS seq,
+               -120 + (site_id * 53 % 4500) / 100.0e0 + 0.002e0 * (CASE WHEN i = 1 THEN j + 0.5e0 WHEN (i = 0) = turned THEN CASE WHEN site_id % 5 = 0 AND j = 7 THEN 4 WHEN site_id % 5 = 1 AND j = 23 THEN 20 ELSE j + 1 END ELSE j END) AS x,
+               30 + (site_id * 37 % 1500) / 100.0e0 + 0.0007e0 * (CASE WHEN i = 1 THEN 1 + j % 3 WHEN (i = 0) = turned THEN CASE WHEN site_id % 5 = 0 AND j = 7 THEN 4 WHEN site_id % 5 = 1 AND j = 23 THEN 20 ELSE j + 1 END ELSE j END % 2) AS y
+        FROM (SELECT DISTINCT l_suppkey AS site_id, l_partkey % 24 AS j, (l_partkey % 24 * 3 + l_suppkey) % 4 = 0 AS turned FROM {lineitem} WHERE (l_suppkey * 5 + l_partkey % 24 * 7) % 11 <> 0) p, (VALUES (0), (1), (2)) AS v(i)""",
+    ),
     "crosswalk": "SELECT DISTINCT l_suppkey AS nhdplusid, 700000000 + l_partkey % 25 AS linkno FROM {lineitem}",
     "regions": """
         SELECT n_nationkey AS vpu, -121e0 + 9.2e0 * (n_nationkey % 5) AS x0, 29e0 + 3.4e0 * floor(n_nationkey / 5) AS y0,

@@ -63,6 +63,33 @@ def albers(lat: Column, lon: Column) -> tuple[Column, Column]:
     return rho * F.sin(theta), F.lit(ALBERS_RHO0) - rho * F.cos(theta)
 
 
+AUTHALIC_POLE = _authalic(1.0)
+# Coefficients of the published series of latitude in sines of even multiples of the authalic and of the rectifying latitude.
+AUTHALIC_SERIES = (E2 / 3 + 31 * E2**2 / 180 + 517 * E2**3 / 5040, 23 * E2**2 / 360 + 251 * E2**3 / 3780, 761 * E2**3 / 45360)
+_THIRD = (1 - math.sqrt(1 - E2)) / (1 + math.sqrt(1 - E2))
+FOOTPOINT_SERIES = (3 * _THIRD / 2 - 27 * _THIRD**3 / 32, 21 * _THIRD**2 / 16 - 55 * _THIRD**4 / 32, 151 * _THIRD**3 / 96, 1097 * _THIRD**4 / 512)
+
+
+def _with_sines(angle: Column, series: tuple[float, ...]) -> Column:
+    return sum((F.lit(c) * F.sin(2 * (k + 1) * angle) for k, c in enumerate(series)), angle)
+
+
+def albers_inverse(x: Column, y: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of equal-area metres: series of the authalic latitude, then one Newton step."""
+    down = F.lit(ALBERS_RHO0) - y
+    q = (F.lit(ALBERS_C) - (x * x + down * down) * F.lit((ALBERS_N / AXIS) ** 2)) / F.lit(ALBERS_N)
+
+    def refined(phi: Column) -> Column:
+        s = F.sin(phi)
+        w = 1 - F.lit(E2) * s * s
+        miss = q / F.lit(1 - E2) - s / w + F.log((1 - F.lit(E1) * s) / (1 + F.lit(E1) * s)) / F.lit(2 * E1)
+        return F.degrees(phi + w * w / (2 * F.cos(phi)) * miss)
+
+    beta = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), q / F.lit(AUTHALIC_POLE))))
+    lat = let(let(beta, lambda b: _with_sines(b, AUTHALIC_SERIES)), refined)
+    return lat, F.lit(ALBERS_LON0) + F.degrees(F.atan2(x, down)) / F.lit(ALBERS_N)
+
+
 def utm_zone(lon: Column) -> Column:
     return F.floor((lon + 180) / 6).cast("int") + 1
 
@@ -91,6 +118,29 @@ def utm(lat: Column, lon: Column) -> tuple[Column, Column]:
     return east, north
 
 
+def utm_inverse(east: Column, north: Column, zone: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of northern UTM metres, from the latitude at which the meridian is as long (series to sixth order)."""
+    mu = north / F.lit(UTM_SCALE * AXIS * (1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256))
+    ep2 = E2 / (1 - E2)
+
+    def point(phi: Column) -> Column:
+        sin, cos, tan = F.sin(phi), F.cos(phi), F.tan(phi)
+        w = 1 - F.lit(E2) * sin * sin
+        t, c, n = tan * tan, F.lit(ep2) * cos * cos, F.lit(AXIS) / F.sqrt(w)
+        d = (east - F.lit(UTM_EAST)) / (F.lit(UTM_SCALE) * n)
+        d2 = d * d
+        # n tan / r, with the meridian radius r = n (1 - e2) / w
+        lat = phi - tan * w / F.lit(1 - E2) * d2 * (
+            F.lit(0.5) - (5 + 3 * t + 10 * c - 4 * c * c - F.lit(9 * ep2)) * d2 / 24
+            + (61 + 90 * t + 298 * c + 45 * t * t - F.lit(252 * ep2) - 3 * c * c) * d2 * d2 / 720
+        )
+        lon = d * (1 - (1 + 2 * t + c) * d2 / 6 + (5 - 2 * c + 28 * t - 3 * c * c + F.lit(8 * ep2) + 24 * t * t) * d2 * d2 / 120) / cos
+        return F.struct(F.degrees(lat).alias("lat"), (zone * 6 - 183 + F.degrees(lon)).alias("lon"))
+
+    at = let(let(mu, lambda m: _with_sines(m, FOOTPOINT_SERIES)), point)
+    return at["lat"], at["lon"]
+
+
 def web_mercator(lat: Column, lon: Column) -> tuple[Column, Column]:
     return F.lit(AXIS) * F.radians(lon), F.lit(AXIS) * F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2))
 

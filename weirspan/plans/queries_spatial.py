@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weirspan.functions import geo
-from weirspan.operators import near, network
+from weirspan.operators import chains, near, network
 from weirspan.plans import site_geometry
 from weirspan.plans.catalog import query
 from weirspan.plans.common import chain, r, rd, rounded
+from weirspan.sources import lines
+from weirspan.streaming import flow_stream
 
 E2S, E1S, AX = "0.006694380022903416e0", "0.08181919104283185e0", "6378137.0e0"
 
@@ -112,6 +114,45 @@ def _(t):
     return t.sites.select("site_id", geo.utm_zone(F.col("longitude")).alias("zone"), r(x, 4).alias("x"), r(y, 4).alias("y"))
 
 
+ALBERS_BACK = [
+    f"{E2S} AS e, {E1S} AS e1, {AX} AS ax, sin(radians(29.5e0)) AS s1, sin(radians(45.5e0)) AS s2, sin(radians(23e0)) AS s0",
+    ", ".join(f"(1 - e) * ({v} / (1 - e * {v} * {v}) - ln((1 - e1 * {v}) / (1 + e1 * {v})) / (2 * e1)) AS q{v[1]}" for v in ("s1", "s2", "s0")) + ", 1 - (1 - e) / (2 * e1) * ln((1 - e1) / (1 + e1)) AS qp",
+    "((1 - s1 * s1) / (1 - e * s1 * s1) - (1 - s2 * s2) / (1 - e * s2 * s2)) / (q2 - q1) AS n",
+    "(1 - s1 * s1) / (1 - e * s1 * s1) + n * q1 AS c",
+    "ax * sqrt(c - n * q0) / n - y AS down",
+    "(c - (x * x + down * down) * n * n / (ax * ax)) / n AS q",
+    "asin(greatest(-1e0, least(1e0, q / qp))) AS b",
+    "b + (e / 3 + 31 * e * e / 180 + 517 * e * e * e / 5040) * sin(2 * b) + (23 * e * e / 360 + 251 * e * e * e / 3780) * sin(4 * b) + 761 * e * e * e / 45360 * sin(6 * b) AS f",
+    "1 - e * sin(f) * sin(f) AS w",
+    "degrees(f + w * w / (2 * cos(f)) * (q / (1 - e) - sin(f) / w + ln((1 - e1 * sin(f)) / (1 + e1 * sin(f))) / (2 * e1))) AS lat, -96 + degrees(atan2(x, down)) / n AS lon",
+]
+
+
+@query("F31_albers_inverse", f"SELECT linkno, seq, {rd('lat', 8)} AS lat, {rd('lon', 8)} AS lon FROM ({chain(f'SELECT linkno, seq, {_ax} AS x, {_ay} AS y FROM {{reach_vertices}}', ALBERS_BACK)})")
+def _(t):
+    x, y = geo.albers(F.col("y"), F.col("x"))
+    lat, lon = geo.albers_inverse(F.col("x"), F.col("y"))
+    return t.reach_vertices.select("linkno", "seq", x.alias("x"), y.alias("y")).select("linkno", "seq", r(lat, 8).alias("lat"), r(lon, 8).alias("lon"))
+
+
+UTM_BACK = [
+    "(1 - sqrt(1 - e)) / (1 + sqrt(1 - e)) AS k, y / 0.9996e0 / (6378137.0e0 * (1 - e / 4 - 3 * e * e / 64 - 5 * e * e * e / 256)) AS mu",
+    "mu + (3 * k / 2 - 27 * power(k, 3) / 32) * sin(2 * mu) + (21 * k * k / 16 - 55 * power(k, 4) / 32) * sin(4 * mu) + 151 * power(k, 3) / 96 * sin(6 * mu) + 1097 * power(k, 4) / 512 * sin(8 * mu) AS g",
+    f"power(tan(g), 2) AS t1, ep * power(cos(g), 2) AS c1, {AX} / sqrt(1 - e * power(sin(g), 2)) AS n1, {AX} * (1 - e) / power(1 - e * power(sin(g), 2), 1.5) AS r1",
+    "(x - 500000) / (0.9996e0 * n1) AS d",
+    "degrees(g - n1 * tan(g) / r1 * (d * d / 2 - (5 + 3 * t1 + 10 * c1 - 4 * c1 * c1 - 9 * ep) * power(d, 4) / 24 + (61 + 90 * t1 + 298 * c1 + 45 * t1 * t1 - 252 * ep - 3 * c1 * c1) * power(d, 6) / 720)) AS lat, "
+    "zone * 6 - 183 + degrees((d - (1 + 2 * t1 + c1) * power(d, 3) / 6 + (5 - 2 * c1 + 28 * t1 - 3 * c1 * c1 + 8 * ep + 24 * t1 * t1) * power(d, 5) / 120) / cos(g)) AS lon",
+]
+
+
+@query("F31_utm_inverse", f"SELECT linkno, seq, zone, {rd('lat', 8)} AS lat, {rd('lon', 8)} AS lon FROM ({chain('SELECT linkno, seq, x AS longitude, y AS latitude FROM {reach_vertices}', UTM + UTM_BACK)})")
+def _(t):
+    x, y = geo.utm(F.col("y"), F.col("x"))
+    flat = t.reach_vertices.select("linkno", "seq", geo.utm_zone(F.col("x")).alias("zone"), x.alias("x"), y.alias("y"))
+    lat, lon = geo.utm_inverse(F.col("x"), F.col("y"), F.col("zone"))
+    return flat.select("linkno", "seq", "zone", r(lat, 8).alias("lat"), r(lon, 8).alias("lon"))
+
+
 @query("F32_point_line_distance", f"WITH {PRIORITY} SELECT site_id, linkno, {rd('dist', 4)} AS dist FROM dd")
 def _(t):
     return rounded(near.point_line_distance(near.reaches_in_box(t.sites, t.reach_vertices), t.reach_vertices), "dist", places=4)
@@ -122,6 +163,23 @@ def _(t):
     return near.reaches_in_box(t.sites, t.reach_vertices).select("site_id", "linkno")
 
 
+AREA = (-112.0, 33.0, -95.0, 41.0)
+_area_corner = [f"(x2 - x1) * ({y}e0 - y1) - (y2 - y1) * ({x}e0 - x1)" for x in AREA[::2] for y in AREA[1::2]]
+
+
+@query(
+    "S10_box_scan_by_curve",
+    f"""WITH {SEGS}, hit AS (SELECT DISTINCT linkno FROM segs WHERE least(x1, x2) <= {AREA[2]}e0 AND greatest(x1, x2) >= {AREA[0]}e0 AND least(y1, y2) <= {AREA[3]}e0 AND greatest(y1, y2) >= {AREA[1]}e0
+          AND least({", ".join(_area_corner)}) <= 0 AND greatest({", ".join(_area_corner)}) >= 0)
+        SELECT linkno, {rd('min(x)')} AS xmin, {rd('min(y)')} AS ymin, {rd('max(x)')} AS xmax, {rd('max(y)')} AS ymax, CAST(count(*) AS int) AS n_points FROM {{reach_vertices}} JOIN hit USING (linkno) GROUP BY linkno""",
+)
+def _(t):
+    path = flow_stream.scratch_table(t.spark, "lines")
+    lines.write_lines(t.reach_vertices, path)
+    found = lines.read_box(t.spark, path, AREA)
+    return rounded(found.select("linkno", "xmin", "ymin", "xmax", "ymax", F.size("points").alias("n_points")), "xmin", "ymin", "xmax", "ymax")
+
+
 @query("J11_tolerance_join", f"""WITH pairs AS (SELECT c.cell_id, s.wse, s.stage_id, abs(c.row_ - s.row_) + abs(c.col_ - s.col_) AS d FROM {{cells}} c JOIN {{stage_cells}} s
        ON c.comid = s.comid AND abs(c.row_ - s.row_) <= 2 AND abs(c.col_ - s.col_) <= 2),
        best AS (SELECT cell_id, arg_min(struct_pack(w := wse, i := stage_id), struct_pack(d := d, i := stage_id)) AS b FROM pairs GROUP BY 1)
@@ -382,6 +440,31 @@ def _(t):
     return rounded(network.merged_line(steps(t), t.reach_vertices), "x", "y")
 
 
+@query(
+    "F34_merged_unordered_parts",
+    f"""WITH RECURSIVE half AS (SELECT site_id, part, seq = 0 AS at_head, x, y FROM {{line_parts}} WHERE seq <> 1),
+        node AS (SELECT site_id, x, y FROM half GROUP BY site_id, x, y HAVING count(*) = 2),
+        mate AS (SELECT a.site_id, a.part, a.at_head, b.part AS p2, b.at_head AS h2 FROM half a JOIN node n ON n.site_id = a.site_id AND n.x = a.x AND n.y = a.y
+          JOIN half b ON b.site_id = a.site_id AND b.x = a.x AND b.y = a.y WHERE a.part <> b.part OR a.at_head <> b.at_head),
+        walk AS (SELECT DISTINCT site_id, part AS p0, f AS f0, part, f AS fwd, 0 AS place FROM half, (VALUES (true), (false)) AS v(f)
+          UNION ALL SELECT w.site_id, w.p0, w.f0, m.p2, m.h2, w.place + 1 FROM walk w JOIN mate m ON m.site_id = w.site_id AND m.part = w.part AND m.at_head = NOT w.fwd WHERE NOT (m.p2 = w.p0 AND m.h2 = w.f0)),
+        way AS (SELECT site_id, p0, f0, min(part) AS chain, sum(CAST(fwd AS int)) AS n_fwd, arg_min(fwd, part) AS first_fwd FROM walk GROUP BY site_id, p0, f0),
+        whole AS (SELECT w.* FROM way w LEFT JOIN mate m ON m.site_id = w.site_id AND m.part = w.p0 AND m.at_head = w.f0
+          WHERE m.part IS NULL OR w.p0 = w.chain AND EXISTS (SELECT 1 FROM walk k JOIN mate e ON e.site_id = k.site_id AND e.part = k.part AND e.at_head = NOT k.fwd
+            WHERE k.site_id = w.site_id AND k.p0 = w.p0 AND k.f0 = w.f0 AND e.p2 = w.p0 AND e.h2 = w.f0)),
+        chosen AS (SELECT site_id, chain, arg_max(struct_pack(p := p0, f := f0), struct_pack(n := n_fwd, f := first_fwd)) AS b FROM whole GROUP BY site_id, chain),
+        line AS (SELECT c.site_id, c.chain, 2 * w.place + CASE WHEN w.fwd THEN v.seq ELSE 2 - v.seq END AS seq, v.x, v.y FROM chosen c JOIN walk w ON w.site_id = c.site_id AND w.p0 = c.b.p AND w.f0 = c.b.f
+          JOIN {{line_parts}} v ON v.site_id = w.site_id AND v.part = w.part WHERE w.place = 0 OR CASE WHEN w.fwd THEN v.seq ELSE 2 - v.seq END > 0),
+        far AS (SELECT s.site_id, s.flowline_source, a.chain, round(min({seg_dist('s.longitude', 's.latitude', 'a.x', 'a.y', 'b.x', 'b.y')}), 9) AS dist, max(b.seq) AS top
+          FROM {{sites}} s JOIN line a ON a.site_id = s.site_id JOIN line b ON b.site_id = a.site_id AND b.chain = a.chain AND b.seq = a.seq + 1 GROUP BY 1, 2, 3),
+        best AS (SELECT site_id, arg_min(struct_pack(c := chain, t := top, d := flowline_source = 'TDX-Hydro'), struct_pack(d := dist, c := chain)) AS b FROM far GROUP BY site_id)
+        SELECT l.site_id, l.chain, CAST(CASE WHEN b.b.d THEN b.b.t - l.seq ELSE l.seq END AS bigint) AS seq, {rd('l.x')} AS x, {rd('l.y')} AS y FROM line l JOIN best b ON b.site_id = l.site_id AND l.chain = b.b.c""",
+)
+def _(t):
+    sites = t.sites.select("site_id", F.col("longitude").alias("px"), F.col("latitude").alias("py"), (F.col("flowline_source") == "TDX-Hydro").alias("turned"))
+    return rounded(chains.flow_line(sites, t.line_parts, places=9), "x", "y")
+
+
 LINE_OF_SITE = "SELECT s.site_id AS linkno, row_number() OVER (PARTITION BY s.site_id ORDER BY s.place, v.seq DESC) - 1 AS seq, v.x, v.y FROM steps s JOIN {reach_vertices} v ON v.linkno = s.linkno"
 SITE_POINTS = "SELECT site_id AS linkno, longitude AS px, latitude AS py, weir_length / 100000 AS step FROM {sites}"
 
