@@ -64,7 +64,7 @@ def test_ties_go_to_the_smaller_id_and_repeated_rows_count(spark):
     assert got == brute(rows, [prose(3, 30)]) and sorted(r[4] for r in got if r[4]) == [1, 2, 3, 4, 5]
 
 
-@pytest.mark.parametrize("block_words", [1, 2, 5, 64, 1 << 16])
+@pytest.mark.parametrize("block_words", [1, 2, 5, 64, 1 << 14])
 def test_blocks_cover_each_run_once(block_words):
     texts = [prose(1, 40), None, "", "one", "one two", prose(2, 7), "x" * 100 + " ab ab ab ab"]
     got = Counter()
@@ -74,12 +74,15 @@ def test_blocks_cover_each_run_once(block_words):
     assert got == Counter((i, f) for i, t in enumerate(texts) for f in features(t))
 
 
+def single(words):
+    at = np.arange(len(words))
+    return resampling.Interned(words, at, at)
+
+
 def test_table_keeps_unequal_runs_apart_and_equal_ones_together():
     rng = random.Random(3)
     words = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 20))).encode() for _ in range(2000)]
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    table = resampling.Interned(joined, ends - [len(w) for w in words], ends)
+    table = single(words)
     names = {}
     for w, slot in zip(words, table.ids.tolist()):
         assert names.setdefault(slot, w) == w
@@ -88,14 +91,22 @@ def test_table_keeps_unequal_runs_apart_and_equal_ones_together():
 
 
 def test_equal_keys_of_unequal_runs_are_verified(monkeypatch):
-    monkeypatch.setattr(resampling.xxhash, "xxh64_intdigest", lambda b: 5)
-    joined = b"abcdefghij abcdefghix abcdefghij ab abc"
-    words = joined.split()
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    table = resampling.Interned(joined, ends - [len(w) for w in words], ends)
+    monkeypatch.setattr(resampling, "xxh64_of", lambda joined, eights, starts, sizes: np.full(len(starts), 5, np.uint64))
+    table = single(b"abcdefghij abcdefghix abcdefghij ab abc".split())
     assert table.ids[0] == table.ids[2] and len(set(table.ids.tolist())) == 4
 
 
+def test_hashes_are_xxh64_and_crc32():
+    rng = random.Random(5)
+    words = [bytes(rng.randrange(97, 123) for _ in range(n)) for n in [*range(1, 70), 200, 1000]] + [rng.randbytes(k).replace(b" ", b"x") for k in range(1, 40)]
+    at = np.arange(len(words) - 2)
+    for n in range(3):
+        table = resampling.Interned(words, at, at + n)
+        runs = [b" ".join(words[i : i + n + 1]) for i in at]
+        assert table.keys.tolist() == [resampling.xxhash.xxh64_intdigest(r) for r in runs]
+        assert table.bucket[table.ids].tolist() == [zlib.crc32(r) % 10_000 for r in runs]
+
+
 def test_a_text_of_many_blocks(spark):
     rows = [(1, prose(5, 150_000)), (2, prose(6, 25))]
     target = [prose(7, 40)]

@@ -2,7 +2,8 @@
 
 Texts are worked on in blocks of words. Every run of one to three words of a block is interned in an open-addressed table
 of NumPy arrays: its xxhash64 picks a slot, equal keys are verified byte by byte, and other keys move on to the next slot.
-A slot stores the bucket of its n-gram, computed once, and the number of occurrences. Counting adds the counts of the
+A slot stores the bucket of its n-gram, computed once, and the number of occurrences. Hashes, checks and buckets are array
+operations over all n-grams of a block. Counting adds the counts of the
 slots by bucket. Scoring looks the gain of each slot up once; the slot ids of the occurrences then gather the gains, and
 sums along the documents give their weights. Documents are cut into blocks only for this, not for the result.
 """
@@ -27,7 +28,7 @@ SEED = 42
 LEAST_WORDS = 20
 PERCENT = 5
 #: Words of a block; a table holds at most three n-grams a word.
-BLOCK_WORDS = 1 << 16
+BLOCK_WORDS = 1 << 14
 #: A-Z to a-z, other ASCII than letters and digits to a space; bytes of longer UTF-8 sequences belong to words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -36,28 +37,96 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
+#: The multipliers of xxHash64 and the reversed polynomial of CRC-32: fixed values of these functions.
+P1, P2, P3, P4, P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+CRC_POLYNOMIAL = 0xEDB88320
+#: Bytes by which a CRC is moved on at once.
+SHIFT_BYTES = 63
+
+
+def _shift_tables() -> np.ndarray:
+    """``[n, k, b]``: byte ``b`` at place ``k`` of a CRC, moved on by ``n`` zero bytes."""
+    step = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        step = np.where(step & 1, np.uint32(CRC_POLYNOMIAL) ^ (step >> 1), step >> 1).astype(np.uint32)
+    tables = [np.arange(256, dtype=np.uint32)[None, :] << np.arange(0, 32, 8, dtype=np.uint32)[:, None]]
+    for _ in range(SHIFT_BYTES):
+        tables.append(step[tables[-1] & np.uint32(255)] ^ (tables[-1] >> np.uint32(8)))
+    return np.stack(tables)
+
+
+SHIFTS = _shift_tables()
+
+
+def crc_joined(left: np.ndarray, right: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """CRC-32 of texts of CRC ``left``, each followed by one of CRC ``right`` and ``sizes`` bytes."""
+    left, open_ = left.copy(), np.flatnonzero(sizes)
+    moved = 0
+    while len(open_):
+        n, c = np.minimum(sizes[open_] - moved, SHIFT_BYTES), left[open_]
+        left[open_] = SHIFTS[n, 0, c & 255] ^ SHIFTS[n, 1, (c >> 8) & 255] ^ SHIFTS[n, 2, (c >> 16) & 255] ^ SHIFTS[n, 3, c >> 24]
+        moved += SHIFT_BYTES
+        open_ = open_[sizes[open_] > moved]
+    return left ^ right
+
+
+def _turned(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def xxh64_of(joined: bytes, eights: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """xxHash64 (seed 0) of many pieces of ``joined``; those of 32 bytes and more, which are few, one by one."""
+    found = P5 + sizes.astype(np.uint64)
+    for k in range(3):
+        on = np.flatnonzero(sizes >= 8 * k + 8)
+        found[on] = _turned(found[on] ^ (_turned(eights[starts[on] + 8 * k] * P2, 31) * P1), 27) * P1 + P4
+    on = np.flatnonzero(sizes & 4)
+    found[on] = _turned(found[on] ^ ((eights[starts[on] + (sizes[on] & ~7)] & np.uint64(0xFFFFFFFF)) * P1), 23) * P2 + P3
+    for k in range(3):
+        on = np.flatnonzero((sizes & 3) > k)
+        found[on] = _turned(found[on] ^ ((eights[starts[on] + (sizes[on] & ~3) + k] & np.uint64(0xFF)) * P5), 11) * P1
+    found = (found ^ (found >> np.uint64(33))) * P2
+    found = (found ^ (found >> np.uint64(29))) * P3
+    found ^= found >> np.uint64(32)
+    long, digest = np.flatnonzero(sizes >= 32), xxhash.xxh64_intdigest
+    found[long] = np.fromiter((digest(joined[a : a + n]) for a, n in zip(starts[long].tolist(), sizes[long].tolist())), np.uint64, len(long))
+    return found
+
+
 class Interned:
-    """The n-grams of one block of joined words, each in a slot of an open-addressed table.
+    """The n-grams of one block of words, each in a slot of an open-addressed table.
 
-    ``starts`` and ``ends`` are the byte places of the occurrences in ``joined``; ``ids`` gives the slot of each.
+    ``starts`` and ``ends`` are the byte places of the occurrences in ``joined``; ``ids`` gives the slot of each. An
+    occurrence is the words from ``first`` to ``last`` of the block.
     """
 
-    def __init__(self, joined: bytes, starts: np.ndarray, ends: np.ndarray):
-        size = 1 << max(4, int(2 * len(starts) - 1).bit_length())
-        self.joined, self.starts, self.ends = joined, starts, ends
-        digest = xxhash.xxh64_intdigest
-        self.keys = np.array([digest(joined[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64)
-        # Eight bytes from any place of the text at once, for the verification.
+    def __init__(self, words: list[bytes], first: np.ndarray, last: np.ndarray):
+        self.joined = joined = b" ".join(words)
+        known = dict(zip(dict.fromkeys(words), range(len(words))))
+        name = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        sizes = np.fromiter(map(len, known), np.int64, len(known))[name]
+        stops = np.cumsum(sizes + 1) - 1
+        self.starts, self.ends = (stops - sizes)[first], stops[last]
+        # Eight bytes from any place of the text at once.
         padded = np.frombuffer(joined + bytes(8), np.uint8)
         self._eights = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(joined) + 1,), (1,))
-        self.first = np.full(size, -1, np.int64)  # an occurrence that stands for the slot
-        self.ids = np.empty(len(starts), np.int64)
+        self.keys = xxh64_of(joined, self._eights, self.starts, self.ends - self.starts)
+        size = 1 << max(4, int(2 * len(first) - 1).bit_length())
+        self.owner = np.full(size, -1, np.int64)  # an occurrence that stands for the slot
+        self.ids = np.empty(len(first), np.int64)
         self._intern()
-        used = np.flatnonzero(self.first >= 0)
+        used = np.flatnonzero(self.owner >= 0)
         self.counts = np.bincount(self.ids, minlength=size)
+        # The CRC of a run is put together from those of its words.
+        alone = np.fromiter(map(zlib.crc32, known), np.uint32, len(known))[name]
+        spaced = np.fromiter((zlib.crc32(b" " + w) for w in known), np.uint32, len(known))[name]
+        a, b = first[self.owner[used]], last[self.owner[used]]
+        crc = alone[a]
+        for n in range(1, LONGEST):
+            on = np.flatnonzero(b - a >= n)
+            crc[on] = crc_joined(crc[on], spaced[a[on] + n], sizes[a[on] + n] + 1)
         self.bucket = np.zeros(size, np.int64)
-        crc, at = zlib.crc32, self.first[used]
-        self.bucket[used] = [crc(joined[a:b]) % BUCKETS for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+        self.bucket[used] = crc % BUCKETS
 
     def _same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether occurrences ``a`` and ``b`` are equal in key, length and every byte."""
@@ -74,13 +143,13 @@ class Interned:
         return same
 
     def _intern(self) -> None:
-        mask = len(self.first) - 1
+        mask = len(self.owner) - 1
         open_ = np.arange(len(self.starts))
         slot = (self.keys & np.uint64(mask)).astype(np.int64)
         while len(open_):
-            free = self.first[slot] < 0
-            self.first[slot[free]] = open_[free]  # of several, the last one written owns the slot
-            same = self._same(open_, self.first[slot])
+            free = self.owner[slot] < 0
+            self.owner[slot[free]] = open_[free]  # of several, the last one written owns the slot
+            same = self._same(open_, self.owner[slot])
             self.ids[open_[same]] = slot[same]
             open_, slot = open_[~same], (slot[~same] + 1) & mask
 
@@ -104,9 +173,6 @@ def blocks(texts: list[str | None], block_words: int = BLOCK_WORDS) -> Iterator[
 
 def _block(held: list[tuple[int, list[bytes], int]]) -> tuple[Interned, np.ndarray]:
     words = [w for _, part, _ in held for w in part]
-    joined = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
     lengths = np.array([len(part) for _, part, _ in held])
     stops = np.cumsum(lengths)
     begin = np.concatenate([np.arange(stop - size, stop - size + n) for stop, size, (_, _, n) in zip(stops.tolist(), lengths.tolist(), held)])
@@ -114,7 +180,7 @@ def _block(held: list[tuple[int, list[bytes], int]]) -> tuple[Interned, np.ndarr
     stop = np.repeat(stops, [n for _, _, n in held])
     runs = [(begin[ok], begin[ok] + n - 1, text[ok]) for n in range(1, LONGEST + 1) for ok in [begin + n <= stop]]
     first, last, owner = (np.concatenate(x) for x in zip(*runs))
-    return Interned(joined, (ends - sizes)[first], ends[last]), owner
+    return Interned(words, first, last), owner
 
 
 def bucket_counts(texts: DataFrame) -> DataFrame:
