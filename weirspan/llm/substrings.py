@@ -25,7 +25,7 @@ WINDOW = 35
 #: The first level is the window halved so often.
 HALVINGS = 2
 #: Bytes of text in a chunk and in a file of chunks, and windows in a bucket, at most on average.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 FILE_BYTES = 64 << 20
 BUCKET_WINDOWS = 2_000_000
 
@@ -90,7 +90,16 @@ class Windows:
     def runs(self, repeated: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
         """Piece, place in it and number of windows of every run of ``least`` or more repeated windows."""
         hit = np.zeros(self.total + 2, np.int8)
-        hit[self.at[np.isin(self.code(self.bucket, self.key), repeated)] + 1] = 1
+        codes = self.code(self.bucket, self.key)
+        if codes.dtype == EXACT:
+            same = np.isin(codes, repeated)
+        else:  # most windows are ruled out by a few bits
+            low = np.uint64(0xFFFFF)
+            near = np.zeros(1 << 20, bool)
+            near[repeated & low] = True
+            same = near[codes & low]
+            same[same] = np.isin(codes[same], repeated)
+        hit[self.at[same] + 1] = 1
         edge = np.diff(hit)
         first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         for a, b in zip(first.tolist(), last.tolist()):
@@ -105,8 +114,10 @@ def _words(texts: pa.ChunkedArray) -> list[list[bytes]]:
 
 def _pieces_of_texts(table: pa.Table) -> list[np.ndarray]:
     """Word hashes of each text; a word is hashed once for the chunk."""
-    known: dict[bytes, int] = {}
-    ids = [np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)) for words in _words(table["text"])]
+    split = _words(table["text"])
+    distinct = dict.fromkeys(w for words in split for w in words)
+    known = dict(zip(distinct, range(len(distinct))))
+    ids = [np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in split]
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
     return [hashes[i] for i in ids]
 
@@ -125,8 +136,12 @@ def _ask(pieces_of, length: int, buckets: int, exact: bool):
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         found = Windows(pieces_of(table), length, buckets, exact)
-        order = np.lexsort((found.key, found.bucket)) if exact else np.argsort(found.code(found.bucket, found.key), kind="stable")
-        bucket, keys = found.bucket[order], found.key[order]
+        if exact:
+            order = np.lexsort((found.key, found.bucket))
+            bucket, keys = found.bucket[order], found.key[order]
+        else:
+            codes = np.sort(found.code(found.bucket, found.key))
+            bucket, keys = codes >> np.uint64(32), (codes & np.uint64(0xFFFFFFFF)).astype(SHORT)
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (bucket[1:] != bucket[:-1])
         begins = np.flatnonzero(new)
@@ -200,7 +215,7 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame,
     """``doc_id, k1, k2, text, chunk`` of every row, bucketed by chunk, with the number of files and of words at most."""
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
-    chunks = max(4 * files, -(-size // chunk_bytes))
+    chunks = max(1, -(-size // chunk_bytes))
     # Dealt by the row, not by its values: rows that are all equal spread like others.
     chunk = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *doc_key(), "text").withColumn("chunk", chunk)
@@ -214,7 +229,7 @@ def repeated_runs(texts: DataFrame, files: int, most_words: int, window: int = W
     length = next(steps)
     while most_words:
         following, exact = next(steps), length >= window
-        buckets = max(files, -(-most_words // bucket_windows))
+        buckets = -(-most_words // bucket_windows)
         asked = state.groupBy("chunk").applyInArrow(_ask(pieces_of, length, buckets, exact), ASKED)
         answers = asked.groupBy("bucket").applyInArrow(_answer(exact), ANSWERED)
         least = 1 if exact else following - length + 1
