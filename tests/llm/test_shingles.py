@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tests.llm.corpus import documents, frame
 from weirspan.llm import shingles, simhash
 
@@ -39,7 +41,8 @@ def test_planted_pairs_just_over_and_under(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r.doc_id for r in shingles.keep_one(docs).collect()}
     assert kept == {d for d, _ in rows} - set(over)
-    assert simhash.keep_one(docs).count() > len(kept) + 20
+    prints = simhash.near_duplicates(simhash.fingerprints(docs)).select("component").distinct().count()
+    assert prints > len(kept) + 20
 
 
 def test_chains_in_one_bucket(spark):
@@ -61,6 +64,44 @@ def test_chains_in_one_bucket(spark):
     assert {(want[i], got[i]) for i in range(60)} == {(w, got[w]) for w in set(want)} and len(set(got.values())) == len(set(want))
 
 
+@pytest.mark.parametrize("edits, most", [((3, 3), 1 / 8), ((2, 5), 1 / 3), ((6, 6), 1 / 100)])
+def test_texts_that_are_alike_but_not_enough_do_not_meet(spark, monkeypatch, edits, most):
+    """One text with edits of one's own, similarities around 0.5 to 0.79: only texts edited at the same words may meet."""
+    rng = random.Random(sum(edits))
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for k in rng.sample(range(16), rng.randint(*edits)):
+            words[12 * k + rng.randrange(7)] = f"n{i}x{k}"
+        texts.append(" ".join(words))
+    asked, plain = [], shingles._links
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(shingles, "_links", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component for r in shingles.near_duplicates(docs).collect()}
+    want = list(range(150))
+    for i, j in sorted(pairs_of(texts)):
+        a, b = want[i], want[j]
+        want = [min(a, b) if x in (a, b) else x for x in want]
+    assert {(want[i], got[i]) for i in range(150)} == {(w, got[w]) for w in set(want)} and len(set(got.values())) == len(set(want))
+    assert len(asked) == 2 and asked[1] < most * 150 * 149 / 2
+
+
+def test_the_shared_part_of_differences():
+    """The bound on which the filter rests, on random sets."""
+    rng = random.Random(9)
+    for _ in range(300):
+        r = set(rng.sample(range(60), 40))
+        x, y = ({*rng.sample(sorted(r), 40 - k), *rng.sample(range(60, 100), k)} for k in (rng.randint(0, 9), rng.randint(0, 9)))
+        if jaccard(x, y) >= 0.8 and jaccard(y, r) < 0.8:
+            assert len((x ^ r) & (y ^ r)) >= shingles.least_shared(len(x ^ r), len(x), len(r), 0.8)
+
+
 def test_awkward_rows(spark):
     docs = frame(spark, documents())
     kept = shingles.keep_one(docs)

@@ -70,24 +70,8 @@ def test_links_of_dense_and_sparse_fingerprints(spark, most):
     assert {(want.index(w), got.index(g)) for w, g in zip(want, got)} == {(want.index(w), want.index(w)) for w in want}
 
 
-def test_keep_one(spark):
-    rows = documents()
-    docs = frame(spark, rows)
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-    ids = [d for d, _ in got]
-    groups = {}
-    for (doc, text), (_, _, component) in zip(rows, expected(rows)):
-        groups.setdefault(component, set()).add((doc, text))
-    assert len(got) == len(set(got))
-    assert sum(c is not None for c in groups) == sum(d is not None and any((d, t) in g for c, g in groups.items() if c == d) for d, t in got)
-    assert 60 in ids and not {61, 62, 63, 64} & set(ids)
-
-
 def test_empty_table_and_graph(spark):
     assert simhash.report(frame(spark, [])).collect() == []
-    assert simhash.keep_one(frame(spark, [])).collect() == []
     assert components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")).collect() == []
 
 

@@ -179,18 +179,3 @@ def report(docs: DataFrame, **options: int) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row; the fingerprint as 16 lower-case hex digits."""
     found = near_duplicates(cut_lineage(fingerprints(docs)), **options)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the row with the smallest doc_id stays.
-
-    NULL ids come last; among rows with one id the text with the smallest hash stays, and a repeated row stays once.
-    All columns are kept.
-    """
-    found = near_duplicates(cut_lineage(fingerprints(docs)), **options)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")
-    best = found.groupBy("component").agg(F.min(order).alias("best"))
-    best = best.select(F.col("best.k1").alias("__k1"), F.col("best.k2").alias("__k2"))
-    k1, k2 = doc_key()
-    keyed = docs.withColumns({"__k1": k1, "__k2": k2})
-    return keyed.join(best.hint("merge"), ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*[keyed[f"`{c}`"] for c in docs.columns])
