@@ -71,7 +71,7 @@ def test_a_third_of_all_rows_alike(spark):
 
 def test_chunks_are_grouped_without_another_exchange(spark, rows):
     texts, files, _ = substrings.chunked(stored(frame(spark, rows)))
-    plan = texts.groupBy("chunk").applyInArrow(substrings._ask(substrings._pieces_of_texts, 9, 4, False), substrings.ASKED)
+    plan = texts.groupBy("chunk").applyInArrow(substrings._ask(substrings._pieces_of_texts, 9, 4, substrings.SHORT), substrings.ASKED)
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
 
 

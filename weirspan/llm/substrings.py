@@ -5,7 +5,8 @@ the texts again. The first level takes short windows of words: each chunk hashes
 once to the bucket of its value, and the bucket answers which of them a second window has. Only runs of windows that are
 repeated at one length are extended to twice that length (the asked window at most, first), and so on until no window
 survives: a window can only be repeated if all the shorter ones in it are. Short levels compare 32 bits and the bucket,
-which only filters; from the asked window on, windows are compared by 128 bits.
+which only filters; the asked window is compared by 128 bits, and the longer ones, which only tell how long a repeat is,
+by 64.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ FILE_BYTES = 64 << 20
 BUCKET_WINDOWS = 2_000_000
 
 EXACT = np.dtype("S16")
+LONG = np.dtype("<u8")
 SHORT = np.dtype("<u4")
 
 
@@ -62,7 +64,7 @@ def window_hashes(marks: np.ndarray, length: int, lane: int = 0) -> np.ndarray:
 class Windows:
     """The windows of ``length`` words in several pieces of word hashes, each with a bucket and a key inside it."""
 
-    def __init__(self, pieces: list[np.ndarray], length: int, buckets: int, exact: bool):
+    def __init__(self, pieces: list[np.ndarray], length: int, buckets: int, kind: np.dtype):
         marks = np.concatenate(pieces) if pieces else np.empty(0, np.uint64)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         self.begins = np.cumsum(sizes) - sizes
@@ -75,17 +77,16 @@ class Windows:
         self.total = len(marks)
         hashes = hashes[self.at]
         self.bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint64)
-        if exact:
+        if kind == EXACT:
             other = window_hashes(marks, length, 1)[self.at]
-            self.key = np.stack([hashes, other], axis=1).tobytes()
-            self.key = np.frombuffer(self.key, EXACT) if len(hashes) else np.empty(0, EXACT)
+            self.key = np.frombuffer(np.stack([hashes, other], axis=1).tobytes(), EXACT)
         else:
-            self.key = (hashes & np.uint64(0xFFFFFFFF)).astype(SHORT)
+            self.key = hashes if kind == LONG else (hashes & np.uint64(0xFFFFFFFF)).astype(SHORT)
 
     @staticmethod
     def code(bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """One value for bucket and key; the long key fixes its bucket."""
-        return key if key.dtype == EXACT else (bucket << np.uint64(32)) | key.astype(np.uint64)
+        """One value for bucket and key; longer keys fix their bucket."""
+        return key if key.dtype != SHORT else (bucket << np.uint64(32)) | key.astype(np.uint64)
 
     def runs(self, repeated: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
         """Piece, place in it and number of windows of every run of ``least`` or more repeated windows."""
@@ -113,13 +114,8 @@ def _words(texts: pa.ChunkedArray) -> list[list[bytes]]:
 
 
 def _pieces_of_texts(table: pa.Table) -> list[np.ndarray]:
-    """Word hashes of each text; a word is hashed once for the chunk."""
-    split = _words(table["text"])
-    distinct = dict.fromkeys(w for words in split for w in words)
-    known = dict(zip(distinct, range(len(distinct))))
-    ids = [np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in split]
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
-    return [hashes[i] for i in ids]
+    digest = xxhash.xxh3_64_intdigest
+    return [np.fromiter(map(digest, words), np.uint64, len(words)) for words in _words(table["text"])]
 
 
 def _pieces_of_runs(table: pa.Table) -> list[np.ndarray]:
@@ -131,12 +127,12 @@ ANSWERED = "chunk long, bucket long, found binary"
 RUNS = "chunk long, k1 long, k2 long, at int, windows int, marks binary"
 
 
-def _ask(pieces_of, length: int, buckets: int, exact: bool):
+def _ask(pieces_of, length: int, buckets: int, kind: np.dtype):
     """The different windows of a chunk, by bucket: those it has once, those it has more than once."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        found = Windows(pieces_of(table), length, buckets, exact)
-        if exact:
+        found = Windows(pieces_of(table), length, buckets, kind)
+        if kind != SHORT:
             order = np.lexsort((found.key, found.bucket))
             bucket, keys = found.bucket[order], found.key[order]
         else:
@@ -155,9 +151,8 @@ def _ask(pieces_of, length: int, buckets: int, exact: bool):
     return run
 
 
-def _answer(exact: bool):
+def _answer(kind: np.dtype):
     """For each chunk that asked a bucket, those of its windows that the bucket knows more than once."""
-    kind = EXACT if exact else SHORT
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         once = [np.frombuffer(b, kind) for b in table["once"].to_pylist()]
@@ -181,9 +176,8 @@ def _answer(exact: bool):
     return run
 
 
-def _surviving(pieces_of, length: int, buckets: int, exact: bool, least: int):
+def _surviving(pieces_of, length: int, buckets: int, kind: np.dtype, least: int):
     """The runs of repeated windows of a chunk, with the words they cover; ``least`` windows are enough for the next level."""
-    kind = EXACT if exact else SHORT
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         rows: list[tuple] = []
@@ -192,7 +186,7 @@ def _surviving(pieces_of, length: int, buckets: int, exact: bool, least: int):
             codes = [Windows.code(np.uint64(b), np.frombuffer(f, kind)) for b, f in zip(answers["bucket"].to_pylist(), answers["found"].to_pylist())]
             k1, k2 = table["k1"].to_pylist(), table["k2"].to_pylist()
             before = table["at"].to_pylist() if "at" in table.column_names else [0] * len(pieces)
-            for i, at, n in Windows(pieces, length, buckets, exact).runs(np.concatenate(codes), least):
+            for i, at, n in Windows(pieces, length, buckets, kind).runs(np.concatenate(codes), least):
                 rows.append((key[0].as_py(), k1[i], k2[i], before[i] + at, n, pieces[i][at : at + n + length - 1].tobytes()))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         columns = list(zip(*rows)) or [()] * len(kinds)
@@ -228,14 +222,14 @@ def repeated_runs(texts: DataFrame, files: int, most_words: int, window: int = W
     steps = levels(window)
     length = next(steps)
     while most_words:
-        following, exact = next(steps), length >= window
+        following, kind = next(steps), SHORT if length < window else EXACT if length == window else LONG
         buckets = -(-most_words // bucket_windows)
-        asked = state.groupBy("chunk").applyInArrow(_ask(pieces_of, length, buckets, exact), ASKED)
-        answers = asked.groupBy("bucket").applyInArrow(_answer(exact), ANSWERED)
-        least = 1 if exact else following - length + 1
-        left = state.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_surviving(pieces_of, length, buckets, exact, least), RUNS)
+        asked = state.groupBy("chunk").applyInArrow(_ask(pieces_of, length, buckets, kind), ASKED)
+        answers = asked.groupBy("bucket").applyInArrow(_answer(kind), ANSWERED)
+        least = following - length + 1 if kind == SHORT else 1
+        left = state.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_surviving(pieces_of, length, buckets, kind, least), RUNS)
         state, pieces_of = _bucketed(left, files), _pieces_of_runs
-        if exact:
+        if kind != SHORT:
             found.append((length, state))
             state = state.where(F.col("windows") > following - length)
         most_words = (state.agg(F.sum(F.length("marks"))).first()[0] or 0) // 8
