@@ -64,7 +64,7 @@ def test_chains_in_one_bucket(spark):
     assert {(want[i], got[i]) for i in range(60)} == {(w, got[w]) for w in set(want)} and len(set(got.values())) == len(set(want))
 
 
-@pytest.mark.parametrize("edits, most", [((3, 3), 1 / 8), ((2, 5), 1 / 3), ((6, 6), 1 / 100)])
+@pytest.mark.parametrize("edits, most", [((3, 3), 1 / 3), ((2, 5), 1 / 8), ((6, 6), 1 / 100)])
 def test_texts_that_are_alike_but_not_enough_do_not_meet(spark, monkeypatch, edits, most):
     """One text with edits of one's own, similarities around 0.5 to 0.79: only texts edited at the same words may meet."""
     rng = random.Random(sum(edits))
