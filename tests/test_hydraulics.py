@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weirspan import session
 from weirspan.functions import hydraulics as hy
 from weirspan.functions import sections as sx
 from weirspan.functions import text as tx
@@ -209,3 +210,16 @@ def test_upstream_section_has_no_results(spark):
     incidents = spark.createDataFrame([(1, 5.0), (1, 0.0), (1, None), (2, 5.0)], "site_id long, flow double")
     got = jumps.jumps_at_incidents(sections, incidents).collect()
     assert [(r.xs_index, r.flow) for r in got] == [(1, 5.0)]
+
+
+def test_thin_rows_and_a_busy_site_use_all_cores(spark):
+    few = spark.range(20_000, numPartitions=1)
+    sizes = session.spread(few).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(r["count"] for r in sizes) < 2 * 20_000 / len(sizes)
+    sections = spark.createDataFrame([(1, i, 2.0, 10.0, 0.5, 0.4) for i in range(5)], "site_id long, xs_index int, p_height double, weir_length double, depth_a double, depth_b double")
+    incidents = few.select(F.lit(1).cast("long").alias("site_id"), F.col("id").alias("incident_id"), (F.col("id") + 1.0).alias("flow"))
+    out = jumps.jumps_at_incidents(sections, incidents)
+    assert out.select("incident_id", "xs_index").distinct().count() == out.count() == 4 * 20_000
+    assert "__part" not in out.columns
+    used = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(used) >= 4 and max(r["count"] for r in used) < 40_000

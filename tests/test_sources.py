@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weirspan.functions import geo
 from weirspan.sources import schemas, tables
 from weirspan.streaming import flow_stream
 
@@ -68,8 +69,72 @@ def test_append_fetches_only_missing_reaches(spark, root):
     ids = spark.createDataFrame([(1,), (2,), (9,)], "reach_id long")
     tables.append_reaches(obs(spark, [1]), ids, f"{root}/store")
     tables.append_reaches(obs(spark, [1, 2, 3]), ids, f"{root}/store")
-    got = sorted((r.reach_id, r.date.day, r.streamflow) for r in spark.read.parquet(f"{root}/store").collect())
-    assert got == [(1, 1, 7.0), (1, 2, 7.0), (2, 1, 8.0), (2, 2, 8.0)]
+    assert days_of(spark, f"{root}/store") == [(1, 1, 7.0), (1, 2, 7.0), (2, 1, 8.0), (2, 2, 8.0)]
+
+
+def days_of(spark, store):
+    return sorted((r.reach_id, r.date.day, r.streamflow) for r in tables.read_daily_store(spark, store).collect())
+
+
+def test_repeated_and_interrupted_appends(spark, root, monkeypatch):
+    store, ids = f"{root}/store", spark.createDataFrame([(1,), (2,)], "reach_id long")
+    assert days_of(spark, store) == []
+    commit = tables._rename_if_new
+
+    def lost(*_):
+        raise RuntimeError("driver lost before the commit")
+
+    monkeypatch.setattr(tables, "_rename_if_new", lost)
+    with pytest.raises(RuntimeError):
+        tables.append_reaches(obs(spark, [1, 2]), ids, store)
+    assert days_of(spark, store) == []
+    monkeypatch.setattr(tables, "_rename_if_new", commit)
+    once = [(1, 1, 7.0), (1, 2, 7.0), (2, 1, 8.0), (2, 2, 8.0)]
+    for batch in (1, 2):  # repeated after the loss, and once more
+        assert tables.append_reaches(obs(spark, [1, 2]), ids, store) == batch
+        assert days_of(spark, store) == once
+
+
+def test_two_appends_at_once(spark, root, monkeypatch):
+    """The other run commits between our look at the store and our commit."""
+    store, commit, late = f"{root}/store", tables._rename_if_new, []
+
+    def overtaken(*args):
+        if not late:
+            late.append(True)
+            tables.append_reaches(obs(spark, [1]), spark.createDataFrame([(1,)], "reach_id long"), store)
+        return commit(*args)
+
+    monkeypatch.setattr(tables, "_rename_if_new", overtaken)
+    assert tables.append_reaches(obs(spark, [1, 2]), spark.createDataFrame([(1,), (2,)], "reach_id long"), store) == 2
+    assert days_of(spark, store) == [(1, 1, 7.0), (1, 2, 7.0), (2, 1, 8.0), (2, 2, 8.0)]
+
+
+def test_layers_in_several_systems(spark, root):
+    points = [(i, -120.0 + 0.9 * i, 30.0 + 0.3 * i) for i in range(50)]
+    systems = {}
+    for k, code in enumerate((4326, 5070, 3857, 32614, 26914, None)):
+        rows = [p for p in points if p[0] % 6 == k and (code is None or code < 20000 or -102 <= p[1] < -96)]
+        df = spark.createDataFrame(rows, "i int, lon double, lat double")
+        x, y = geo.from_degrees(code or 4326, F.col("lat"), F.col("lon"))
+        df = df.select("i", "lon", "lat", x.alias("x"), y.alias("y"))
+        df = df if code else df.withColumn("extra", F.lit(1))
+        for part in range(3):  # many files of one system are one scan
+            path = f"{root}/{code}-{part}"
+            df.where(F.floor(F.col("i") % 18 / 6) == part).write.parquet(path)
+            systems[path] = code
+    out = tables.union_in_one_system(spark, systems)
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 5
+    got = out.collect()
+    assert len(got) == len({r.i for r in got}) > 30 and {r.source_system for r in got} == {4326, 5070, 3857, 32614, 26914}
+    assert all(abs(r.x - r.lon) < 1e-8 and abs(r.y - r.lat) < 1e-8 for r in got)
+    assert all((r.x, r.y) == (r.lon, r.lat) for r in got if r.source_system == 4326)
+    assert all(r.extra == (1 if r.i % 6 == 5 else None) for r in got)
+    back = tables.union_in_one_system(spark, systems, 5070).join(out.select("i", F.col("x").alias("lon2"), F.col("y").alias("lat2")), "i")
+    x, y = geo.albers(F.col("lat2"), F.col("lon2"))
+    assert back.where((F.abs(x - F.col("x")) > 1e-3) | (F.abs(y - F.col("y")) > 1e-3)).isEmpty()
+    with pytest.raises(ValueError):
+        tables.union_in_one_system(spark, {next(iter(systems)): 2154})
 
 
 def test_flow_store_point_read(spark, root):

@@ -94,10 +94,10 @@ def utm_zone(lon: Column) -> Column:
     return F.floor((lon + 180) / 6).cast("int") + 1
 
 
-def utm(lat: Column, lon: Column) -> tuple[Column, Column]:
-    """Northern UTM easting and northing in the zone of the longitude (series to sixth order)."""
+def utm(lat: Column, lon: Column, zone: Column | None = None) -> tuple[Column, Column]:
+    """Northern UTM easting and northing in the zone given, or that of the longitude (series to sixth order)."""
     phi = F.radians(lat)
-    dl = F.radians(lon - (utm_zone(lon) * 6 - 183))
+    dl = F.radians(lon - ((utm_zone(lon) if zone is None else zone) * 6 - 183))
     ep2 = E2 / (1 - E2)
     sin, cos, tan = F.sin(phi), F.cos(phi), F.tan(phi)
     n = F.lit(AXIS) / F.sqrt(1 - F.lit(E2) * sin * sin)
@@ -149,6 +149,45 @@ def web_mercator_inverse(x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(2 * F.atan(F.exp(y / F.lit(AXIS))) - F.lit(math.pi / 2)), F.degrees(x / F.lit(AXIS))
 
 
+# Codes of the reference systems. Northern UTM zones are 326zz and 269zz; their two datums lie within a metre and are not told apart.
+DEGREES, ALBERS_CODE, WEB_MERCATOR_CODE = 4326, 5070, 3857
+DEGREE_CODES = (4326, 4269)
+UTM_CODES = (32600, 26900)
+
+
+def zone_of_code(code: int) -> int | None:
+    """Zone of the code of a northern UTM system."""
+    return next((code - base for base in UTM_CODES if 1 <= code - base <= 60), None)
+
+
+def to_degrees(code: int, x: Column, y: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of a point in the reference system ``code``."""
+    zone = zone_of_code(code)
+    if code in DEGREE_CODES:
+        return y, x
+    if zone:
+        return utm_inverse(x, y, F.lit(zone))
+    if code == ALBERS_CODE:
+        return albers_inverse(x, y)
+    if code == WEB_MERCATOR_CODE:
+        return web_mercator_inverse(x, y)
+    raise ValueError(f"unknown reference system {code}")
+
+
+def from_degrees(code: int, lat: Column, lon: Column) -> tuple[Column, Column]:
+    """``x`` and ``y`` in the reference system ``code``."""
+    zone = zone_of_code(code)
+    if code in DEGREE_CODES:
+        return lon, lat
+    if zone:
+        return utm(lat, lon, F.lit(zone))
+    if code == ALBERS_CODE:
+        return albers(lat, lon)
+    if code == WEB_MERCATOR_CODE:
+        return web_mercator(lat, lon)
+    raise ValueError(f"unknown reference system {code}")
+
+
 def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Distance of a point from a segment."""
     f = segment_fraction(px, py, x1, y1, x2, y2)

@@ -12,6 +12,8 @@ from weirspan.session import spread
 
 RECTANGULAR, MOMENTUM = "rectangular", "momentum"
 GRID = 100
+# Parts into which the incidents of a site are dealt.
+SITE_PARTS = 16
 # First discharge of a grid whose lower bound is 0: no depth is defined without flow.
 GRID_START = 0.01
 
@@ -70,8 +72,14 @@ def with_jump(rows: DataFrame, flow: str, mode: str = RECTANGULAR) -> DataFrame:
 def jumps_at_incidents(sections: DataFrame, incidents: DataFrame, mode: str = RECTANGULAR) -> DataFrame:
     """One row per downstream section and incident with a positive flow at its site."""
     below = sections.where((F.col("xs_index") > 0) & (F.col("p_height") != 0))
-    # Both sides are thin next to their product; dealt out evenly, either may be the streamed side.
-    return with_jump(spread(incidents.where(F.col("flow") > 0).join(below, "site_id")), "flow", mode)
+    # The thin sides are dealt out by site and part; their product is worked on where it arises. The incidents of a
+    # busy site are then the work of several tasks, and the few sections of a site are repeated once a part: they are
+    # the side that a task holds in memory, only those of its share of sites. A hash join also keeps the row work out of the merge.
+    asked = incidents.where(F.col("flow") > 0)
+    asked = asked.withColumn("__part", F.pmod(F.xxhash64(*asked.columns), F.lit(SITE_PARTS)))
+    below = below.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SITE_PARTS - 1)).cast("array<bigint>")))
+    rows = spread(asked, "site_id", "__part").join(below.hint("shuffle_hash"), ["site_id", "__part"]).drop("__part")
+    return with_jump(rows, "flow", mode)
 
 
 def with_grid(sections: DataFrame) -> DataFrame:

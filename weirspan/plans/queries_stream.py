@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weirspan.functions import geo
 from weirspan.plans import reach_stats
 from weirspan.plans.catalog import query
 from weirspan.plans.common import day, r, rd, rounded
@@ -79,6 +80,40 @@ def _(t):
     return tables.union_of_files(t.spark, [f"{path}/a", f"{path}/b"]).select("name", "nation", "acct")
 
 
+SYSTEMS = (geo.DEGREES, geo.ALBERS_CODE, geo.WEB_MERCATOR_CODE, None)
+
+
+@query("S12_one_reference_system", f"SELECT linkno, seq, {rd('x')} AS x, {rd('y')} AS y FROM {{reach_vertices}}")
+def _(t):
+    # A layer for each kind of system; every UTM zone the reaches lie in is a layer of its own.
+    path = flow_stream.scratch_table(t.spark, "systems")
+    kind = F.pmod("linkno", F.lit(len(SYSTEMS)))
+    systems = {}
+    for k, code in enumerate(SYSTEMS):
+        rows = t.reach_vertices.where(kind == k)
+        zones = [None] if code else [z[0] for z in rows.select(geo.utm_zone(F.col("x"))).distinct().collect()]
+        for zone in zones:
+            system = code or geo.UTM_CODES[0] + zone
+            layer = rows if code else rows.where(geo.utm_zone(F.col("x")) == zone)
+            x, y = geo.from_degrees(system, F.col("y"), F.col("x"))
+            systems[f"{path}/{system}"] = system
+            layer.select("linkno", "seq", x.alias("x"), y.alias("y")).write.parquet(f"{path}/{system}")
+    return rounded(tables.union_in_one_system(t.spark, systems).select("linkno", "seq", "x", "y"), "x", "y")
+
+
+@query(
+    "S8_repeated_append",
+    f"SELECT reach_id, strftime(CAST(ts AS date), '%Y-%m-%d') AS date, {rd('avg(streamflow)')} AS streamflow FROM {{flow_obs}} WHERE reach_id IN (SELECT c_custkey FROM {{customer}}) GROUP BY reach_id, CAST(ts AS date)",
+)
+def _(t):
+    # Two overlapping batches, the first of them sent twice.
+    store = flow_stream.scratch_table(t.spark, "daily")
+    ids = t.customer.select(F.col("c_custkey").alias("reach_id"))
+    for batch in (ids.where("reach_id % 3 < 2"), ids.where("reach_id % 3 < 2"), ids):
+        tables.append_reaches(t.flow_obs, batch, store)
+    return rounded(tables.read_daily_store(t.spark, store), "streamflow").withColumn("date", day("date"))
+
+
 RP = flow.RETURN_PERIODS
 
 

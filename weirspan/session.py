@@ -18,7 +18,6 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "wei
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")  # small inputs still use all cores
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
@@ -43,10 +42,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out evenly, by size: adaptive execution chooses the number of tasks and splits large ones.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out evenly, or by the hash of ``keys``, over as many tasks as a shuffle of the session has, and no fewer than its cores.
 
-    For thin inputs of costly row-wise work: the work then neither follows the layout of the files nor the
-    sizes of the keys.
+    For thin inputs of costly row-wise work: the work then follows neither the layout of the files, nor the sizes of
+    the keys, nor the bytes of the rows. The number is explicit, so adaptive execution doesn't join small parts again.
     """
-    return df.hint("rebalance")
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weirspan.functions import geo
+from weirspan.functions.steps import let
 from weirspan.operators import flow, keyed
 from weirspan.sources import schemas
 
@@ -91,10 +95,49 @@ def daily_means_to_append(obs: DataFrame, ids: DataFrame, stored: DataFrame | No
     return flow.daily_mean(obs.join(wanted, "reach_id", "left_semi"))
 
 
-def append_reaches(obs: DataFrame, ids: DataFrame, store: str) -> None:
+def read_daily_store(spark: SparkSession, store: str) -> DataFrame:
+    """Daily means of all batches committed so far; a store that is not there yet is empty."""
+    if not exists(spark, store):
+        return spark.createDataFrame([], schemas.FLOW_DAILY)
+    return spark.read.schema(schemas.FLOW_DAILY).parquet(store).select(*schemas.FLOW_DAILY.names)
+
+
+def _last_batch(spark: SparkSession, store: str) -> int:
+    target = spark._jvm.org.apache.hadoop.fs.Path(store)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(target)] if files.exists(target) else []
+    return max((int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")), default=0)
+
+
+def _rename_if_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder unless the target is there; one step on file systems that rename folders in one step."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    plain = spark.sparkContext._gateway.new_array(getattr(fs.Options, "Rename"), 0)
+    context = fs.FileContext.getFileContext(fs.Path(target).toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(fs.Path(source), fs.Path(target), plain)
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+            return False
+        raise
+    return True
+
+
+def append_reaches(obs: DataFrame, ids: DataFrame, store: str) -> int:
+    """Add the asked reaches that the store lacks as its next batch, and return the batch's number.
+
+    The rows are written to a folder that readers pass over, and renaming it to ``batch=n`` commits them. A run that
+    fails leaves nothing to be seen and may simply be repeated; a repeated run finds its reaches stored and commits
+    an empty batch. If another run has taken the number, its reaches are looked at and left out, and the next
+    number is tried. So no reach is ever stored twice, given a file system on which renaming a folder is one step.
+    """
     spark = obs.sparkSession
-    stored = spark.read.schema(schemas.FLOW_DAILY).parquet(store) if exists(spark, store) else None
-    daily_means_to_append(obs, ids, stored).write.mode("append").parquet(store)
+    while True:
+        last = _last_batch(spark, store)
+        attempt = f"{store}/_attempt-{uuid.uuid4().hex}"
+        daily_means_to_append(obs, ids, read_daily_store(spark, store) if last else None).write.parquet(attempt)
+        if _rename_if_new(spark, attempt, f"{store}/batch={last + 1}"):
+            return last + 1
 
 
 def write_flow_store(obs: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
@@ -112,14 +155,42 @@ def flow_at(store: DataFrame, reach_id: int, date: str) -> DataFrame:
 
 
 def union_of_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Several Parquet paths as one table by column name, with the file each row came from."""
+    """Several Parquet paths as one table by column name, with the file each row came from.
+
+    One scan, however many paths there are: their schemas are merged by a job. A column that is in several files must
+    be of one type.
+    """
+    return spark.read.option("mergeSchema", True).parquet(*paths).select("*", F.col("_metadata.file_path").alias("source_file"))
+
+
+def union_in_one_system(spark: SparkSession, systems: Mapping[str, int | None], target: int = geo.DEGREES) -> DataFrame:
+    """Layers of points or vertices ``x, y`` in several reference systems as one table in the system ``target``.
+
+    ``systems`` names the code of every path; None stands for degrees. Paths of one system are one scan, so the plan
+    grows with the number of systems and not with that of the files. Coordinates that are in the target already stay as
+    they are. ``source_system`` is the code the row was stored in.
+    """
     out = None
-    for p in paths:
-        one = spark.read.parquet(p).select("*", F.col("_metadata.file_path").alias("source_file"))
+    for code in sorted({geo.DEGREES if c is None else c for c in systems.values()}):
+        paths = [p for p, c in systems.items() if (geo.DEGREES if c is None else c) == code]
+        one = union_of_files(spark, paths)
+        if code != target:
+            # A step of its own: beside a new x, an old x inside a lambda would be read as the new one.
+            one = one.withColumn("__at", _projected(code, target, F.col("x"), F.col("y"))).withColumns({"x": F.col("__at.x"), "y": F.col("__at.y")}).drop("__at")
+        one = one.withColumn("source_system", F.lit(code))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out
 
 
+def _projected(code: int, target: int, x: Column, y: Column) -> Column:
+    def there(p: Column) -> Column:
+        to = geo.from_degrees(target, p["lat"], p["lon"])
+        return F.struct(to[0].alias("x"), to[1].alias("y"))
+
+    lat, lon = geo.to_degrees(code, x, y)
+    return let(F.struct(lat.alias("lat"), lon.alias("lon")), there)
+
+
 def sites_with_output(sites: DataFrame, stage: DataFrame) -> DataFrame:
     return sites.join(stage.select("site_id").distinct(), "site_id", "left_semi")
 
