@@ -217,7 +217,7 @@ def test_thin_rows_and_a_busy_site_use_all_cores(spark):
     sizes = session.spread(few).groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) >= spark.sparkContext.defaultParallelism and max(r["count"] for r in sizes) < 2 * 20_000 / len(sizes)
     sections = spark.createDataFrame([(1, i, 2.0, 10.0, 0.5, 0.4) for i in range(5)], "site_id long, xs_index int, p_height double, weir_length double, depth_a double, depth_b double")
-    incidents = few.select(F.lit(1).cast("long").alias("site_id"), F.col("id").alias("incident_id"), (F.col("id") + 1.0).alias("flow"))
+    incidents = few.select((F.col("id") % 1 + 1).alias("site_id"), F.col("id").alias("incident_id"), (F.col("id") + 1.0).alias("flow"))
     out = jumps.jumps_at_incidents(sections, incidents)
     assert out.select("incident_id", "xs_index").distinct().count() == out.count() == 4 * 20_000
     assert "__part" not in out.columns

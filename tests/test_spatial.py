@@ -82,6 +82,53 @@ def test_walk_at_a_confluence(spark):
     assert len(ring) == 4
 
 
+def stepwise(starts, reaches, up, down):
+    """Walks one reach at a time."""
+    known = {r[0]: r for r in reaches}
+    stem = {}
+    for link, ds, _, order in reaches:
+        if ds != -1 and (ds not in stem or (order, -link) > (known[stem[ds]][3], -stem[ds])):
+            stem[ds] = link
+    out = {}
+    for start in {s for s in starts if s in known}:
+        for name, limit, after in (("up", up, stem.get), ("down", down, lambda k: known[k][1])):
+            here, total, seen = start, 0.0, set()
+            while here in known and here not in seen:
+                seen.add(here)
+                total += known[here][2]
+                out[start, name, here] = total
+                if total >= limit:
+                    break
+                here = after(here)
+    return out
+
+
+def test_walks_against_single_steps(spark):
+    rng = random.Random(5)
+    # Downstream links anywhere make long rivers, confluences and loops; some lead out of the table, some to themselves.
+    reaches = [(i, rng.choice([i + 1, i + 1, i + 1, rng.randrange(300), -1 if i % 9 == 0 else i + 2]), float(rng.randrange(0, 64)), rng.randrange(4)) for i in range(300)]
+    starts = [*range(0, 300, 7), 900]
+    df = spark.createDataFrame(reaches, "linkno long, dslinkno long, length_m double, strm_order int")
+    for up, down in ((50.0, 200.0), (3000.0, 1e9)):
+        got = network.walk(spark.createDataFrame([(s,) for s in starts], "linkno long"), df, up, down).collect()
+        assert {(r.start, r.direction, r.linkno): r.total for r in got} == stepwise(starts, reaches, up, down) and len(got) == len({tuple(r) for r in got})
+
+
+def test_rounds_grow_with_the_logarithm_of_a_walk(spark, monkeypatch):
+    n, stored = 10_000, []
+    monkeypatch.setattr(network, "cut_lineage", lambda df, cut=network.cut_lineage: stored.append(1) or cut(df))
+    chain = spark.range(n).selectExpr("id AS linkno", f"if(id = {n - 1}, -1, id + 1) AS dslinkno", "1.0D AS length_m", "1 AS strm_order")
+    got = network.walk(spark.createDataFrame([(0,), (n - 1,)], "linkno long"), chain, 1e6, 1e6)
+    assert got.count() == 2 * n + 2 and got.agg(F.max("total")).first()[0] == n
+    assert len(stored) <= 2 * 15 + 2
+
+
+def test_walks_without_starts_or_reaches(spark):
+    none = spark.createDataFrame([], "linkno long, dslinkno long, length_m double, strm_order int")
+    assert network.walk(spark.range(3).withColumnRenamed("id", "linkno"), none).isEmpty()
+    assert network.walk(none.select("linkno"), none.union(none)).columns == ["start", "linkno", "direction", "total"]
+
+
 def test_band_overlap(spark):
     rows = [(1.0, 1.0, 1.0, 1.0, 1.0), (0.0, 1.0, 2.0, 3.0, 0.0), (0.0, 10.0, 2.0, 4.0, 0.2), (0.0, 4.0, 0.0, 4.0, 1.0), (1.0, 1.0, 2.0, 2.0, 0.0)]
     df = spark.createDataFrame(rows, "a double, b double, c double, d double, want double")

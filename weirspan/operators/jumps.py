@@ -78,7 +78,7 @@ def jumps_at_incidents(sections: DataFrame, incidents: DataFrame, mode: str = RE
     asked = incidents.where(F.col("flow") > 0)
     asked = asked.withColumn("__part", F.pmod(F.xxhash64(*asked.columns), F.lit(SITE_PARTS)))
     below = below.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SITE_PARTS - 1)).cast("array<bigint>")))
-    rows = spread(asked, "site_id", "__part").join(below.hint("shuffle_hash"), ["site_id", "__part"]).drop("__part")
+    rows = spread(asked, "site_id", "__part").join(spread(below, "site_id", "__part").hint("shuffle_hash"), ["site_id", "__part"]).drop("__part")
     return with_jump(rows, "flow", mode)
 
 

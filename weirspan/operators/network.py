@@ -23,38 +23,54 @@ def main_upstream(reaches: DataFrame) -> DataFrame:
     )
 
 
+def _next_reaches(reaches: DataFrame, up: float, down: float) -> DataFrame:
+    """``linkno, direction, limit, dest, gain, part``: each reach's next one either way.
+
+    ``gain`` is the length added by going there, ``part`` what of it lies before the last reach.
+    """
+    rows = [main_upstream(reaches).select("linkno", "next", F.lit("up").alias("direction"), F.lit(up).alias("limit"))]
+    onward = reaches.where(F.col("dslinkno") != NETWORK_END)
+    rows.append(onward.select("linkno", F.col("dslinkno").alias("next"), F.lit("down").alias("direction"), F.lit(down).alias("limit")))
+    gains = reaches.select(F.col("linkno").alias("dest"), F.col("length_m").alias("gain"))
+    ahead = rows[0].unionByName(rows[1]).withColumnRenamed("next", "dest").join(gains, "dest")
+    return ahead.select("linkno", "direction", "limit", "dest", "gain", F.lit(0.0).alias("part"))
+
+
 def walk(starts: DataFrame, reaches: DataFrame, up: float = UP_METRES, down: float = DOWN_METRES) -> DataFrame:
     """Reaches met from each start: ``start, linkno, direction, total`` with the length walked including the reach.
 
-    A direction goes on while the walked length stays below its threshold; upstream it follows the main stem.
-    Both directions advance together, one join with the network per step; each step is checkpointed, and the
-    network is laid out by reach once, so only the small frontier moves. A walk carries the reaches it has met,
-    few within its threshold, and ends where it would meet one again.
+    A direction goes on while the walked length stays below its threshold; upstream it follows the main stem. A walk
+    ends where it would meet a reach again.
+
+    Pointers to the reach 2^k steps ahead, with the length on the way, are built by joining the table of pointers with
+    itself, so a walk of n reaches takes log2(n) rounds: round k takes everything met so far 2^k steps on. Pointers
+    longer than the threshold of their direction are dropped, as no walk can use them. A reach met twice keeps its
+    first place; everything behind it has been met too, so a loop ends as soon as a round brings nothing new.
     """
-    ups = main_upstream(reaches)
-    downs = reaches.where(F.col("dslinkno") != NETWORK_END).select("linkno", F.col("dslinkno").alias("next"))
-    links = reaches.select("linkno", "length_m").join(ups.withColumnRenamed("next", "up"), "linkno", "left")
-    links = links.join(downs.withColumnRenamed("next", "down"), "linkno", "left")
-    links = cut_lineage(links.repartition("linkno"))
-    ways = F.explode(F.array(F.struct(F.lit("up").alias("direction"), F.lit(up).alias("limit")), F.struct(F.lit("down").alias("direction"), F.lit(down).alias("limit"))))
-    frontier = starts.select(F.col("linkno").alias("start")).distinct().withColumn("w", ways)
-    frontier = frontier.select("start", F.col("start").alias("linkno"), "w.direction", "w.limit", F.lit(0.0).alias("before"), F.array().cast("array<bigint>").alias("path"))
-    visited: DataFrame | None = None
+    pointers = cut_lineage(_next_reaches(reaches, up, down))
+    ways = F.explode(F.array(*[F.struct(F.lit(d).alias("direction"), F.lit(m).alias("limit")) for d, m in (("up", up), ("down", down))]))
+    own = reaches.select("linkno", F.col("length_m").alias("total"))
+    met = starts.select("linkno").distinct().join(own, "linkno").withColumn("w", ways)
+    met = cut_lineage(met.select(F.col("linkno").alias("start"), "linkno", "w.direction", "w.limit", "total", F.lit(0).cast("long").alias("place")))
+    size, step = met.count(), 1
     while True:
-        here = frontier.where(~F.array_contains("path", F.col("linkno"))).join(links, "linkno")
-        here = cut_lineage(here.withColumn("total", F.col("before") + F.col("length_m")))
-        if here.isEmpty():
-            break
-        step = here.select("start", "linkno", "direction", "total")
-        visited = step if visited is None else visited.unionByName(step)
-        onward = F.when(F.col("direction") == "up", F.col("up")).otherwise(F.col("down"))
-        frontier = here.where(F.col("total") < F.col("limit")).select(
-            "start", onward.alias("linkno"), "direction", "limit", F.col("total").alias("before"), F.array_append("path", F.col("linkno").cast("bigint")).alias("path")
-        ).where(F.col("linkno").isNotNull())
-    if visited is None:
-        empty = frontier.withColumn("total", F.lit(0.0))
-        return empty.select("start", "linkno", "direction", "total").limit(0)
-    return visited
+        ahead = pointers.select("linkno", "direction", "dest", "gain", "part")
+        going = met.where(F.col("total") < F.col("limit")).join(ahead, ["linkno", "direction"])
+        going = going.where(F.col("total") + F.col("part") < F.col("limit")).select(
+            "start", F.col("dest").alias("linkno"), "direction", "limit", (F.col("total") + F.col("gain")).alias("total"), (F.col("place") + step).alias("place")
+        )
+        first = F.min(F.struct("place", "total")).alias("first")
+        met = met.unionByName(going).groupBy("start", "linkno", "direction", "limit").agg(first)
+        met = cut_lineage(met.select("start", "linkno", "direction", "limit", "first.total", "first.place"))
+        now = met.count()
+        if now == size:
+            return met.select("start", "linkno", "direction", "total")
+        size, step = now, 2 * step
+        then = ahead.select(F.col("linkno").alias("dest"), "direction", F.col("dest").alias("far"), F.col("gain").alias("more"), F.col("part").alias("rest"))
+        pointers = pointers.join(then, ["dest", "direction"]).select(
+            "linkno", "direction", "limit", F.col("far").alias("dest"), (F.col("gain") + F.col("more")).alias("gain"), (F.col("gain") + F.col("rest")).alias("part")
+        )
+        pointers = cut_lineage(pointers.where(F.col("part") < F.col("limit")))
 
 
 def stem_of_sites(sites: DataFrame, reaches: DataFrame, up: float = UP_METRES, down: float = DOWN_METRES) -> DataFrame:
