@@ -122,7 +122,10 @@ def conversations(messages: DataFrame) -> DataFrame:
     in it: messages follow the root they answer, parents come before replies. ``depth`` is the length of the chain,
     ``parent_conv`` and ``parent_turn`` the message answered, ``n_quotes`` and ``n_linked`` the passages and those found.
     A NULL text stays NULL; a NULL conv_id is a conversation, but its messages are not linked, nor are those with a
-    NULL turn. Of messages with one conv_id and turn all are kept, and linked alike; other columns are ignored.
+    NULL turn. Of messages with one conv_id and turn all are kept, and linked alike; other columns are ignored. Texts
+    of any length are read whole; an empty table gives an empty result. Two kinds of quotes stay unlinked: those whose
+    original stands in another conversation with a larger conv_id only, and those of own lines or paragraphs under
+    ``LEAST_CHARS`` characters that aren't a whole message.
     """
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     parsed = stored(rows.mapInArrow(_parsed, PARSED))
