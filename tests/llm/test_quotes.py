@@ -62,6 +62,67 @@ def test_a_common_first_turn_links_to_the_earliest(spark):
     assert {(r.parent_conv, r.parent_turn, r.conversation) for r in got} == {(0, 0, 0)}
 
 
+def test_the_original_may_have_a_larger_number(spark):
+    rows = [(3, 0, f"{quoted(A)}\nan answer from afar"), (9, 0, A), (11, 0, f"{quoted(A)}\nanother one")]
+    got = {r.conv_id: r for r in quotes.conversations(frame(spark, rows)).collect()}
+    assert [(got[c].parent_conv, got[c].conversation, got[c].n_linked) for c in (3, 9, 11)] == [(9, 9, 1), (None, 9, 0), (9, 9, 1)]
+
+
+def test_a_quoter_in_the_first_conversation_takes_the_second(spark):
+    # In conversation 1 the words come after their quote, so they cannot be its source.
+    rows = [(1, 0, f"{quoted(A)}\nsaid too early"), (1, 1, A), (2, 5, A), (3, 0, A)]
+    got = {(r.conv_id, r.turn): r for r in quotes.conversations(frame(spark, rows)).collect()}
+    assert (got[1, 0].parent_conv, got[1, 0].parent_turn) == (2, 5) and got[1, 1].parent_conv is None
+
+
+def test_short_lines_link_within_their_conversation(spark):
+    rows = [(1, 0, "We agree.\nIt is about the gate and the water behind it."), (1, 1, "> We agree.\nGood."), (2, 0, "> We agree.\nSo do we."),
+            (3, 0, "Yes!"), (4, 0, "> Yes!\nThat was a whole message."), (5, 0, "> unknown opening of a passage\n> Yes!\nA part of a passage.")]
+    got = {(r.conv_id, r.turn): r for r in quotes.conversations(frame(spark, rows)).collect()}
+    assert [(got[m].parent_conv, got[m].n_linked) for m in ((1, 1), (2, 0), (4, 0), (5, 0))] == [(1, 1), (None, 0), (3, 1), (None, 0)]
+
+
+def circle(first, n):
+    """Conversations of one message each, in which every message quotes the next one's words, and the last the first's."""
+    say = lambda i: f"the words of member {i % n} of the circle at {first}"
+    return [(first + i, 0, f"> {say(i + 1)}\n{say(i)}") for i in range(n)]
+
+
+def test_circles_are_opened_once(spark):
+    rows = circle(10, 2) + circle(100, 7) + circle(1000, 33) + [(5000, 0, "> the words of member 3 of the circle at 100\nfrom outside")]
+    got = {r.conv_id: r for r in quotes.conversations(frame(spark, rows)).collect()}
+    assert len(got) == len(rows) and all(r.n_linked == 1 for r in got.values())
+    for first, n in ((10, 2), (100, 7), (1000, 33)):
+        last = first + n - 1  # of equal links the one of the largest conversation is the weakest
+        assert [c for c in range(first, first + n) if got[c].parent_conv is None] == [last]
+        assert all((got[c].conversation, got[c].depth, got[c].position) == (last, last - c, last - c) for c in range(first, first + n) if n != 7)
+    assert (got[5000].conversation, got[5000].depth) == (106, 4)
+
+
+def test_circles_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    parent = {i: rng.randrange(60) for i in range(60)}
+    rows = [(i, 0, (f"> these are the words of number {p}\n" if p != i else "") + f"these are the words of number {i}") for i, p in parent.items()]
+    parent = {i: p for i, p in parent.items() if p != i}
+
+    def path(i):
+        seen = []
+        while i in parent and i not in seen:
+            seen.append(i)
+            i = parent[i]
+        return seen, i
+
+    for i in list(parent):
+        seen, end = path(i)
+        if end in seen:
+            del parent[max(seen[seen.index(end):])]
+    got = {r.conv_id: r for r in quotes.conversations(frame(spark, rows)).collect()}
+    assert {i: r.parent_conv for i, r in got.items() if r.parent_conv is not None} == parent
+    assert all((r.conversation, r.depth) == (path(i)[1], len(path(i)[0])) for i, r in got.items())
+
+
 def test_empty_table(spark):
     assert quotes.conversations(frame(spark, [])).collect() == []
 
