@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weirspan.functions import geo
+from weirspan.operators import flow, keyed
 from weirspan.sources import schemas, tables
 from weirspan.streaming import flow_stream
 
@@ -137,6 +138,63 @@ def test_layers_in_several_systems(spark, root):
         tables.union_in_one_system(spark, {next(iter(systems)): 2154})
 
 
+def test_daily_table_is_joined_without_moving_it(spark, root):
+    rows = [(k, dt.date(2024, 1, 1) + dt.timedelta(d), float(k + d)) for k in range(40) for d in range(30)]
+    rows += [(7, dt.date(2000, 1, 1) + dt.timedelta(d), 1.0) for d in range(3000)]  # a reach with most of the rows
+    daily = spark.createDataFrame(rows, schemas.FLOW_DAILY)
+    store = tables.write_daily_table(daily.where("date < '2024-01-15'"), "daily_test", f"{root}/daily", 8)
+    store = tables.write_daily_table(daily.where("date >= '2024-01-15'"), "daily_test", f"{root}/daily", 8, "append")
+    assert store.count() == len(rows)
+    asked = spark.createDataFrame([(k, dt.date(2024, 1, 1 + k % 40)) for k in range(30)], "reach_id long, day date")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = flow.flow_on(asked, store, "day", "q")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan, plan  # that of the questions
+        got = sorted(map(tuple, out.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted(map(tuple, flow.flow_on(asked, daily, "day", "q").collect()))
+    per_bucket = [r[0] for r in store.groupBy(F.input_file_name()).count().select("count").collect()]
+    assert max(per_bucket) < len(rows) / 4
+
+
+def keyed_files(path):
+    return {str(f) for f in (path / "parts=16").rglob("*.parquet")}
+
+
+def test_merges_rewrite_touched_parts_only(spark, tmp_path, monkeypatch):
+    path, schema = tmp_path / "keyed", schemas.schema("k BIGINT, a DOUBLE, b STRING")
+    df = spark.createDataFrame([(k, float(k), "x") for k in range(200) for _ in range(1 + (k == 3) * 500)], schema)
+    tables.write_keyed(df, str(path), ["k"], 16)
+    before = keyed_files(path)
+    fresh = spark.createDataFrame([(5, -5.0, None), (999, 1.0, "new")], schema)
+    touched = tables.merge_keyed(fresh, str(path), schema, ["k"], keyed.upsert)
+    after = keyed_files(path)
+    parts = lambda files: {f.split("key_part=")[1].split("/")[0] for f in files}
+    assert touched <= 2 and len(parts(before - after)) <= 2 and parts(after - before) == parts(before - after) | parts(after - before) and len(before & after) >= 14
+    want = {(k, float(k), "x") for k in range(200) if k != 5} | {(5, -5.0, "x"), (999, 1.0, "new")}
+    back = tables.read_keyed(spark, str(path), schema)
+    assert set(map(tuple, back.collect())) == want and back.count() == 701
+    # Keys replaced by nothing: all rows of every part go.
+    nothing = spark.createDataFrame([(k, None, None) for k in [*range(200), 999]], schema)
+    commit = tables._rename_if_new
+
+    def lost(spark_, source, target):
+        if "key_part=" in target and target.endswith("=4"):
+            raise RuntimeError("driver lost while parts are exchanged")
+        return commit(spark_, source, target)
+
+    monkeypatch.setattr(tables, "_rename_if_new", lost)
+    with pytest.raises(RuntimeError):
+        tables.merge_keyed(nothing, str(path), schema, ["k"], keyed.replace_keys)
+    monkeypatch.setattr(tables, "_rename_if_new", commit)
+    # The next merge finishes the last one first.
+    assert tables.merge_keyed(spark.createDataFrame([(1, 2.0, "y")], schema), str(path), schema, ["k"], keyed.replace_keys) == 1
+    assert list(map(tuple, tables.read_keyed(spark, str(path), schema).collect())) == [(1, 2.0, "y")]
+    assert tables.merge_keyed(nothing.limit(0), str(path), schema, ["k"], keyed.upsert) == 0
+
+
 def test_flow_store_point_read(spark, root):
     tables.write_flow_store(obs(spark, range(20)), f"{root}/flow")
     hit = tables.flow_at(spark.read.parquet(f"{root}/flow"), 4, "2024-01-02")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import factorial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ REPORTED_JUMPS = ("A", "C", "D")
 SLOPE_CLASSES = ("Low", "Medium", "High", "Very High")
 BAND_BINS = 10
 GRID_POINTS = 500
+# Width of a cell and reach of a kernel in bandwidths, and terms of the series, of a density.
+DENSITY_CELL, DENSITY_REACH, DENSITY_TERMS = 0.5, 9.0, 16
 AGREEMENT_MARKS = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
@@ -196,21 +199,42 @@ def empirical_cdf(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame
 def kernel_density(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Gaussian density with Scott's bandwidth at 500 points from 0 to the largest value of each key.
 
-    Equal values are counted first and every partial sum is combined before the shuffle, so the grid
-    costs 500 rows per key and task whatever the number of values. ``keys`` are those of a combination, so
-    the moments are a handful of rows.
+    A fast Gauss sum: values are cut into cells half a bandwidth wide, and each cell is summed into the first
+    ``DENSITY_TERMS`` coefficients of its Hermite series, so all values of a cell are one row before the shuffle. A cell
+    is evaluated at the points within ``DENSITY_REACH`` bandwidths only. Cells times points then depend on neither the
+    number of values nor that of distinct ones. What the two cuts leave out is under 1e-16 of the largest possible
+    density. A key with one value or equal values only has no bandwidth, and NULL densities; NaN counts as NULL.
+    ``keys`` are those of a combination, so the moments are a handful of rows.
     """
-    known = rows.where(F.col(value).isNotNull())
+    known = rows.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     moments = known.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.max(value).alias("top"), (F.stddev_samp(value) * F.pow(F.count(value).cast("double"), F.lit(-0.2))).alias("h")
+        F.count("v").alias("n"), F.max("v").alias("top"), F.nullif(F.stddev_samp("v") * F.pow(F.count("v").cast("double"), F.lit(-0.2)), F.lit(0.0)).alias("h")
     )
-    values = ranking.value_counts(known, keys, value)
-    grid = F.explode(F.sequence(F.lit(0), F.lit(GRID_POINTS - 1)))
-    z = (F.col("top") * F.col("i") / F.lit(GRID_POINTS - 1) - F.col("v")) / F.col("h")
-    terms = values.join(F.broadcast(moments), list(keys)).select("*", grid.alias("i"))
-    sums = terms.groupBy(*keys, "i", "n", "h", "top").agg(F.sum(F.col("cnt") * F.exp(F.lit(-0.5) * z * z)).alias("s"))
+    step = F.col("top") / F.lit(GRID_POINTS - 1)
+    centre = (F.col("cell") + 0.5) * F.col("h") * F.lit(DENSITY_CELL)
+    scale = F.col("h") * F.lit(2.0**0.5)
+    in_cells = known.join(F.broadcast(moments), list(keys)).where("h is not null").withColumn("cell", F.floor(F.col("v") / (F.col("h") * F.lit(DENSITY_CELL))))
+    near = in_cells.withColumn("t", (F.col("v") - centre) / scale)
+    cells = near.groupBy(*keys, "n", "h", "top", "cell").agg(*[F.sum(F.pow("t", F.lit(float(k))) / F.lit(float(factorial(k)))).alias(f"a{k}") for k in range(DENSITY_TERMS)])
+    # The points a cell reaches, in either direction of the grid.
+    ends = [(centre + F.lit(sign * DENSITY_REACH) * F.col("h")) / step for sign in (-1, 1)]
+    first, last = F.greatest(F.ceil(F.least(*ends)), F.lit(0)), F.least(F.floor(F.greatest(*ends)), F.lit(GRID_POINTS - 1))
+    reached = cells.where((step != 0) & (first <= last)).withColumn("i", F.explode(F.sequence(first, last)))
+    reached = reached.unionByName(cells.where(step == 0).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(GRID_POINTS - 1).cast("bigint")))))
+    parts = reached.withColumn("u", (step * F.col("i") - centre) / scale)
+
+    def term(acc: Column, a: Column) -> Column:
+        """Hermite polynomials by their recurrence, summed with their coefficients."""
+        following = F.col("u") * 2 * acc["cur"] - acc["k"] * 2 * acc["prev"]
+        return F.struct(acc["cur"].alias("prev"), following.alias("cur"), (acc["sum"] + a * acc["cur"]).alias("sum"), (acc["k"] + 1).alias("k"))
+
+    start = F.struct(F.lit(0.0).alias("prev"), F.lit(1.0).alias("cur"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("k"))
+    series = F.aggregate(F.array(*[F.col(f"a{k}") for k in range(DENSITY_TERMS)]), start, term, lambda acc: acc["sum"])
+    sums = parts.groupBy(*keys, "i").agg(F.sum(F.exp(-F.col("u") * F.col("u")) * series).alias("s"))
+    grid = moments.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(GRID_POINTS - 1).cast("bigint"))))
     root_2pi = 2.5066282746310002
-    return sums.select(*keys, "i", (F.col("top") * F.col("i") / F.lit(GRID_POINTS - 1)).alias("x"), (F.col("s") / (F.col("n") * F.col("h") * F.lit(root_2pi))).alias("density"))
+    density = F.when(F.col("h").isNotNull(), F.coalesce("s", F.lit(0.0))) / (F.col("n") * F.col("h") * F.lit(root_2pi))
+    return grid.join(sums, [*keys, "i"], "left").select(*keys, "i", (F.col("top") * F.col("i") / F.lit(GRID_POINTS - 1)).alias("x"), density.alias("density"))
 
 
 def site_banding(rows: DataFrame, key: str = "site_id") -> DataFrame:

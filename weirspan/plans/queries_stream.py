@@ -8,7 +8,7 @@ from weirspan.functions import geo
 from weirspan.plans import reach_stats
 from weirspan.plans.catalog import query
 from weirspan.plans.common import day, r, rd, rounded
-from weirspan.operators import flow
+from weirspan.operators import flow, keyed
 from weirspan.sources import schemas, tables
 from weirspan.streaming import flow_stream
 
@@ -180,6 +180,40 @@ def _(t):
     return rounded(t.spark.read.parquet(path), "streamflow").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query(
+    "J24_incident_flows_bucketed",
+    f"""SELECT i.incident_id, strftime(i.date, '%Y-%m-%d') AS date, {rd('n.streamflow')} AS flow_nwm
+        FROM {{incidents}} i LEFT JOIN {{flow_daily}} n ON i.site_id = n.reach_id AND i.date = n.date""",
+)
+def _(t):
+    path = flow_stream.scratch_table(t.spark, "bucketed")
+    store = tables.write_daily_table(t.flow_daily, "flow_" + path.rsplit("-", 1)[1], path)
+    asked = t.incidents.select("incident_id", F.col("site_id").alias("reach_id"), "date")
+    return rounded(flow.flow_on(asked, store, "date", "flow_nwm").drop("reach_id"), "flow_nwm").withColumn("date", day("date"))
+
+
+@query("U6_replace_rows_in_place", """SELECT site_id, strftime(date, '%Y-%m-%d') AS date, round(flow, 6) + 0e0 AS flow FROM {incidents} WHERE site_id NOT IN (SELECT site_id + 3 FROM {sites} WHERE flowline_source = 'NHDPlus')
+       UNION ALL SELECT site_id + 3, NULL, weir_length + 0e0 FROM {sites} WHERE flowline_source = 'NHDPlus' AND weir_length IS NOT NULL""")
+def _(t):
+    path = flow_stream.scratch_table(t.spark, "keyed")
+    stored = t.incidents.select("site_id", "date", "flow")
+    tables.write_keyed(stored, path, ["site_id"], 16)
+    fresh = t.sites.where("flowline_source = 'NHDPlus'").select((F.col("site_id") + 3).alias("site_id"), F.lit(None).cast("date").alias("date"), F.col("weir_length").alias("flow"))
+    tables.merge_keyed(fresh, path, stored.schema, ["site_id"], keyed.replace_keys)
+    return rounded(tables.read_keyed(t.spark, path, stored.schema), "flow").withColumn("date", day("date"))
+
+
+@query("U7_upsert_in_place", f"""SELECT coalesce(s.site_id, f.site_id) AS site_id, {rd('coalesce(f.w, s.weir_length)')} AS weir_length, {rd('s.p_known')} AS p_known
+       FROM {{sites}} s FULL JOIN (SELECT c_custkey AS site_id, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal END AS w FROM {{customer}}) f ON s.site_id = f.site_id""")
+def _(t):
+    path = flow_stream.scratch_table(t.spark, "keyed")
+    stored = t.sites.select("site_id", "weir_length", "p_known")
+    tables.write_keyed(stored, path, ["site_id"], 16)
+    fresh = t.customer.select(F.col("c_custkey").alias("site_id"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")).alias("weir_length"))
+    tables.merge_keyed(fresh, path, stored.schema, ["site_id"], keyed.upsert)
+    return rounded(tables.read_keyed(t.spark, path, stored.schema), "weir_length", "p_known")
+
+
 @query("S11_tables_per_site", "SELECT cell_id, site_id, comid FROM {cells}")
 def _(t):
     path = flow_stream.scratch_table(t.spark, "sites")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,11 +102,21 @@ def read_daily_store(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.schema(schemas.FLOW_DAILY).parquet(store).select(*schemas.FLOW_DAILY.names)
 
 
-def _last_batch(spark: SparkSession, store: str) -> int:
-    target = spark._jvm.org.apache.hadoop.fs.Path(store)
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+def _files(spark: SparkSession, folder: str):
+    """The file system of a folder, and the folder as its path."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _names(spark: SparkSession, folder: str, prefix: str) -> list[str]:
+    """What follows ``prefix`` in the names of the entries of a folder that begin with it."""
+    files, target = _files(spark, folder)
     names = [f.getPath().getName() for f in files.listStatus(target)] if files.exists(target) else []
-    return max((int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")), default=0)
+    return sorted(n.removeprefix(prefix) for n in names if n.startswith(prefix))
+
+
+def _last_batch(spark: SparkSession, store: str) -> int:
+    return max((int(n) for n in _names(spark, store, "batch=")), default=0)
 
 
 def _rename_if_new(spark: SparkSession, source: str, target: str) -> bool:
@@ -148,6 +158,75 @@ def write_flow_store(obs: DataFrame, path: str, rows_per_file: int = 5_000_000)
     obs.repartitionByRange("reach_id", "ts").sortWithinPartitions("reach_id", "ts").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
+def write_daily_table(daily: DataFrame, name: str, path: str, buckets: int | None = None, mode: str = "error") -> DataFrame:
+    """Daily flows as the catalogue table ``name``, bucketed by reach and day; ``mode`` "append" adds rows to it.
+
+    Look-ups by reach and day (``flow.flow_on``) are then aggregated and joined bucket by bucket: only the questions are
+    shuffled, never the record. The day is part of the bucket, so a reach with very many rows is in all of them; rows of
+    a bucket are sorted by reach, so the statistics of row groups serve reads of one reach. ``buckets``: the session's
+    shuffle partitions if not given; with fewer than those Spark prefers a shuffle, and so wins nothing.
+    """
+    spark = daily.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = daily.select(*schemas.FLOW_DAILY.names).repartition(buckets, "reach_id", "date")
+    rows.write.format("parquet").mode(mode).option("path", path).bucketBy(buckets, "reach_id", "date").sortBy("reach_id", "date").saveAsTable(name)
+    return spark.table(name)
+
+
+def _part(keys: Sequence[str], parts: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int").alias("key_part")
+
+
+def write_keyed(df: DataFrame, path: str, keys: Sequence[str], parts: int = 64) -> None:
+    """A table in ``parts`` folders by the hash of its keys, to be changed by ``merge_keyed``."""
+    whole = f"{path}/parts={parts}"
+    df.withColumn("key_part", _part(keys, parts)).hint("rebalance", "key_part").write.partitionBy("key_part").parquet(whole)
+
+
+def read_keyed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
+def merge_keyed(fresh: DataFrame, path: str, schema: T.StructType, keys: Sequence[str], merge: Callable[[DataFrame, DataFrame, Sequence[str]], DataFrame]) -> int:
+    """Change a table of ``write_keyed`` by ``merge`` (``keyed.replace_keys`` or ``keyed.upsert``); the number of parts rewritten.
+
+    Only parts that hold a key of ``fresh`` are read and written; all other files stay as they are. The new parts are
+    written to a folder that readers pass over. Renaming it commits the merge, then its parts take the place of the old
+    ones. A run that fails before the commit changes nothing; what one that fails behind it has left is put in place by
+    the next merge, or by ``finish_merges``. One merge at a time; a reader during the exchange may miss a part.
+    """
+    spark = fresh.sparkSession
+    finish_merges(spark, path)
+    parts = int(_names(spark, path, "parts=")[0])
+    whole, attempt = f"{path}/parts={parts}", f"{path}/_attempt-{uuid.uuid4().hex}"
+    # At most ``parts`` numbers.
+    touched = sorted(r[0] for r in fresh.select(_part(keys, parts)).distinct().collect())
+    if not touched:
+        return 0
+    stored = T.StructType([*schema.fields, T.StructField("key_part", T.IntegerType())])  # named, as no folder may hold a file
+    old = spark.read.schema(stored).parquet(whole).where(F.col("key_part").isin(touched)).select(*schema.names)
+    merged = merge(old, fresh, keys).select(*schema.names)
+    merged.withColumn("key_part", _part(keys, parts)).hint("rebalance", "key_part").write.partitionBy("key_part").parquet(attempt)
+    for part in touched:  # a part that has lost all its rows is an empty folder
+        files, target = _files(spark, f"{attempt}/key_part={part}")
+        files.mkdirs(target)
+    _rename_if_new(spark, attempt, f"{path}/_commit-{uuid.uuid4().hex}")
+    finish_merges(spark, path)
+    return len(touched)
+
+
+def finish_merges(spark: SparkSession, path: str) -> None:
+    """Put the parts of committed merges in place; may be repeated."""
+    for commit in _names(spark, path, "_commit-"):
+        folder, whole = f"{path}/_commit-{commit}", f"{path}/parts={_names(spark, path, 'parts=')[0]}"
+        for part in _names(spark, folder, "key_part="):
+            files, target = _files(spark, f"{whole}/key_part={part}")
+            files.delete(target, True)
+            _rename_if_new(spark, f"{folder}/key_part={part}", f"{whole}/key_part={part}")
+        files, target = _files(spark, folder)
+        files.delete(target, True)
+
+
 def flow_at(store: DataFrame, reach_id: int, date: str) -> DataFrame:
     """One reach on one day; both conditions reach the Parquet row groups."""
     start = F.to_timestamp(F.lit(date))
