@@ -18,8 +18,9 @@ def test_tolerance_join(spark):
     assert {r.comid: r.ord for r in near.tolerance_join(left, right, compat=True).collect()} == {1: 3, 9: None, 3: None}
 
 
-@pytest.mark.parametrize("cell", [0.01, 3.0])
-def test_nearest_point_against_brute_force(spark, cell):
+@pytest.mark.parametrize("cell, most", [(0.01, 512), (3.0, 512), (0.1, 4)])
+def test_nearest_point_against_brute_force(spark, monkeypatch, cell, most):
+    monkeypatch.setattr(near, "MOST_DIRECT", most)
     rng = random.Random(1)
     pts = [(i % 3, rng.gauss(0, 5), rng.gauss(0, 5), i) for i in range(150)] + [(0, 500.0, 500.0, 900)]
     asks = [(i, i % 4, rng.uniform(-30, 30), rng.uniform(-30, 30)) for i in range(60)]
@@ -30,6 +31,20 @@ def test_nearest_point_against_brute_force(spark, cell):
         assert r.ord == want
 
 
+def test_lone_points_meet_few_of_a_dense_cluster(spark):
+    # 40,000 positions within 0.01 of the origin, a few far out, and questions near, inside and very far.
+    rng = random.Random(2)
+    pts = [(rng.gauss(0, 0.002), rng.gauss(0, 0.002), i) for i in range(40_000)] + [(rng.uniform(-50, 50), rng.uniform(-50, 50), 50_000 + i) for i in range(20)]
+    asks = [(rng.uniform(-100, 100), rng.uniform(-100, 100)) for _ in range(40)] + [(rng.gauss(0, 0.003), rng.gauss(0, 0.003)) for _ in range(40)] + [(0.5, 0.5), (1e6, -3e5)]
+    targets = spark.createDataFrame([(x, y, (i,)) for x, y, i in pts], "x2 double, y2 double, pay struct<ord: int>")
+    asked = spark.createDataFrame(asks, "x double, y double")
+    pairs = near.nearest_pairs(asked, targets, [], 1.0, F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))).collect()
+    assert len(pairs) < 300 * len(asks) and max(sum((r.x, r.y) == a for r in pairs) for a in asks) < 2000
+    for x, y in asks:
+        want = min(((x - a) ** 2 + (y - b) ** 2, i) for a, b, i in pts)[1]
+        assert min((r.dist, r.pay.ord) for r in pairs if (r.x, r.y) == (x, y))[1] == want
+
+
 def test_nearest_point_without_any_target(spark):
     left = spark.createDataFrame([(1, 0.0, 0.0)], "i int, x double, y double")
     right = spark.createDataFrame([], "x2 double, y2 double, ord int")

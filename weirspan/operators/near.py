@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weirspan.functions import geo
@@ -15,8 +16,14 @@ CELL_TOLERANCE = 2
 SITE_BOX_KM = 0.5
 GAUGE_BOX_DEGREES = 0.1
 STATION_ID_LENGTH = 8
-# How much wider the bins get for the points a round leaves open.
+# How much wider the bins get for the points a round leaves open; a power of two.
 WIDEN = 4
+WIDEN_BITS = 2
+# Positions in a cell from which on the smallest cells are made finer, and how often that is done at most.
+CROWDED = 64
+FINEST = 12
+# Positions a bin may hold for its points to be paired with all of them.
+MOST_DIRECT = 512
 
 
 def bin_of(x: Column, size: float) -> Column:
@@ -63,46 +70,110 @@ def tolerance_join(left: DataFrame, right: DataFrame, tolerance: int = CELL_TOLE
     return left.join(picked, cell, "left").select(*left.columns, *[F.col(f"pay.{c}").alias(c) for c in payload if c not in left.columns])
 
 
+def _summary(cells: DataFrame, on: Sequence[str]) -> DataFrame:
+    """One row per cell ``bx, by``: number of positions, extent and one of the positions."""
+    return cells.groupBy(*on, "bx", "by").agg(
+        F.sum("n").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("one").alias("one")
+    )
+
+
+def nearest_pairs(asked: DataFrame, targets: DataFrame, on: Sequence[str], cell: float, distance: Column) -> DataFrame:
+    """Questions ``on, x, y`` next to the targets ``on, x2, y2, pay`` that may be their nearest, with ``dist``.
+
+    Both sides are distinct and finite, and every question's key has targets. Targets are summed up in cells, each four
+    times as wide as those below it; the smallest are made finer until few positions lie in one. A question first looks
+    at the 3x3 cells around it, level by level, until the position kept for one of them is within a cell's width: so
+    the nearest lies in those nine. From there it goes down again, and takes from each level only the cells whose extent
+    begins no farther away than the nearest position seen so far. So a question meets a few cells of each level, and
+    the positions of a few of the smallest, however densely the targets lie.
+    """
+    on = list(on)
+    question = [*on, "x", "y"]
+    may_hold = F.col("low") * F.lit(1 - 1e-12) <= F.col("bound")
+
+    def smallest(size: float) -> DataFrame:
+        x, y = F.col("x2"), F.col("y2")
+        return cut_lineage(_summary(targets.select(*on, bin_of(x, size).alias("bx"), bin_of(y, size).alias("by"), F.lit(1).alias("n"), x.alias("x0"), x.alias("x1"), y.alias("y0"), y.alias("y1"), F.struct("x2", "y2").alias("one")), on))
+
+    def seen(pairs: DataFrame) -> DataFrame:
+        """Each pair of a question and a cell: the distance of its extent, and of the nearest position kept for any of its cells."""
+        closest = {f"{c}2": F.greatest(f"{c}0", F.least(c, f"{c}1")) for c in ("x", "y")}
+        known = pairs.withColumns(closest).withColumn("low", distance).withColumns({"x2": F.col("one.x2"), "y2": F.col("one.y2")}).withColumn("dist", distance)
+        return known.withColumn("bound", F.least("bound", F.min("dist").over(W.partitionBy(*question))))
+
+    def level(k: int) -> DataFrame:
+        """The smallest cells summed up ``k`` times; cheaper to do again than to store."""
+        return cells if k == 0 else _summary(cells.withColumns({b: F.shiftright(b, WIDEN_BITS * k) for b in ("bx", "by")}), on)
+
+    cells = smallest(cell)
+    for _ in range(FINEST):
+        if (cells.agg(F.max("n")).first()[0] or 0) <= CROWDED:
+            break
+        cell /= WIDEN
+        cells = smallest(cell)
+    starts: list[DataFrame] = []
+    reach, open_ = cell, asked
+    while not open_.isEmpty():
+        around = open_.withColumn("bound", F.lit(float("inf")))
+        for b, c in (("bx", "x"), ("by", "y")):
+            at = F.shiftright(bin_of(F.col(c), cell), WIDEN_BITS * len(starts))
+            around = around.withColumn(b, F.explode(F.sequence(at - 1, at + 1)))
+        near = seen(around.join(level(len(starts)), [*on, "bx", "by"], "left"))
+        near = cut_lineage(near.where((F.col("bound") > reach) | may_hold).select(*question, "bound", "bx", "by"))
+        starts.append(near.where(F.col("bound") <= reach))
+        open_ = near.where(F.col("bound") > reach).select(*question).distinct()
+        reach *= WIDEN
+    front = starts.pop() if starts else asked.select(*question, *[F.lit(0).cast(t).alias(c) for c, t in (("bound", "double"), ("bx", "long"), ("by", "long"))])
+    for k in reversed(range(len(starts))):
+        inner = level(k).withColumnsRenamed({"bx": "cx", "by": "cy"}).withColumns({"bx": F.shiftright("cx", WIDEN_BITS), "by": F.shiftright("cy", WIDEN_BITS)})
+        down = seen(front.join(inner, [*on, "bx", "by"])).where(may_hold).select(*question, "bound", F.col("cx").alias("bx"), F.col("cy").alias("by"))
+        front = down.unionByName(starts[k])
+        front = cut_lineage(front) if k % 3 == 2 else front
+    offered = targets.withColumns({"bx": bin_of(F.col("x2"), cell), "by": bin_of(F.col("y2"), cell)})
+    return front.join(offered, [*on, "bx", "by"]).withColumn("dist", distance).select(*question, "x2", "y2", "pay", "dist")
+
+
 def nearest_point(
     left: DataFrame, right: DataFrame, on: Sequence[str], cell: float, distance: Column | None = None
 ) -> DataFrame:
     """For each left point ``(x, y)`` the nearest right point ``(x2, y2)`` of the same ``on`` key; lowest ``ord`` on a tie.
 
     Round by round: points look into the 3x3 bins around them; a find within one bin width is final, because
-    everything outside those bins is farther. The others go on with wider bins. Equal positions are
-    paired once on both sides. ``distance`` must be at least the larger of the two coordinate differences.
-    Points without finite coordinates take no part: left ones stay with NULLs, right ones are never found.
+    everything outside those bins is farther. The others go on with wider bins, as long as no bin holds more than
+    ``MOST_DIRECT`` positions; then the points still open go through ``nearest_pairs``. ``cell`` is the width of the
+    first bins; results don't depend on it. Equal positions are paired once on both sides. ``distance`` must grow with the two coordinate differences and be at least the larger one. Points without
+    finite coordinates take no part: left ones stay with NULLs, right ones are never found.
     """
     on = list(on)
     distance = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")) if distance is None else distance
     payload = [c for c in right.columns if c not in (*on, "x2", "y2")]
     right = right.where(finite("x2", "y2"))
-    targets = right.groupBy(*on, "x2", "y2").agg(F.min_by(F.struct(*payload), "ord").alias("pay"))
+    targets = right.groupBy(*on, F.col("x2").cast("double").alias("x2"), F.col("y2").cast("double").alias("y2")).agg(F.min_by(F.struct(*payload), "ord").alias("pay"))
     asked = left.select(*on, "x", "y").where(finite("x", "y")).distinct()
     if on:
         asked = asked.join(right.select(*on).distinct(), on, "left_semi")
     elif right.isEmpty():
         asked = asked.limit(0)
-    asked = cut_lineage(asked)
-    targets = cut_lineage(targets)
-    found: list[DataFrame] = []
+    asked, targets = cut_lineage(asked), cut_lineage(targets)
+
+    def best(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy(*on, "x", "y").agg(F.min("dist").alias("dist"), F.min_by(F.struct("x2", "y2", "pay"), F.struct("dist", "pay.ord")).alias("hit"))
+
+    hits = None
     while not asked.isEmpty():
-        # The side that shrinks from round to round is the one copied into the neighbouring bins.
-        binned = asked.withColumn("bx", covered(F.col("x"), F.col("x"), cell, 1)).withColumn("by", covered(F.col("y"), F.col("y"), cell, 1))
         offered = targets.withColumns({"bx": bin_of(F.col("x2"), cell), "by": bin_of(F.col("y2"), cell)})
-        pairs = binned.join(offered, [*on, "bx", "by"]).withColumn("dist", distance)
-        best = pairs.groupBy(*on, "x", "y").agg(
-            F.min("dist").alias("dist"), F.min_by(F.struct("x2", "y2", "pay"), F.struct("dist", "pay.ord")).alias("hit")
-        )
-        best = cut_lineage(best.where(F.col("dist") <= cell))
-        found.append(best)
-        asked = cut_lineage(asked.join(best, [*on, "x", "y"], "left_anti"))
+        most = offered.groupBy(*on, "bx", "by").count().agg(F.max("count")).first()[0]
+        if most > MOST_DIRECT:
+            some, asked = best(nearest_pairs(asked, targets, on, cell, distance)), asked.limit(0)
+        else:
+            # The side that shrinks from round to round is the one copied into the neighbouring bins.
+            binned = asked.withColumn("bx", covered(F.col("x"), F.col("x"), cell, 1)).withColumn("by", covered(F.col("y"), F.col("y"), cell, 1))
+            some = cut_lineage(best(binned.join(offered, [*on, "bx", "by"]).withColumn("dist", distance)).where(F.col("dist") <= cell))
+            asked = cut_lineage(asked.join(some, [*on, "x", "y"], "left_anti"))
+        hits = some if hits is None else hits.unionByName(some)
         cell *= WIDEN
-    if not found:
-        found = [asked.select(*on, "x", "y", F.lit(None).cast("double").alias("dist"), F.lit(None).cast(f"struct<x2:double,y2:double,pay:{targets.schema['pay'].dataType.simpleString()}>").alias("hit"))]
-    hits = found[0]
-    for f in found[1:]:
-        hits = hits.unionByName(f)
+    if hits is None:
+        hits = best(asked.select(*on, "x", "y", *[F.lit(None).cast(targets.schema[c].dataType).alias(c) for c in ("x2", "y2", "pay")], F.lit(None).cast("double").alias("dist")))
     hits = hits.select(*on, "x", "y", "dist", "hit.x2", "hit.y2", *[F.col(f"hit.pay.{c}").alias(c) for c in payload])
     return left.join(hits, [*on, "x", "y"], "left")
 
