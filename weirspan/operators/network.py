@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weirspan.functions import geo
 from weirspan.operators import near, ranking
-from weirspan.session import cut_lineage
+from weirspan.session import cut_lineage, merged
 
 # Walk lengths in metres, the end marker of the network, target points in weir lengths.
 UP_METRES, DOWN_METRES = 1000.0, 2000.0
@@ -86,10 +86,10 @@ def merged_line(steps: DataFrame, vertices: DataFrame) -> DataFrame:
     source, so they are taken in reverse; a vertex shared by two reaches stays twice, as a segment of length 0.
     """
     size = vertices.groupBy("linkno").agg(F.max("seq").alias("top"), F.count(F.lit(1)).alias("n"))
-    placed = steps.join(size, "linkno")
+    placed = steps.join(merged(size), "linkno")
     placed = ranking.running_sum(placed, ["site_id"], "place", F.col("n").cast("double"), "upto")
     start = (F.col("upto") - F.col("n")).cast("bigint")
-    rows = placed.select("site_id", "linkno", "top", start.alias("start")).join(vertices, "linkno")
+    rows = placed.select("site_id", "linkno", "top", start.alias("start")).join(merged(vertices), "linkno")
     return rows.select("site_id", (F.col("start") + F.col("top") - F.col("seq")).alias("seq"), "x", "y")
 
 
@@ -103,21 +103,21 @@ def measured_segments(line: DataFrame, key: str = "site_id") -> DataFrame:
 def position_on_line(points: DataFrame, segments: DataFrame, key: str = "site_id") -> DataFrame:
     """Length along the line at which it comes closest to the point ``px, py``."""
     args = [F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2")]
-    pairs = points.join(segments, key)
+    pairs = points.join(merged(segments), key)
     at = F.col("pos") + geo.segment_fraction(*args) * F.col("len")
     best = pairs.groupBy(key).agg(F.min_by(at, F.struct(geo.segment_distance(*args), F.col("seq"))).alias("position"))
-    return points.join(best, key, "left")
+    return points.join(merged(best), key, "left")
 
 
 def point_at(asks: DataFrame, segments: DataFrame, ids: list[str], key: str = "site_id") -> DataFrame:
     """Coordinates at ``position`` along the line, clamped to its ends."""
     whole = segments.groupBy(key).agg(F.sum("len").alias("__whole"))
-    asked = asks.join(whole, key).withColumn("__s", F.greatest(F.lit(0.0), F.least(F.col("position"), F.col("__whole"))))
-    hit = asked.join(segments, key).where(F.col("pos") <= F.col("__s"))
+    asked = asks.join(merged(whole), key).withColumn("__s", F.greatest(F.lit(0.0), F.least(F.col("position"), F.col("__whole"))))
+    hit = asked.join(merged(segments), key).where(F.col("pos") <= F.col("__s"))
     f = F.when(F.col("len") > 0, F.least(F.lit(1.0), (F.col("__s") - F.col("pos")) / F.when(F.col("len") > 0, F.col("len")))).otherwise(F.lit(0.0))
     x, y = F.col("x1") + f * (F.col("x2") - F.col("x1")), F.col("y1") + f * (F.col("y2") - F.col("y1"))
     best = hit.groupBy(*ids).agg(F.max_by(F.struct(x.alias("x"), y.alias("y")), F.col("seq")).alias("p"))
-    return asks.join(best, ids, "left").select(*asks.columns, "p.x", "p.y")
+    return asks.join(merged(best), ids, "left").select(*asks.columns, "p.x", "p.y")
 
 
 def target_points(sites: DataFrame, segments: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weirspan.session import merged
+
 # Steps per e-fold of a value, and the size from which on the scale is logarithmic; a key has under two million steps.
 STEPS_PER_E_FOLD = 1024
 SMALLEST = 1e-6
@@ -154,4 +156,4 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, o
     sums = cut.groupBy(*keys, "__b").agg(F.sum("__x").alias("__s"))
     sums = sums.select(*keys, "__b", (F.sum("__s").over(across) - F.col("__s")).alias("__before"))
     own = cut.withColumn("__own", F.sum("__x").over(inside))
-    return own.join(sums, [*keys, "__b"]).select(*df.columns, (F.col("__before") + F.coalesce("__own", F.lit(0.0))).alias(out))
+    return own.join(merged(sums), [*keys, "__b"]).select(*df.columns, (F.col("__before") + F.coalesce("__own", F.lit(0.0))).alias(out))

@@ -9,6 +9,7 @@ from weirspan.operators import chains, near, network
 from weirspan.plans import site_geometry
 from weirspan.plans.catalog import query
 from weirspan.plans.common import chain, r, rd, rounded
+from weirspan.session import merged
 from weirspan.sources import lines
 from weirspan.streaming import flow_stream
 
@@ -393,7 +394,7 @@ MID = "pts AS (SELECT p_partkey AS point_id, p_partkey + 1 AS linkno, v.x + 0.00
 
 def section_lines(t):
     v = t.reach_vertices.where("seq = 1").select("linkno", "x", "y")
-    rows = t.part.select("p_partkey", "p_size", (F.col("p_partkey") + 1).alias("linkno")).join(v, "linkno")
+    rows = t.part.select("p_partkey", "p_size", (F.col("p_partkey") + 1).alias("linkno")).join(merged(v), "linkno")
     return rows.select(
         F.col("linkno").alias("site_id"), F.col("p_partkey").alias("xs_key"), (F.col("x") + 0.0001 * F.col("p_size")).alias("x1"), F.col("y").alias("y1"),
         F.col("x").alias("x2"), (F.col("y") + 0.00005 * F.col("p_size")).alias("y2"),
@@ -430,7 +431,7 @@ STEPS = f"""steps AS (SELECT s.site_id, r0.linkno, 0 AS place FROM {{sites}} s J
 
 def steps(t):
     n = t.supplier.count()
-    first = t.sites.select("site_id", (F.col("site_id") + n).alias("linkno")).join(t.reaches.select("linkno", "dslinkno"), "linkno")
+    first = t.sites.select("site_id", (F.col("site_id") + n).alias("linkno")).join(merged(t.reaches.select("linkno", "dslinkno")), "linkno")
     second = first.where("dslinkno <> -1").select("site_id", F.col("dslinkno").alias("linkno"), F.lit(1).alias("place"))
     return first.select("site_id", "linkno", F.lit(0).alias("place")).unionByName(second)
 
@@ -482,7 +483,7 @@ def _(t):
     sites = t.sites.select("site_id", F.col("longitude").alias("px"), F.col("latitude").alias("py"), (F.col("weir_length") / 100000).alias("weir_length"))
     grid = (-121.0, 47.0, 0.0013, 0.001)
     row, col = geo.grid_cell(F.col("x"), F.col("y"), *[F.lit(v) for v in grid])
-    cells = steps(t).join(t.reach_vertices, "linkno").select("site_id", F.col("linkno").alias("comid"), row.alias("row_"), col.alias("col_"), (F.col("linkno") * 10 + F.col("seq")).alias("ord"))
+    cells = steps(t).join(merged(t.reach_vertices), "linkno").select("site_id", F.col("linkno").alias("comid"), row.alias("row_"), col.alias("col_"), (F.col("linkno") * 10 + F.col("seq")).alias("ord"))
     text = F.concat(F.lit("["), F.col("row_"), F.lit(", "), F.col("col_"), F.lit("]"))
     profiles = cells.select("comid", "row_", "col_").distinct().withColumns({"xs1": text, "xs2": F.when(F.col("comid") % 7 == 0, F.lit("[1]")).otherwise(text)})
     out = site_geometry.extract_sections(sites, line, cells, profiles, grid)

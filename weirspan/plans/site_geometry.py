@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weirspan.functions import geo
 from weirspan.functions import text as tx
 from weirspan.operators import keyed, near, network
+from weirspan.session import merged
 
 
 def identify_reaches(sites: DataFrame, gauges: DataFrame, regions: DataFrame, reaches: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def extract_sections(sites: DataFrame, line: DataFrame, stream_cells: DataFrame,
     cells = stream_cells.select("site_id", F.col("row_").cast("double").alias("x2"), F.col("col_").cast("double").alias("y2"), "comid", "ord")
     hits = near.nearest_point(asked, cells, ["site_id"], 8.0).where(F.col("comid").isNotNull())
     hits = hits.select("site_id", "label", "comid", F.col("x2").cast("int").alias("row_"), F.col("y2").cast("int").alias("col_"))
-    out = hits.join(profiles, ["comid", "row_", "col_"])
+    out = hits.join(merged(profiles), ["comid", "row_", "col_"])
     out = out.withColumns({"xs1": tx.parse_list(F.col("xs1")), "xs2": tx.parse_list(F.col("xs2"))})
     return out.where((F.size("xs1") >= 2) & (F.size("xs2") >= 2))
 
@@ -68,4 +69,4 @@ def repair_labels(sections: DataFrame, targets: DataFrame) -> DataFrame:
     broken = sections.where(F.col("label").isNull())
     mid = broken.select("site_id", F.col("xs_key").alias("point_id"), ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
     fixed = near.nearest_label(mid, targets).select(F.col("point_id").alias("xs_key"), F.col("label").alias("fixed"))
-    return sections.join(fixed, "xs_key", "left").withColumn("label", F.coalesce("label", "fixed")).drop("fixed")
+    return sections.join(merged(fixed), "xs_key", "left").withColumn("label", F.coalesce("label", "fixed")).drop("fixed")

@@ -42,6 +42,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: joined by merging, never broadcast.
+
+    The planner guesses sizes from those of compressed files and leaves out what ``explode`` adds, so it may take millions
+    of rows for a few MB and send them through the driver.
+    """
+    return df.hint("merge")
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows dealt out evenly, or by the hash of ``keys``, over as many tasks as a shuffle of the session has, and no fewer than its cores.
 
