@@ -1,7 +1,7 @@
 import corpus_pipeline
 from tests.llm.corpus import documents, frame, prose
 from tests.llm.test_shingles import jaccard, plain_set
-from weirspan.llm import decontaminate, toxicity
+from weirspan.llm import decontaminate, simhash, toxicity
 
 
 def classes_by_jaccard(texts):
@@ -48,3 +48,14 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
 
 def test_names_and_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_duplicates", "decontamination", "packing"]
+
+
+def test_near_duplicates_by_fingerprint_and_by_shingles(spark):
+    # Repeats weigh in fingerprints only: a and b are alike by these, b and c by their shingles; either way alone keeps two apart.
+    line, tails = " ".join(f"often{i}" for i in range(11)), [" ".join(f"{x}{i}" for i in range(40)) for x in ("left", "right")]
+    a, b, c = f"{line} " * 300 + tails[0], f"{line} " * 300 + tails[1], f"{line} " * 2 + tails[1]
+    apart = lambda x, y: ((simhash.fingerprint(x) ^ simhash.fingerprint(y)) & (1 << 64) - 1).bit_count()
+    assert apart(a, b) <= 4 < min(apart(a, c), apart(b, c))
+    assert jaccard(plain_set(b), plain_set(c)) >= 0.8 > max(jaccard(plain_set(a), plain_set(x)) for x in (b, c))
+    docs = frame(spark, [(3, a), (1, b), (2, c), (4, prose(5, 80)), (None, a), (4, prose(5, 80))]).select("doc_id", "text", "lang", "source", "n_chars")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()) == [1, 4]

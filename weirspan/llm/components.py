@@ -35,3 +35,16 @@ def components(edges: DataFrame) -> DataFrame:
         upper = step.select(F.col("node").alias("component"), "parent")
         found = found.join(upper, "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
     return found
+
+
+def joined_classes(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``doc_id, k1, k2, component``: the classes of two ways of linking the same rows, taken together.
+
+    Both sides have these columns. Rows are in one class if links of either kind lead from one to the other.
+    """
+    own = [F.xxhash64(F.lit(side), F.col(f"__{side}")) for side in ("left", "right")]
+    rows = left.select("doc_id", "k1", "k2", F.col("component").alias("__left")).distinct()
+    rows = rows.join(right.select("k1", "k2", F.col("component").alias("__right")).distinct().hint("merge"), ["k1", "k2"])
+    rows = cut_lineage(rows.select("doc_id", "k1", "k2", own[0].alias("a"), own[1].alias("b")))
+    found = components(rows.select("a", "b")).withColumnRenamed("node", "a")
+    return rows.join(found.hint("merge"), "a").select("doc_id", "k1", "k2", "component")
