@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weirspan.operators import near, network
+from weirspan.operators import flow, near, network
 from weirspan.plans import site_geometry
 
 
@@ -66,3 +66,13 @@ def test_pairs_in_a_box_come_once_and_are_not_sorted(spark):
     found = near.reaches_in_box(sites, reach)
     assert [(r.site_id, r.linkno) for r in found.collect()] == [(1, 7)]
     assert "HashAggregate(keys=[site_id" not in plan(found.select("site_id", "linkno")).split("Join")[0]
+
+
+def test_only_asked_days_are_averaged(spark):
+    # The record is not aggregated or sorted again for the look-up: it meets the questions first, and the questions are held in memory.
+    record = spark.createDataFrame([(1, "2020-01-01", 2.0), (1, "2020-01-01", 4.0), (1, "2020-01-02", 9.0), (2, "2020-01-01", None), (None, "2020-01-01", 7.0)], "reach_id long, date string, streamflow double")
+    asks = spark.createDataFrame([(1, "2020-01-01"), (1, "2020-01-01"), (1, None), (2, "2020-01-01"), (3, "2020-01-01"), (None, "2020-01-01")], "reach_id long, day string")
+    found = flow.flow_on(asks, record, "day", "q")
+    shown = plan(found)
+    assert sorted((r.reach_id or 0, r.day or "", r.q or 0.0) for r in found.collect()) == [(0, "2020-01-01", 0.0), (1, "", 0.0), (1, "2020-01-01", 3.0), (1, "2020-01-01", 3.0), (2, "2020-01-01", 0.0), (3, "2020-01-01", 0.0)]
+    assert "SortMergeJoin" not in shown and "keys=[reach_id" not in shown.split("ShuffledHashJoin")[1]

@@ -125,9 +125,17 @@ def exceedance_of(lookups: DataFrame, flow: DataFrame, outs: dict[str, str]) ->
 
 
 def flow_on(asks: DataFrame, flow: DataFrame, date: str, out: str) -> DataFrame:
-    """Daily mean on the asked date, NULL when there is none."""
-    daily = flow.groupBy("reach_id", F.col("date").alias(date)).agg(F.avg(known_flow()).alias(out))
-    return asks.join(daily, ["reach_id", date], "left")
+    """Daily mean on the asked date, NULL when there is none.
+
+    The record meets the questions first: a task holds those of its share in memory, and only days asked for are averaged.
+    """
+    key = ["reach_id", date]
+    rest = [c for c in asks.columns if c not in key]
+    asked = asks.withColumn("__ask", F.monotonically_increasing_id()).hint("shuffle_hash")
+    days = flow.select("reach_id", F.col("date").alias(date), known_flow().alias("__flow"))
+    hits = asked.join(days, key, "left").groupBy(*key, "__ask")
+    found = hits.agg(F.first(F.struct("__ask", *rest)).alias("__row"), F.avg("__flow").alias(out))
+    return found.select(*key, *[F.col(f"__row.`{c}`").alias(c) for c in rest], out)
 
 
 def flow_on_or_median(asks: DataFrame, flow: DataFrame, date: str, out: str) -> DataFrame:
