@@ -173,8 +173,8 @@ def critical_depth(q: Column, stage: Column) -> Column:
     def solve(p: Column) -> Column:
         def faster(y: Column) -> Column:
             d = y - p["e"]
-            a = p["a"] + p["t"] * d + p["c"] * d * d / lit(2)
-            return q * q * (p["t"] + p["c"] * d) > lit(GRAVITY) * a * a * a
+            a = p["a"] + d * (p["t"] + p["c"] * d / lit(2))
+            return let(a, lambda a: q * q * (p["t"] + p["c"] * d) > lit(GRAVITY) * a * a * a)
 
         open_end = p["e2"] >= HIGHEST_DEPTH
         beyond = p["e"] + (F.cbrt(q * q * p["t"] / lit(GRAVITY)) - p["a"]) / F.when(p["t"] > 0, p["t"])
@@ -186,10 +186,11 @@ def critical_depth(q: Column, stage: Column) -> Column:
 
 
 def momentum_at(q: Column, p: Column, y: Column) -> Column:
+    # Nested products: searches walk this tree at every halving, so the depth stands in it as seldom as can be.
     d = y - p["e"]
-    a = p["a"] + p["t"] * d + p["c"] * d * d / lit(2)
-    s = p["s"] + p["a"] * d + p["t"] * d * d / lit(2) + p["c"] * d * d * d / lit(6)
-    return q * q / (lit(GRAVITY) * F.when(a > 0, a)) + s
+    a = p["a"] + d * (p["t"] + d * p["c"] / lit(2))
+    s = p["s"] + d * (p["a"] + d * (p["t"] / lit(2) + d * p["c"] / lit(6)))
+    return let(a, lambda a: q * q / (lit(GRAVITY) * F.when(a > 0, a))) + s
 
 
 def conjugate_by_momentum(q: Column, y1: Column, length: Column, stage: Column) -> Column:

@@ -53,14 +53,10 @@ def bisect(
     start = F.struct(lo.alias("lo"), hi.alias("hi"))
 
     def halve(s: Column, _i: Column) -> Column:
-        mid = (s["lo"] + s["hi"]) / F.lit(2.0)
-        right = goes_right(mid)
+        # The middle is bound once: ``goes_right`` may name it many times, in a tree that is walked at every halving.
         return let(
-            F.struct(mid.alias("mid"), right.alias("right")),
-            lambda m: F.struct(
-                F.when(m["right"], m["mid"]).otherwise(s["lo"]).alias("lo"),
-                F.when(m["right"], s["hi"]).otherwise(m["mid"]).alias("hi"),
-            ),
+            (s["lo"] + s["hi"]) / F.lit(2.0),
+            lambda mid: F.when(goes_right(mid), F.struct(mid.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi"))),
         )
 
     return F.aggregate(
