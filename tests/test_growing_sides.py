@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from weirspan.functions import steps
 from weirspan.operators import flow, near, network
 from weirspan.plans import site_geometry
 
@@ -76,3 +77,22 @@ def test_only_asked_days_are_averaged(spark):
     shown = plan(found)
     assert sorted((r.reach_id or 0, r.day or "", r.q or 0.0) for r in found.collect()) == [(0, "2020-01-01", 0.0), (1, "", 0.0), (1, "2020-01-01", 3.0), (1, "2020-01-01", 3.0), (2, "2020-01-01", 0.0), (3, "2020-01-01", 0.0)]
     assert "SortMergeJoin" not in shown and "keys=[reach_id" not in shown.split("ShuffledHashJoin")[1]
+
+
+def test_line_is_laid_out_once(spark, vertices, monkeypatch):
+    seen, nearest = [], near.nearest_point
+    monkeypatch.setattr(near, "nearest_point", lambda left, *rest: seen.append(plan(left)) or nearest(left, *rest))
+    sites = spark.createDataFrame([(3, 1.25, 3.0, 0.5)], "site_id long, px double, py double, weir_length double")
+    cells = spark.createDataFrame([(3, 70, 0, 0, 1)], "site_id long, comid long, row_ int, col_ int, ord long")
+    profiles = spark.createDataFrame([(70, 0, 0, "[1, 2]", "[3, 4]")], "comid long, row_ int, col_ int, xs1 string, xs2 string")
+    found = site_geometry.extract_sections(sites, vertices, cells, profiles, (0.0, 3.0, 1.0, 1.0))
+    assert sorted(r.label for r in found.collect()) == ["Downstream1", "Downstream2", "Downstream3", "Downstream4", "Upstream"]
+    assert len(seen) == 1 and "FileScan" not in seen[0]
+
+
+def test_a_search_names_the_middle_once(spark):
+    # The condition names it four times; the sum of both ends stands in the tree for the halvings and for the end only.
+    root = steps.bisect(F.lit(0.0), F.col("hi"), lambda y: y * y * y * y < 2, 50)
+    found = spark.createDataFrame([(2.0,), (None,)], "hi double").select(root.alias("root"))
+    assert plan(found).split("\n")[0].count(") / 2.0)") == 2
+    assert [r.root and round(r.root, 9) for r in found.collect()] == [round(2**0.25, 9), None]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weirspan.functions import geo
 from weirspan.functions import text as tx
 from weirspan.operators import keyed, near, network
-from weirspan.session import merged
+from weirspan.session import cut_lineage, merged
 
 
 def identify_reaches(sites: DataFrame, gauges: DataFrame, regions: DataFrame, reaches: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def extract_sections(sites: DataFrame, line: DataFrame, stream_cells: DataFrame,
     ``line``: site_id, seq, x, y; ``stream_cells``: site_id, comid, row_, col_, ord; ``profiles``: comid, row_,
     col_, xs1, xs2 as list text; ``grid``: origin and cell size of the raster.
     """
-    targets = network.target_points(sites, network.measured_segments(line))
+    # The line is read many times below and its plan would be laid out as often: materialise it once.
+    targets = network.target_points(sites, network.measured_segments(cut_lineage(line)))
     x0, y0, dx, dy = [F.lit(v) for v in grid]
     row, col = geo.grid_cell(F.col("x"), F.col("y"), x0, y0, dx, dy)
     asked = targets.select("site_id", "label", "label_ord", row.cast("double").alias("x"), col.cast("double").alias("y"))
